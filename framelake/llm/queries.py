@@ -51,7 +51,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc32_mod("doc_id", 10) == 0).alias("held_out"))
-    corpus = suffix_tree.learn(docs.where("not coalesce(held_out, false)"))
+    corpus = suffix_tree.learn(docs, F.coalesce(~F.col("held_out"), F.lit(False)))
     return suffix_tree.scores(docs, corpus, keep=("doc_id", "held_out")).withColumn("train_tokens", F.lit(corpus.total).cast("long"))
 
 

@@ -1,18 +1,20 @@
 """Language-model scores by a probabilistic suffix tree.
 
-Symbols are the UTF-8 bytes of a word, one that ends a word and one that ends the text.
-Contexts are what precedes a symbol within its word, up to ``depth`` symbols, with
-the word's beginning as one of them. A context is kept if it makes up at least
-``min_share`` of all training symbols (so at most 1/min_share contexts of each
-length are kept, whatever the corpus) and its next-symbol distribution diverges
-from that of its longest kept suffix: count times Kullback-Leibler divergence of at least
-``min_gain`` nats. Each state's distribution is smoothed with its suffix's (Witten-Bell).
-A text's symbols are scored by the longest kept suffix of what precedes them.
-
-Counting runs over the distinct words of all training texts with their numbers, a
-Spark aggregate; the same table serves the unigram base. Words that make up
-``min_share`` / 10 of the training tokens or more (again a bounded number) reach
-the scoring tasks as a table; the counts of all other words are joined.
+Symbols are the UTF-8 bytes of words, one that ends a word and one that ends the text. The
+context of a symbol is what precedes it: within a word up to ``DEPTH`` symbols back
+to the word's start; for a word's first two symbols (or the text's end) it
+reaches over that start into the last ``TAIL`` bytes of the word before. A context is kept
+if it makes up at least ``min_share`` of all training symbols (so at most 1/min_share
+contexts of each length are kept, whatever the corpus) and its next-symbol
+distribution diverges from that of its longest kept suffix: count times Kullback-
+Leibler divergence is at least ``min_gain`` nats. Each distribution is smoothed with its
+suffix's (Witten-Bell). Every symbol is scored by the longest kept suffix of its context.
+
+Contexts are numbers of nine bits a symbol, so counting and scoring are numpy on arrays.
+Inside words they run over the distinct words with their numbers, a Spark aggregate of
+all training texts, which also serves the unigram base; across words, over all
+pairs of neighbours. Words that make up a tenth of ``min_share`` of the tokens or more (again
+a bounded number) reach the scoring tasks as a table, all others are joined.
 
 Cases: null and empty texts consist of the end alone; repeated rows get equal results;
 with no training text every count is zero and symbols are uniform.
@@ -35,209 +37,340 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, saved
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-START, WORD_END, TEXT_END = 256, 257, 258
-SYMBOLS = 258  # all but START can come next
+DEPTH, TAIL = 6, 3
+BITS = 9
+#: Symbols: byte + 1, then these. Zero means that there is none.
+START, WORD_END, TEXT_END = 257, 258, 259
+#: All but START can come next.
+KINDS = 258
 FLUSH = 400_000
-CACHED = 600_000
 
 
-def tokens(text: str | None) -> list[str]:
-    text = text or ""
+def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER_TABLE))
 
 
-@dataclass(frozen=True)
-class Tree:
-    """Probabilities of each kept context; a context is a string of symbols, oldest first."""
-
-    states: dict[str, dict[str, float]]
-    #: What a state gives its suffix's distribution for symbols it has not seen.
-    back: dict[str, float]
-    depth: int
-    #: log10 of the probability that a text ends where a word could begin.
-    end: float
-
-    def word(self, word: str) -> float:
-        """log10 probability of a word and its end."""
-        text = chr(START) + word.encode("utf-8", "replace").decode("latin-1") + chr(WORD_END)
-        total, states, depth = 0.0, self.states, self.depth
-        for i in range(1, len(text)):
-            a = max(0, i - depth)
-            while a < i and text[a:i] not in states:
-                a += 1
-            total += math.log10(self.next(text[a:i], text[i]))
-        return total
-
-    def next(self, context: str, symbol: str) -> float:
-        scale = 1.0
-        while True:
-            p = self.states[context].get(symbol)
-            if p is not None:
-                return scale * p
-            scale *= self.back[context]
-            if not context:
-                return scale / SYMBOLS
-            context = context[1:]
-            while context not in self.states:
-                context = context[1:]
-
-
-def word_counts(rows: DataFrame, text: str) -> DataFrame:
-    """word and n over all ``rows``."""
+def spelled(texts_words: list[list[str]]) -> np.ndarray:
+    """All texts as symbols: words separated by WORD_END, each text closed by TEXT_END."""
+    raw = "".join(" ".join(w) + "\n" for w in texts_words).encode("utf-8", "replace")
+    s = np.frombuffer(raw, dtype=np.uint8).astype(np.int64) + 1
+    s[s == 0x20 + 1] = WORD_END
+    s[s == 0x0A + 1] = TEXT_END
+    return s
+
+
+def borders(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word's beginning and each text's end: the tail before it with START, then the next two symbols; and its place.
+
+    A border is (t3, t2, t1, s1, s2), nine bits each; s2 is zero after TEXT_END.
+    """
+    x = np.concatenate([np.full(TAIL, TEXT_END), s, np.full(2, TEXT_END)])
+    inside = x <= 256
+    i = np.arange(len(s)) + TAIL
+    opening = inside[i] & ~inside[i - 1]
+    at = i[opening]
+    gap = np.where(x[at - 1] == WORD_END, at - 1, 0)  # the space before the word; none at a text's beginning
+    ends = i[x[i] == TEXT_END]
+
+    def tail(space: np.ndarray, has: np.ndarray) -> np.ndarray:
+        code, go = np.zeros(len(space), dtype=np.int64), has.copy()
+        parts = []
+        for k in range(1, TAIL + 1):
+            c = x[np.maximum(space - k, 0)]
+            go &= c <= 256
+            parts.append(np.where(go, c, 0))
+        for c in reversed(parts):
+            code = code << BITS | c
+        return code
+
+    first, second = x[at], np.where(inside[at + 1], x[at + 1], WORD_END)
+    a = (tail(gap, gap > 0) << BITS | first) << BITS | second
+    b = (tail(ends, np.ones(len(ends), dtype=bool)) << BITS | TEXT_END) << BITS
+    return np.concatenate([a, b]), np.concatenate([at, ends]) - TAIL
+
+
+def summed(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sum of their weights."""
+    if weights is None:
+        return np.unique(codes, return_counts=True)
+    order = np.argsort(codes, kind="stable")
+    codes, weights = codes[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
+    return codes[first], np.add.reduceat(weights, first) if len(first) else weights
+
+
+def border_contexts(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, context, symbol) of both symbols of each border, for every length of context."""
+    mask = (1 << BITS) - 1
+    s2, s1, tail = code & mask, code >> BITS & mask, code >> 2 * BITS
+    every, two = np.arange(len(code)), np.flatnonzero(code & mask)
+    yield every, np.zeros(len(code), dtype=np.int64), s1
+    yield two, np.zeros(len(two), dtype=np.int64), s2[two]
+    yield two, s1[two], s2[two]
+    for k in range(TAIL + 1):
+        low = tail & ((1 << BITS * k) - 1)
+        full = (low >> BITS * max(0, k - 1)) > 0 if k else np.ones(len(code), dtype=bool)
+        context = low << BITS | START
+        yield every[full], context[full], s1[full]
+        both = full & (s2 > 0)
+        yield every[both], (context << BITS | s1)[both], s2[both]
+
+
+def word_symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """START, bytes and WORD_END of all words, and the word of each symbol."""
+    raw = [w.encode("utf-8", "replace") for w in words]
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 2
+    ends = np.cumsum(sizes)
+    x = np.full(int(sizes.sum()), START, dtype=np.int64)
+    place = np.ones(len(x), dtype=bool)
+    place[ends - 1] = place[ends - sizes] = False
+    x[place] = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) + 1
+    x[ends - 1] = WORD_END
+    return x, np.repeat(np.arange(len(raw)), sizes)
+
+
+def word_contexts(x: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, context, symbol) of each word's symbols from the third on, longest contexts first."""
+    begins = np.searchsorted(owner, owner)  # the word's first place
+    i = np.flatnonzero(np.arange(len(x)) - begins >= 3)
+    room = i - begins[i]  # symbols before it, START included
+    codes = [np.zeros(len(i), dtype=np.int64)]
+    for k in range(1, DEPTH + 1):
+        codes.append(codes[-1] | np.where(room >= k, x[np.maximum(i - k, 0)], 0) << BITS * (k - 1))
+    for k in range(DEPTH, -1, -1):
+        ok = room >= k
+        yield i[ok], codes[k][ok], x[i[ok]]
+
+
+def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
+    """(word, border, n, n_all): how often each word (over all rows) and each border (over the training rows) occurs."""
+
+    def packed(words: list, border: list | np.ndarray, n: list | np.ndarray, n_all: list | np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(border, pa.int64()), pa.array(n, pa.int64()), pa.array(n_all, pa.int64())], ["word", "border", "n", "n_all"])
+
+    def of(n: Counter, n_all: Counter) -> pa.RecordBatch:
+        return packed(list(n_all), [None] * len(n_all), [n[w] for w in n_all], list(n_all.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        n, n_all = Counter(), Counter()
         for batch in batches:
-            for t in batch["t"]:
-                n.update(tokens(t.as_py()))
-                if len(n) > FLUSH:
-                    yield packed(n)
-                    n = Counter()
-        yield packed(n)
-
-    def packed(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-    return rows.select(F.col(text).alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def context_counts(words: DataFrame, depth: int) -> DataFrame:
-    """context, symbol and n over words with their numbers."""
+            split = []
+            for t, known in zip(batch["t"].to_pylist(), batch["train"].to_pylist()):
+                w = tokens(t)
+                n_all.update(w)
+                if known:
+                    n.update(w)
+                    split.append(w)
+                if len(n_all) > FLUSH:
+                    yield of(n, n_all)
+                    n, n_all = Counter(), Counter()
+            if split:
+                code, many = summed(borders(spelled(split))[0])
+                yield packed([None] * len(code), code, many, many)
+        yield of(n, n_all)
+
+    data = rows.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
+    return data.mapInArrow(run, "word string, border long, n long, n_all long").groupBy("word", "border").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+
+
+def pair_counts(of: DataFrame) -> DataFrame:
+    """context, symbol and n from the training counts of words and borders."""
+
+    def packed(parts: list) -> pa.RecordBatch:
+        code, n = summed(np.concatenate([c << BITS | s for c, s, _ in parts]), np.concatenate([w for _, _, w in parts]))
+        return pa.RecordBatch.from_arrays([pa.array(code >> BITS), pa.array(code & (1 << BITS) - 1), pa.array(n)], ["context", "symbol", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        parts, size = [], 0
         for batch in batches:
-            for w, c in zip(batch["word"].to_pylist(), batch["n"].to_pylist()):
-                s = chr(START) + w.encode("utf-8", "replace").decode("latin-1") + chr(WORD_END)
-                for i in range(1, len(s)):
-                    for a in range(max(0, i - depth), i + 1):
-                        n[s[a : i + 1]] += c  # context and symbol together
-            if len(n) > FLUSH:
-                yield packed(n)
-                n = Counter()
-        yield packed(n)
-
-    def packed(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s[:-1] for s in n], pa.string()), pa.array([s[-1] for s in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["context", "symbol", "n"])
+            n = batch["n"].to_numpy()
+            is_word = np.asarray(batch["border"].is_null())
+            words = batch["word"].filter(pa.array(is_word)).to_pylist()
+            if words:
+                x, owner = word_symbols(words)
+                many = n[is_word][owner]
+                parts += [(c, s, many[i]) for i, c, s in word_contexts(x, owner)]
+            code = batch["border"].drop_null().to_numpy()
+            many = n[~is_word]
+            parts += [(c, s, many[i]) for i, c, s in border_contexts(code)] if len(code) else []
+            size += sum(len(p[0]) for p in parts[-20:])
+            if size > 1_500_000:
+                yield packed(parts)
+                parts, size = [], 0
+        if parts:
+            yield packed(parts)
+
+    return of.where("n > 0").select("word", "border", "n").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
-    return words.select("word", "n").mapInArrow(run, "context string, symbol string, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
-
-def grown(counts: dict[str, dict[str, int]], depth: int, min_gain: float, texts: int) -> Tree:
+@dataclass(frozen=True)
+class Tree:
+    """Kept contexts with what they give back, and their symbols' log10 probabilities; both sorted by number."""
+
+    states: np.ndarray
+    back: np.ndarray
+    pairs: np.ndarray
+    logs: np.ndarray
+
+    def score(self, levels: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+        """log10 probability at each of ``size`` rows; ``levels`` are (rows, context, symbol), longest contexts first."""
+        out, done = np.zeros(size), np.zeros(size, dtype=bool)
+        for rows, context, symbol in levels:
+            open_ = ~done[rows]
+            rows, context, symbol = rows[open_], context[open_], symbol[open_]
+            if not len(rows):
+                continue
+            at = np.minimum(np.searchsorted(self.states, context), len(self.states) - 1)
+            kept = self.states[at] == context
+            rows, context, symbol, at = rows[kept], context[kept], symbol[kept], at[kept]
+            code = context << BITS | symbol
+            p = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
+            seen = self.pairs[p] == code if len(self.pairs) else np.zeros(len(code), dtype=bool)
+            out[rows] += np.where(seen, self.logs[p] if len(self.logs) else 0.0, self.back[at])
+            done[rows[seen]] = True
+            rest = rows[~seen & (context == 0)]
+            out[rest] -= math.log10(KINDS)
+        return out
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Of each word: log10 probability of its symbols from the third on."""
+        if not words:
+            return np.zeros(0)
+        x, owner = word_symbols(words)
+        return np.bincount(owner, weights=self.score(word_contexts(x, owner), len(x)), minlength=len(words))
+
+    def borders(self, code: np.ndarray) -> np.ndarray:
+        """Of each border: log10 probability of its symbols."""
+        if not len(code):
+            return np.zeros(0)
+        levels = list(border_contexts(code))
+        one, two = [levels[0], *levels[3::2]], [levels[1], levels[2], *levels[4::2]]
+        return self.score(reversed(one), len(code)) + self.score(reversed(two), len(code))
+
+
+def grown(contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray, min_gain: float) -> Tree:
     """The tree from the counts of all contexts of sufficient share."""
-    root = counts.get("", {})
-    states: dict[str, dict[str, float]] = {}
-    back: dict[str, float] = {}
-
-    def probability(context: str, symbol: str) -> float:
+    counts: dict[int, dict[int, int]] = {}
+    for c, s, k in zip(contexts.tolist(), symbols.tolist(), n.tolist()):
+        counts.setdefault(c, {})[s] = k
+    states: dict[int, dict[int, float]] = {0: {}}
+    back: dict[int, float] = {0: 1.0}
+
+    def suffix_of(context: int) -> int:
+        """The longest kept proper suffix: drop oldest symbols (the upper bits)."""
+        top = (context.bit_length() - 1) // BITS
+        while top > 0:
+            context &= (1 << BITS * top) - 1
+            if context in states:
+                return context
+            top = (context.bit_length() - 1) // BITS
+        return 0
+
+    def probability(context: int, symbol: int) -> float:
         scale = 1.0
-        while True:
-            p = states[context].get(symbol)
-            if p is not None:
-                return scale * p
+        while (p := states[context].get(symbol)) is None:
             scale *= back[context]
             if not context:
-                return scale / SYMBOLS
-            context = context[1:]
-            while context not in states:
-                context = context[1:]
-
-    def add(context: str, follow: dict[str, int]) -> None:
-        n, kinds = sum(follow.values()), len(follow)
-        suffix = context[1:]
-        while context and suffix not in states:
-            suffix = suffix[1:]
-        states[context] = {s: (c + kinds * (probability(suffix, s) if context else 1 / SYMBOLS)) / (n + kinds) for s, c in follow.items()}
-        back[context] = kinds / (n + kinds)
-
-    states[""], back[""] = {}, 1.0
-    if root:
-        add("", root)
-    for context in sorted((c for c in counts if c), key=lambda c: (len(c), c)):
-        suffix = context[1:]
-        while suffix not in states:
-            suffix = suffix[1:]
+                return scale / KINDS
+            context = suffix_of(context)
+        return scale * p
+
+    for context in sorted(counts, key=lambda c: ((c.bit_length() + BITS - 1) // BITS, c)):
         follow = counts[context]
-        n = sum(follow.values())
-        gain = sum(c * math.log(c / n / probability(suffix, s)) for s, c in follow.items())
-        if gain >= min_gain:
-            add(context, follow)
-    words = sum(counts.get(chr(START), {}).values())
-    return Tree(states, back, depth, math.log10((texts + 0.5) / (words + texts + 1)))
+        total, kinds = sum(follow.values()), len(follow)
+        suffix = suffix_of(context) if context else 0
+        before = {s: probability(suffix, s) if context else 1 / KINDS for s in follow}
+        if context and sum(c * math.log(c / total / before[s]) for s, c in follow.items()) < min_gain:
+            continue
+        states[context] = {s: (c + kinds * before[s]) / (total + kinds) for s, c in follow.items()}
+        back[context] = kinds / (total + kinds)
+    kept = np.array(sorted(states), dtype=np.int64)
+    pairs = np.array([c << BITS | s for c, f in states.items() for s in f], dtype=np.int64)
+    logs = np.log10(np.array([p for f in states.values() for p in f.values()], dtype=float))
+    order = np.argsort(pairs)
+    return Tree(kept, np.log10(np.array([back[c] for c in kept.tolist()])), pairs[order], logs[order])
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What is learned: the distinct words with their numbers (a written table), their totals, the tree and the frequent words."""
+    """What is learned: the table (word, n, rest) of all distinct words, the totals, the tree and the frequent words' (n, rest)."""
 
     words: DataFrame
     total: int
     distinct: int
     texts: int
     tree: Tree
-    frequent: dict[str, int]
+    frequent: dict[str, tuple[int, float]]
 
 
-def learn(rows: DataFrame, *, text: str = "text", depth: int = 6, min_share: float = 1e-5, min_gain: float = 8.0) -> Corpus:
-    words = saved(word_counts(rows, text))
-    texts = rows.count()
-    n, v, symbols = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") * (F.octet_length("word") + 1)), F.lit(0))).first()
+def learn(rows: DataFrame, train: Column, *, text: str = "text", min_share: float = 1e-5, min_gain: float = 8.0) -> Corpus:
+    """Learn from the rows that ``train`` marks; the other rows' words are listed with count zero."""
+    of = saved(counted(rows, text, train))
+    texts = rows.where(train).count()
+    n, v, symbols = of.where("word is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.col("n") * (F.octet_length("word") + 1)), F.lit(0))).first()
     total, distinct = n + texts, v + (texts > 0)
-    of = saved(context_counts(words, depth))
-    large = of.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= min_share * symbols)
-    found = of.join(large.select("context"), "context", "left_semi").toArrow()  # at most (depth + 1) / min_share contexts
-    counts: dict[str, dict[str, int]] = {}
-    for c, s, k in zip(*(found[x].to_pylist() for x in ("context", "symbol", "n"))):
-        counts.setdefault(c, {})[s] = k
-    often = words.where(F.col("n") >= max(1.0, min_share / 10 * total)).toArrow()  # at most 10 / min_share words
-    return Corpus(words, total, distinct, texts, grown(counts, depth, min_gain, texts), dict(zip(often["word"].to_pylist(), often["n"].to_pylist())))
+    pairs = saved(pair_counts(of))
+    large = pairs.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= min_share * symbols)
+    # a bounded table: at most (DEPTH + 1) / min_share contexts
+    found = pairs.join(large.select("context"), "context", "left_semi").toArrow()
+    tree = grown(*(found[c].to_numpy() for c in ("context", "symbol", "n")), min_gain)
+    model = rows.sparkSession.sparkContext.broadcast(tree)
 
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array(model.value.words(b["word"].to_pylist())), b["n_all"]], ["word", "n", "rest", "n_all"])
 
-def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep``, n_tokens, n_known, base_score and score of every row."""
-    spark = rows.sparkSession
-    model = spark.sparkContext.broadcast((corpus.tree, corpus.frequent))
-    bottom = corpus.total + 0.1 * (corpus.distinct + 1)
-    texts = corpus.texts
+    words = saved(of.where("word is not null").select("word", "n", "n_all").mapInArrow(rest, "word string, n long, rest double, n_all long"))
+    # at most 10 / min_share words of the whole corpus are so frequent
+    every = words.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
+    often = words.where(F.col("n_all") >= max(1.0, min_share / 10 * every)).toArrow()
+    return Corpus(words.drop("n_all"), total, distinct, texts, tree, {w: (k, r) for w, k, r in zip(*(often[c].to_pylist() for c in ("word", "n", "rest")))})
 
-    def log_of(n: Column) -> Column:
-        return F.log10((n + F.lit(0.1)) / F.lit(bottom))
+
+def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep``, n_tokens, n_known, base_score and score of rows that ``learn`` has read."""
+    model = rows.sparkSession.sparkContext.broadcast((corpus.tree, corpus.frequent))
+    bottom, texts = corpus.total + 0.1 * (corpus.distinct + 1), corpus.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, frequent = model.value
-        logs = {w: math.log10((n + 0.1) / bottom) for w, n in frequent.items()}
-        known: dict[str, float] = {}
+        known = {w: (math.log10((n + 0.1) / bottom), rest, n > 0) for w, (n, rest) in frequent.items()}
+        end = math.log10((texts + 0.1) / bottom)
         part, row = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
-            out = []
-            for t in batch["t"]:
-                n = Counter(tokens(t.as_py()))
-                if len(known) > CACHED:
-                    known.clear()
-                score, base, seen, rare = tree.end, math.log10((texts + 0.1) / bottom), int(texts > 0), []
-                for w, c in n.items():
-                    p = known.get(w)
-                    if p is None:
-                        p = known[w] = tree.word(w)
-                    score += c * p
-                    b = logs.get(w)
-                    if b is None:
-                        rare.append((w, c))
-                    else:
-                        base += c * b
-                        seen += c
-                out.append((part | row, 1 + sum(n.values()), seen, base, score, [w for w, _ in rare], [c for _, c in rare]))
-                row += 1
-            cols = list(zip(*out)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-            names = ["row", "n_tokens", "known", "base", "score", "rare", "times"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), batch["own"]], [*names, "own"])
-
-    data = rows.select(F.struct(*keep).alias("own"), F.col(text).alias("t"))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                split = [tokens(t) for t in batch["t"].to_pylist()]
+                s = spelled(split)
+                code, place = borders(s)
+                some, back = np.unique(code, return_inverse=True)
+                owner = np.searchsorted(np.flatnonzero(s == TEXT_END), place)
+                across = np.bincount(owner, weights=tree.borders(some)[back], minlength=len(split)).tolist()
+                out = []
+                for w, score in zip(split, across):
+                    base, seen, rare, times = end, int(texts > 0), [], []
+                    for word, c in Counter(w).items():
+                        k = known.get(word)
+                        if k is None:
+                            rare.append(word)
+                            times.append(c)
+                        else:
+                            base += c * k[0]
+                            score += c * k[1]
+                            seen += c * k[2]
+                    out.append((part | row, 1 + len(w), seen, base, score, rare, times))
+                    row += 1
+                cols = list(zip(*out)) or [[]] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), batch["own"]], ["row", "n_tokens", "known", "base", "score", "rare", "times", "own"])
+
+    data = rows.select(F.struct(*keep).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = data.schema["own"].dataType.simpleString()
     done = saved(data.mapInArrow(run, f"row long, n_tokens long, known long, base double, score double, rare array<string>, times array<int>, own {kind}"))
     rare = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("c"))
-    joined = rare.join(corpus.words, "word", "left").select("row", "c", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = joined.groupBy("row").agg(F.sum(F.col("c") * log_of(F.col("n"))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("also"))
+    joined = rare.join(corpus.words, "word")  # every word of every row is in the table
+    sums = joined.groupBy("row").agg(
+        F.sum(F.col("c") * F.log10((F.col("n") + F.lit(0.1)) / F.lit(bottom))).alias("base_more"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("known_more"), F.sum(F.col("c") * F.col("rest")).alias("more")
+    )
     both = done.drop("rare", "times").join(sums, "row", "left")
-    return both.select("own.*", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    return both.select("own.*", "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
