@@ -43,7 +43,7 @@ BITS = 9
 START, WORD_END, TEXT_END = 257, 258, 259
 #: All but START can come next.
 KINDS = 258
-FLUSH = 400_000
+FLUSH = 300_000
 
 
 def tokens(text: str) -> list[str]:
@@ -148,26 +148,30 @@ def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
     def packed(words: list, border: list | np.ndarray, n: list | np.ndarray, n_all: list | np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(border, pa.int64()), pa.array(n, pa.int64()), pa.array(n_all, pa.int64())], ["word", "border", "n", "n_all"])
 
-    def of(n: Counter, n_all: Counter) -> pa.RecordBatch:
-        return packed(list(n_all), [None] * len(n_all), [n[w] for w in n_all], list(n_all.values()))
+    def of(n: Counter, other: Counter) -> Iterator[pa.RecordBatch]:
+        yield packed(list(n), [None] * len(n), list(n.values()), list(n.values()))
+        yield packed(list(other), [None] * len(other), [0] * len(other), list(other.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, n_all = Counter(), Counter()
-        for batch in batches:
-            split = []
-            for t, known in zip(batch["t"].to_pylist(), batch["train"].to_pylist()):
-                w = tokens(t)
-                n_all.update(w)
-                if known:
-                    n.update(w)
-                    split.append(w)
-                if len(n_all) > FLUSH:
-                    yield of(n, n_all)
-                    n, n_all = Counter(), Counter()
-            if split:
-                code, many = summed(borders(spelled(split))[0])
-                yield packed([None] * len(code), code, many, many)
-        yield of(n, n_all)
+        n, other = Counter(), Counter()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                split = []
+                for t, known in zip(batch["t"].to_pylist(), batch["train"].to_pylist()):
+                    w = tokens(t)
+                    if known:
+                        n.update(w)
+                        split.append(w)
+                    else:
+                        other.update(w)
+                if split:
+                    code, many = summed(borders(spelled(split))[0])
+                    yield packed([None] * len(code), code, many, many)
+                if len(n) + len(other) > FLUSH:
+                    yield from of(n, other)
+                    n, other = Counter(), Counter()
+        yield from of(n, other)
 
     data = rows.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     return data.mapInArrow(run, "word string, border long, n long, n_all long").groupBy("word", "border").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
@@ -338,8 +342,8 @@ def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id"
         end = math.log10((texts + 0.1) / bottom)
         part, row = TaskContext.get().partitionId() << 40, 0
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 split = [tokens(t) for t in batch["t"].to_pylist()]
                 s = spelled(split)
                 code, place = borders(s)
