@@ -17,8 +17,8 @@ from framelake.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE = 0.4
-#: Fingerprints of five-word shingles; documents link if one of them differs in three bits or fewer.
-TABLES = 6
+#: Fingerprints of five-word shingles; documents link from an estimated similarity of 0.8 on.
+TABLES = 4
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
-    groups = simhash.near_duplicates(rows.select("row", "text"), id_col="row", words=5, tables=TABLES)
+    groups = simhash.near_duplicates(rows.select("row", "text"), id_col="row", words=5, tables=TABLES, similarity=0.8)
     first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
     return rows.join(first.select(F.col("m.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 

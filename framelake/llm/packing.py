@@ -31,6 +31,8 @@ from .common import saved
 
 CAPACITY = 4096
 CACHED = 500_000
+#: A character that is one token of its own between white space; texts may hold it, too.
+MARK = "\x01"
 #: Splitting here changes no ids: the tokenizer drops white space, and its parts never span it.
 CHUNKS = re.compile(r"[^ \t\n\r]+")
 
@@ -43,17 +45,25 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def learn(self, texts_chunks: list[list[str]]) -> None:
         new = set().union(*texts_chunks).difference(self.known)
         if len(self.known) + len(new) > CACHED:
             self.known = {}
             new = set().union(*texts_chunks)
-        todo = list(new)
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[s] = np.array(e.ids, dtype="<u4").tobytes()
+        # many chunks in one text, with a mark between them that is a token of its own
+        todo = [s for s in new if MARK not in s]
+        for s in new.difference(todo):
+            self.known[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for at in range(0, len(todo), 2000):
+            part = todo[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the mark is not a token of its own in this vocabulary")
+            raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(starts, ends))))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
@@ -61,7 +71,7 @@ class ChunkEncoder:
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and size < 4 << 20:
-                split.append(CHUNKS.findall(texts[at]))
+                split.append(CHUNKS.findall(texts[at].lower() if texts[at].isascii() else texts[at]))  # it lower-cases, too
                 size += len(texts[at])
                 at += 1
             self.learn(split)

@@ -22,6 +22,7 @@ texts share fingerprint and component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,7 +42,7 @@ GENERATOR = 0b101011100011
 BITS = (21, 21, 22)
 #: Buckets of more rows are searched for a spanning forest, not pair by pair.
 WIDE = 64
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX = 0x9E3779B97F4A7C15
 
 
 @lru_cache(maxsize=1)
@@ -77,13 +78,15 @@ def near_indices(segment: np.ndarray) -> np.ndarray:
     return np.where(near[s] >= 0, near[s] ^ nearest[:, None], -1)
 
 
-def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of unsigned fingerprints."""
+def keys_of(fp: np.ndarray, rest: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of unsigned fingerprints; ``rest``: with the two keys for errors that all fall in one segment."""
     f = fp.astype(np.uint64)
     a, b, c = ((f >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in zip((43, 22, 0), BITS))
     ka, kb = near_indices(a), near_indices(b)
     pair = np.where((ka[:, :, None] >= 0) & (kb[:, None, :] >= 0), ka[:, :, None] << 12 | kb[:, None, :], -1).reshape(len(f), 36)
     row, col = np.nonzero(pair >= 0)
+    if not rest:
+        return row, pair[row, col]
     every = np.arange(len(f))
     return np.concatenate([row, every, every]), np.concatenate([pair[row, col], (1 << 60) | (b << 22) | c, (2 << 60) | (a << 22) | c])
 
@@ -116,7 +119,7 @@ def remixed(hashes: np.ndarray, table: int) -> np.ndarray:
     """Another hash of the same shingles for each further table."""
     if not table:
         return hashes
-    x = hashes + MIX * np.uint64(table)
+    x = hashes + np.uint64(MIX * table % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -158,7 +161,12 @@ class Forest:
         return a != b
 
 
-def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of one or more 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(1)
+
+
+def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
     """Links among rows of equal key (sorted by key); wide buckets give a spanning forest."""
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     sizes = np.diff(cut)
@@ -168,7 +176,7 @@ def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.ndarray, d
     while len(i):
         i = i[i + step < len(key)]
         i = i[key[i + step] == key[i]]
-        hit = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= distance]
+        hit = i[apart(fp[i], fp[i + step]) <= distance]
         yield from zip(node[hit].tolist(), node[hit + step].tolist())
         step += 1
     for start, n in zip(cut[:-1][sizes > WIDE].tolist(), sizes[sizes > WIDE].tolist()):
@@ -180,15 +188,16 @@ def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.ndarray, d
                 queue.append(int(left[0]))
                 left = left[1:]
             u = queue.pop()
-            near = np.bitwise_count(f[left] ^ f[u]) <= distance
+            near = apart(f[left], f[u]) <= distance
             for v in left[near].tolist():
                 yield int(x[u]), int(x[v])
                 queue.append(v)
             left = left[~near]
 
 
-def linked(keyed: DataFrame, by: list[str], distance: int, hot: int | None) -> DataFrame:
-    """Links (a, b) among rows (by..., fp, node) of equal ``by``; (null, key) for keys put off."""
+def linked(keyed: DataFrame, distance: int, hot: int | None) -> DataFrame:
+    """Links (a, b) among rows (key, f0..., node) of equal key; (null, key) for keys put off."""
+    words = [c for c in keyed.columns if c not in ("key", "node")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, n_held = Forest(), [], 0
@@ -196,7 +205,7 @@ def linked(keyed: DataFrame, by: list[str], distance: int, hot: int | None) -> D
 
         def search(key, fp, node) -> tuple[list, list]:
             a, b = [], []
-            for x, y in links(key, fp, node, key, distance):
+            for x, y in links(key, fp, node, distance):
                 if x != y and forest.join(x, y):
                     a.append(x)
                     b.append(y)
@@ -209,7 +218,7 @@ def linked(keyed: DataFrame, by: list[str], distance: int, hot: int | None) -> D
             if not batch.num_rows:
                 continue
             key = batch["key"].to_numpy()
-            held.append((key, batch["fp"].to_numpy(), batch["node"].to_numpy()))
+            held.append((key, np.stack([batch[w].to_numpy() for w in words], axis=1), batch["node"].to_numpy()))
             n_held += len(key)
             cols = [np.concatenate(c) for c in zip(*held)]
             last = np.searchsorted(cols[0], cols[0][-1])  # rows of the last key wait for the next batch
@@ -235,46 +244,61 @@ def linked(keyed: DataFrame, by: list[str], distance: int, hot: int | None) -> D
         if late:
             yield packed([None] * len(late), sorted(late))
 
-    return keyed.repartition(*by).sortWithinPartitions(*by).select(*by, "fp", "node").mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_links(nodes: DataFrame, distance: int = 3, hot: int = 20_000) -> DataFrame:
-    """Links between the distinct rows (node, table, fp) that differ in up to ``distance`` bits, enough to connect them."""
-    if distance > 3:
+def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int = 20_000) -> DataFrame:
+    """Links among the distinct rows (node, fps), enough to connect what links.
+
+    One table: nodes link whose fingerprints differ in up to ``distance`` <= 3 bits, and
+    none is missed. More tables: each table's keys propose pairs, and nodes link
+    whose other tables' fingerprints differ in up to ``distance`` bits together.
+    """
+    if tables == 1 and distance > 3:
         raise ValueError("segments are decoded for up to three differing bits")
+    words = [f"f{i}" for i in range(max(1, tables - 1))]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                fp = part["fp"].to_numpy()
-                row, key = keys_of(fp.view(np.uint64))
-                key = key ^ (part["t"].to_numpy().astype(np.int64)[row] << 46)  # tables keep apart; 46 to 59 are free
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(part["node"].to_numpy()[row])], ["key", "fp", "node"])
-
-    keyed = nodes.select("t", "fp", "node").mapInArrow(expand, "key long, fp long, node long")
-    found = saved(linked(keyed, ["key"], distance, hot))
+                node, fps = part["node"].to_numpy(), part["fps"].flatten().to_numpy().reshape(-1, tables)
+                for t in range(tables):
+                    row, key = keys_of(np.ascontiguousarray(fps[:, t]).view(np.uint64), tables == 1)
+                    cols = [fps[:, (t + 1 + i) % tables][row] for i in range(len(words))]
+                    yield pa.RecordBatch.from_arrays([pa.array(key | t << 46), *map(pa.array, cols), pa.array(node[row])], ["key", *words, "node"])
+
+    keyed = nodes.select("node", "fps").mapInArrow(expand, f"key long, {', '.join(f'{w} long' for w in words)}, node long")
+    found = saved(linked(keyed, distance, hot))
     edges = found.where("a is not null")
     late = found.where("a is null").select(F.col("b").alias("key")).distinct()
     if not late.isEmpty():
         rows = saved(keyed.join(late, "key", "left_semi"))
         blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (hot / 2)).cast("int").alias("n"))
-        dealt = rows.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("node", "fp"), F.col("n")).cast("int"))
+        dealt = rows.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("node", *words), F.col("n")).cast("int"))
         dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        cells = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "fp", "node")
         # a cell's number may collide with another's; that only adds pairs, which are verified
-        edges = edges.union(saved(linked(cells, ["key"], distance, None)))
+        cells = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), *words, "node")
+        edges = edges.union(saved(linked(cells, distance, None)))
     return edges
 
 
-def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, tables: int = 1, hot: int = 20_000) -> DataFrame:
-    """``id_col``, fingerprint (hex, of the first table) and component_id, the smallest id that links reach."""
+def bits_at(similarity: float, bits: int, margin: float = 0.025) -> int:
+    """How many of ``bits`` differ at most for shingle sets of this Jaccard similarity, with a margin for chance."""
+    return int(bits * (math.acos(2 * similarity / (1 + similarity)) / math.pi + margin))
+
+
+def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, tables: int = 1, similarity: float | None = None, hot: int = 20_000) -> DataFrame:
+    """``id_col``, fingerprint (hex, of the first table) and component_id, the smallest id that links reach.
+
+    With ``similarity`` (and several ``tables``) texts link whose shingles are estimated to be that similar or more.
+    """
+    if similarity is not None:
+        distance = bits_at(similarity, 64 * (tables - 1))
     marked = saved(fingerprints(rows, id_col=id_col, text=text, words=words, tables=tables).withColumn("node", F.col("fps")[0] if tables == 1 else F.xxhash64("fps")))
     nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps")))
-    edges = near_links(nodes.select("node", F.posexplode("fps").alias("t", "fp")), distance, hot)
-    roots = saved(connected_components(edges))
-    parts = nodes.join(roots, "node")
-    best = parts.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = saved(connected_components(near_links(nodes, tables, distance, hot)))
+    best = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = roots.join(best, "root").select("node", "component_id")
     final = saved(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(final, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
