@@ -25,45 +25,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import saved
 
 CAPACITY = 4096
 CACHED = 500_000
-#: A character that is one token of its own between white space; texts may hold it, too.
-MARK = "\x01"
 #: Splitting here changes no ids: the tokenizer drops white space, and its parts never span it.
 CHUNKS = re.compile(r"[^ \t\n\r]+")
+#: Letters that normalising leaves single: Latin ones without U+0130, which becomes two characters.
+LATIN = "".join(chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha() and c != 0x130)
+#: Chunks of these characters alone split into the same parts before as after normalising.
+PLAIN = re.compile(f"[!-~{LATIN}]+")
+#: The tokenizer's own parts, for lower-case plain chunks, one on each line.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|\n|[^0-9a-z{LATIN}\n]+")
+#: Stands for the line end among ids.
+BREAK = 0xFFFFFFFF
+#: Special tokens are found in the raw text; a chunk that may hold one is left to the library whole.
+SPECIAL = "<|"
 
 
 class ChunkEncoder:
-    """Ids of whole texts from the ids of their white-space-free chunks, which repeat."""
+    """Ids of whole texts from the ids of their white-space-free chunks, which repeat.
+
+    Plain chunks are split further into the tokenizer's parts, which repeat more; the parts
+    go to the BPE model in long lists, and a token with the end-of-word suffix closes each.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # bytes as the vocabulary writes them; those from 0x80 on occur in two-byte characters only
+        self.written = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in map(ord, LATIN)}
         self.known: dict[str, bytes] = {}
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.parts: dict[str, bytes] = {}
+
+    def learn_parts(self, wanted: set[str]) -> None:
+        new = list(wanted.difference(self.parts, "\n"))
+        if len(self.parts) + len(new) > CACHED:
+            self.parts, new = {}, list(wanted.difference("\n"))
+        self.parts["\n"] = np.array([BREAK], dtype="<u4").tobytes()
+        new.sort(key=str.isascii)  # lists of ASCII parts need no translation
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            text = " ".join(part)
+            ids = np.array(self.model.encode_batch_fast([text if text.isascii() else text.translate(self.written)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * np.flatnonzero(self.closes[ids]) + 4
+            if len(ends) != len(part):
+                raise ValueError("a part does not end with one closing token in this vocabulary")
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.parts.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
     def learn(self, texts_chunks: list[list[str]]) -> None:
         new = set().union(*texts_chunks).difference(self.known)
         if len(self.known) + len(new) > CACHED:
             self.known = {}
             new = set().union(*texts_chunks)
-        # many chunks in one text, with a mark between them that is a token of its own
-        todo = [s for s in new if MARK not in s]
-        for s in new.difference(todo):
-            self.known[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for at in range(0, len(todo), 2000):
-            part = todo[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the mark is not a token of its own in this vocabulary")
-            raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(starts, ends))))
+        plain = [s for s in new if PLAIN.fullmatch(s) and SPECIAL not in s]
+        if plain:
+            parts = PARTS.findall("\n".join(plain).lower())
+            self.learn_parts(set(parts))
+            raw = b"".join(map(self.parts.__getitem__, parts))
+            breaks = 4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == BREAK)
+            self.known.update(zip(plain, map(raw.__getitem__, map(slice, [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(raw)]))))
+        rest = list(new.difference(plain))
+        for s, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[s] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
@@ -71,8 +105,9 @@ class ChunkEncoder:
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and size < 4 << 20:
-                split.append(CHUNKS.findall(texts[at].lower() if texts[at].isascii() else texts[at]))  # it lower-cases, too
-                size += len(texts[at])
+                text = texts[at]
+                split.append(CHUNKS.findall(text.lower() if text.isascii() and SPECIAL not in text else text))  # it lower-cases, too
+                size += len(text)
                 at += 1
             self.learn(split)
             for chunks in split:

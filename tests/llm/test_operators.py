@@ -267,3 +267,20 @@ def test_pipeline(spark, docs):
     assert len(set(texts)) == len(texts) and len(texts) >= 0.6 * docs.select("text").distinct().count()
     out = corpus_pipeline.run(spark, DIR)
     assert 0 < out.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_packing_ids_of_odd_texts_equal_the_library():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from framelake.llm.packing import ChunkEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, ours = Tokenizer.from_file(path), ChunkEncoder(path)
+    texts = [
+        "it's IT'S 'sample %%%'s x'll", "<|EndOfText|> a<|endoftext|>b <|startoftext|>", "İstanbul ǅ \xdf ſ ŉ éa é% क़% a\xa0b a\x0bb", "１２ \xbd \xb2x 12a3 日本語 ΣΑΣ. \xdcn\xef_code",
+        "", " ", "\x01 a\x01b", "x" * 5000, "ⅷ a\xadb \xaa\xba ʰ", "a\x85b \x1c\x1d", "\xc9l\xe8ve,\xc9L\xc8VE###l'\xe9t\xe9",
+    ]
+    for text, raw in zip(texts, ours.encode(texts)):
+        assert np.frombuffer(raw, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
