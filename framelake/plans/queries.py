@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import color
+from ..functions import color, develop
 from ..operators import catalog, masks, neighbourhood, tone
 from ..sources.frames import SIDE, carrier_frames, grid, table
 from ..streaming.latest import latest_generation
@@ -406,3 +406,86 @@ def settings_inherit(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 10).alias("depth"), F.when(F.col("doc_id") % 4 == 0, F.col("n_chars")).alias("setting"))
     w = Window.partitionBy("source").orderBy("depth", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     return s.select("doc_id", F.coalesce(F.last("setting", ignorenulls=True).over(w), F.lit(-1)).alias("inherited"))
+
+
+def hermite_sql(points: list[tuple[float, float]], x: str) -> str:
+    """The curve in the textbook's basis functions."""
+    cases = []
+    for j, ((a, p), (b, q)) in enumerate(zip(points, points[1:])):
+        h, d = b - a, (q - p) / (b - a)
+        left = points[j - 1] if j else points[j]
+        right = points[j + 2] if j + 2 < len(points) else points[j + 1]
+        m = min(max((q - left[1]) / (b - left[0]), 0), 3 * d)
+        n = min(max((right[1] - p) / (right[0] - a), 0), 3 * d)
+        t = f"(({x}) - {a}::DOUBLE) / {h}::DOUBLE"
+        cases.append(f"WHEN ({x}) <= {b}::DOUBLE THEN (2 * pow({t}, 3) - 3 * pow({t}, 2) + 1) * {p}::DOUBLE + (pow({t}, 3) - 2 * pow({t}, 2) + {t}) * {h * m}::DOUBLE + (3 * pow({t}, 2) - 2 * pow({t}, 3)) * {q}::DOUBLE + (pow({t}, 3) - pow({t}, 2)) * {h * n}::DOUBLE")
+    return f"greatest(0, least(1, CASE {' '.join(cases)} END))"
+
+
+MASTER, RED = [(0.0, 0.0), (0.25, 0.18), (0.7, 0.8), (1.0, 1.0)], [(0.0, 0.0), (0.5, 0.6), (1.0, 1.0)]
+
+
+@register(f"{PX}, m AS (SELECT *, {hermite_sql(MASTER, 'l')} AS m, {hermite_sql(RED, 'r / 255.0::DOUBLE')} AS cr, g / 255.0::DOUBLE AS cg, b / 255.0::DOUBLE AS cb FROM lum) SELECT image_id, x, y, " + ", ".join(f"CAST(round(greatest(0, least(1, CASE WHEN l > 1e-9 THEN c{c} * m / l ELSE m END)) * 255) AS INTEGER) AS {c}" for c in "rgb") + " FROM m")
+def tone_curve(spark: SparkSession, d: str) -> DataFrame:
+    return develop.curves(carrier_frames(spark, d), MASTER, r=RED).select(*RGB)
+
+
+SHIFTS = {"red": (0.5, 0.2, -0.1), "green": (-0.4, 0.0, 0.0), "blue": (0.0, -0.3, 0.1)}
+
+
+def band_sql(k: int) -> str:
+    """Weights of triangles around the centres, added up."""
+    centres = list(develop.BANDS.items())
+    terms = []
+    for i, (name, c) in enumerate(centres):
+        if name in SHIFTS and SHIFTS[name][k]:
+            after, before = (centres[(i + 1) % 8][1] - c) % 360, (c - centres[i - 1][1]) % 360
+            ahead, behind = (f"(({e}) - 360 * floor(({e}) / 360))" for e in (f"h - {c}::DOUBLE", f"{c}::DOUBLE - h"))
+            terms.append(f"{SHIFTS[name][k]}::DOUBLE * CASE WHEN {ahead} <= {after} THEN 1 - {ahead} / {after} WHEN {behind} <= {before} THEN 1 - {behind} / {before} ELSE 0 END")
+    return " + ".join(terms)
+
+
+@register(f"{HSL} " + rgb_sql(f"SELECT image_id, x, y, h - 360 * floor(h / 360) AS h, greatest(0, least(1, s)) AS s, greatest(0, least(1, l)) AS l FROM (SELECT image_id, x, y, h + 30 * ({band_sql(0)}) AS h, s + {band_sql(1)} AS s, l + {band_sql(2)} AS l FROM hsl)"))
+def hsl_mix(spark: SparkSession, d: str) -> DataFrame:
+    return develop.hue_bands(carrier_frames(spark, d), **SHIFTS).select(*RGB)
+
+
+EASE = "{t} * {t} * (3 - 2 * {t})"
+#: Full tints at hues 220, 30 and 50.
+TINTS = dict(r=(0.0, 1.0, 1.0), g=(1 / 3, 0.5, 5 / 6), b=(1.0, 0.0, 0.0))
+
+
+def graded_sql(c: str) -> str:
+    e = f"({c} / 255.0::DOUBLE)"
+    for k, s in enumerate((0.3, 0.1, 0.25)):
+        e = f"({e} + ({TINTS[c][k]}::DOUBLE - {e}) * (w{k} / (w0 + w1 + w2) * {s}::DOUBLE))"
+    return f"CAST(greatest(0, least(255, round({e} * 255))) AS INTEGER) AS {c}"
+
+
+@register(f"""{PX}, t AS (SELECT *, least(1, l / 0.62::DOUBLE) AS ts, greatest(0, (l - 0.32::DOUBLE) / 0.68::DOUBLE) AS th FROM lum),
+w AS (SELECT *, 1 - {EASE.format(t='ts')} AS w0, {EASE.format(t='th')} AS w2 FROM t), v AS (SELECT *, greatest(0, 1 - w0 - w2) AS w1 FROM w) SELECT image_id, x, y, {', '.join(map(graded_sql, 'rgb'))} FROM v""")
+def color_grade(spark: SparkSession, d: str) -> DataFrame:
+    return develop.color_grade(carrier_frames(spark, d), (220, 0.3), (30, 0.1), (50, 0.25), 0.2).select(*RGB)
+
+
+@register(f"""{PX}, k AS (SELECT a.image_id, a.x, a.y, a.r, a.g, a.b, min(least(b.r, b.g, b.b)) AS dark FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL),
+air AS (SELECT image_id, greatest(list_sort(list(dark))[CAST(floor(count(*) * 0.95::DOUBLE) AS INTEGER) + 1] / 255.0::DOUBLE, 0.05::DOUBLE) AS air FROM k GROUP BY image_id),
+t AS (SELECT *, 1 - 0.3::DOUBLE * (1 - greatest(0.05::DOUBLE, least(1, 1 - 0.95::DOUBLE * (dark / 255.0::DOUBLE) / air))) AS t FROM k JOIN air USING (image_id))
+SELECT image_id, x, y, """ + ", ".join(f"CAST(round(greatest(0, least(1, ({c} / 255.0::DOUBLE - air) / t + air)) * 255) AS INTEGER) AS {c}" for c in "rgb") + " FROM t")
+def dehaze(spark: SparkSession, d: str) -> DataFrame:
+    return develop.dehaze(neighbourhood.dark_channel(carrier_frames(spark, d)), 0.3).select(*RGB)
+
+
+def mix_sql(source: str, into: str, column: str) -> str:
+    """Table ``into``: the 32-bit mix of a column as column z."""
+    return f"""{into}0 AS (SELECT *, ({column} + 2654435769) % 4294967296 AS z0 FROM {source}), {into}1 AS (SELECT * EXCLUDE z0, CAST((CAST(xor(z0, z0 >> 16) AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS z1 FROM {into}0),
+{into}2 AS (SELECT * EXCLUDE z1, CAST((CAST(xor(z1, z1 >> 13) AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS z2 FROM {into}1), {into} AS (SELECT * EXCLUDE z2, xor(z2, z2 >> 16) AS z FROM {into}2)"""
+
+
+@register(f"""{PX}, axis AS (SELECT i AS c, (i + {develop.grain_seed(7, SIDE, SIDE)}) % 4294967296 AS a, CAST((CAST(i AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS d FROM range(5) t(i)),
+{mix_sql('axis', 'ax', 'a')}, {mix_sql('axis', 'dn', 'd')}, pair AS (SELECT ax.c AS cx, dn.c AS cy, xor(ax.z, dn.z) AS n FROM ax, dn), {mix_sql('pair', 'mx', 'n')}, noise AS (SELECT cx, cy, z / 4294967296.0::DOUBLE * 2 - 1 AS v FROM mx),
+o AS (SELECT unnest([-1, 0, 1]) AS o), delta AS (SELECT c.cx, c.cy, CAST(round((sum(n.v) / 9 * 0.5::DOUBLE + any_value(c.v) * 0.5::DOUBLE) * 0.4::DOUBLE * 40) AS INTEGER) AS delta
+FROM noise c, o p, o q JOIN noise n ON n.cx = greatest(0, c.cx + p.o) AND n.cy = greatest(0, c.cy + q.o) GROUP BY c.cx, c.cy)
+SELECT image_id, x, y, """ + ", ".join(f"greatest(0, least(255, {c} + delta)) AS {c}" for c in "rgb") + " FROM px JOIN delta ON cx = x // 2 AND cy = y // 2")
+def grain(spark: SparkSession, d: str) -> DataFrame:
+    return develop.grain(carrier_frames(spark, d), SIDE, SIDE, 0.4, 0.2, 0.5, 7).select(*RGB)
