@@ -50,3 +50,35 @@ def catalog_status(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Every name of either side: paired, without sidecar, or orphan sidecar."""
     a, b = images.select("name", F.lit(1).alias("i")), sidecars.select("name", F.lit(1).alias("s"))
     return a.join(b, "name", "full").select("name", F.when(F.col("s").isNull(), "no_sidecar").when(F.col("i").isNull(), "orphan_sidecar").otherwise("paired").alias("status"))
+
+
+def with_preset(recipes: DataFrame, preset: dict[str, float], relative: bool = False) -> DataFrame:
+    """``recipes`` (adjustments: a map, auto_tone) with a preset's keys on top.
+
+    A relative exposure adds to the recipe's own and needs auto tone; a recipe without it stays
+    as it was, with the status needs_auto_tone.
+    """
+    top = F.create_map(*[x for k, v in preset.items() for x in (F.lit(k), F.lit(float(v)))]) if preset else F.create_map().cast("map<string,double>")
+    own = F.coalesce("adjustments", F.create_map().cast("map<string,double>"))
+
+    def value(key: Column, a: Column, b: Column) -> Column:
+        new = F.coalesce(b, a)
+        return F.when((key == "exposure") & b.isNotNull(), F.coalesce(a, F.lit(0.0)) + b).otherwise(new) if relative else new
+
+    refused = ~F.coalesce("auto_tone", F.lit(False)) if relative else F.lit(False)
+    return recipes.withColumns({"status": F.when(refused, "needs_auto_tone").otherwise("ok"), "adjustments": F.when(refused, own).otherwise(F.map_zip_with(own, top, value))})
+
+
+def mask_decision(facts: DataFrame, refresh: bool = False) -> DataFrame:
+    """Where each mask's plane comes from; ``facts`` has booleans status_valid, artifact, source, decode, model, available. Nulls count as false."""
+    is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    valid = is_true("status_valid") & is_true("artifact") & is_true("source") & is_true("decode") & is_true("model")
+    out = F.when(F.lit(False) if refresh else valid, "persisted").when(is_true("available"), "inferred").when(is_true("artifact"), "cached_unavailable").otherwise("model_unavailable")
+    return facts.withColumn("outcome", out)
+
+
+def kept_by_recency(accesses: DataFrame, keys: list[str], entry: str, order: str, size: str, capacity: int) -> DataFrame:
+    """Entries by their last access, newest first, and whether they and all newer ones fit ``capacity``."""
+    last = accesses.groupBy(*keys, entry).agg(F.max(order).alias("last"), F.max_by(size, order).alias("size"))
+    used = F.sum("size").over(Window.partitionBy(*keys).orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, 0))
+    return last.withColumn("kept", used <= capacity)

@@ -489,3 +489,47 @@ FROM noise c, o p, o q JOIN noise n ON n.cx = greatest(0, c.cx + p.o) AND n.cy =
 SELECT image_id, x, y, """ + ", ".join(f"greatest(0, least(255, {c} + delta)) AS {c}" for c in "rgb") + " FROM px JOIN delta ON cx = x // 2 AND cy = y // 2")
 def grain(spark: SparkSession, d: str) -> DataFrame:
     return develop.grain(carrier_frames(spark, d), SIDE, SIDE, 0.4, 0.2, 0.5, 7).select(*RGB)
+
+
+def blurred_sql(source: str, radius: int, passes: int) -> str:
+    """Nested windows: rows, then columns, each pass floored."""
+    out = source
+    for _ in range(passes):
+        for line, place in (("y", "x"), ("x", "y")):
+            w = f"(PARTITION BY image_id, {line} ORDER BY {place} ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
+            out = f"(SELECT image_id, x, y, CAST(floor(sum(v) OVER {w} / count(*) OVER {w}) AS INTEGER) AS v FROM {out})"
+    return out
+
+
+@register(f"{PX} SELECT * FROM {blurred_sql('(SELECT image_id, x, y, r * 257 AS v FROM px)', 1, 3)}")
+def feather_blur(spark: SparkSession, d: str) -> DataFrame:
+    """A feather of 0.3 on frames of eight: radius 1, three passes."""
+    return neighbourhood.box_blur(plane(carrier_frames(spark, d), "r"), int(0.3 * SIDE / 2), 3)
+
+
+@register(f"""WITH r AS (SELECT user_id, {KEY_SQL} AS key, max_by(value, event_id) / 10 AS value FROM events GROUP BY ALL), p(key, add) AS (VALUES ('exposure', 0.5::DOUBLE), ('tint', 0.1::DOUBLE)),
+u AS (SELECT DISTINCT user_id FROM events), k AS (SELECT user_id, key FROM r UNION SELECT user_id, key FROM u, p WHERE user_id % 2 = 0)
+SELECT k.user_id, CASE WHEN k.user_id % 2 = 0 THEN 'ok' ELSE 'needs_auto_tone' END AS status, k.key, round(CASE WHEN k.user_id % 2 = 0 AND add IS NOT NULL THEN CASE WHEN k.key = 'exposure' THEN coalesce(value, 0) + add ELSE add END ELSE value END, 6) AS value
+FROM k LEFT JOIN r ON r.user_id = k.user_id AND r.key = k.key LEFT JOIN p ON p.key = k.key""")
+def preset_merge(spark: SparkSession, d: str) -> DataFrame:
+    latest = table(spark, d, "events").groupBy("user_id", F.expr(KEY).alias("key")).agg((F.max_by("value", "event_id") / 10).alias("value"))
+    # at most one entry for each of the four keys
+    recipes = latest.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("adjustments")).withColumn("auto_tone", F.col("user_id") % 2 == 0)
+    return rounded(catalog.with_preset(recipes, {"exposure": 0.5, "tint": 0.1}, relative=True).select("user_id", "status", F.explode("adjustments").alias("key", "value")))
+
+
+FACTS = dict(status_valid=5, artifact=3, source=7, decode=11, model=13, available=2)
+
+
+@register("WITH f AS (SELECT event_id, " + ", ".join(f"event_id % {m} <> 0 AS {k}" for k, m in FACTS.items()) + """ FROM events)
+SELECT event_id, CASE WHEN status_valid AND artifact AND source AND decode AND model THEN 'persisted' WHEN available THEN 'inferred' WHEN artifact THEN 'cached_unavailable' ELSE 'model_unavailable' END AS outcome FROM f""")
+def mask_decision(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "events").select("event_id", *[(F.col("event_id") % m != 0).alias(k) for k, m in FACTS.items()])
+    return catalog.mask_decision(facts).select("event_id", "outcome")
+
+
+@register("""WITH e AS (SELECT user_id, event_type, max(event_id) AS last, max_by(event_id % 50 + 1, event_id) AS size FROM events GROUP BY ALL)
+SELECT user_id, event_type, last, size, (SELECT sum(n.size) FROM e n WHERE n.user_id = e.user_id AND n.last >= e.last) <= 80 AS kept FROM e""")
+def cache_lru(spark: SparkSession, d: str) -> DataFrame:
+    accesses = table(spark, d, "events").select("user_id", "event_type", "event_id", (F.col("event_id") % 50 + 1).alias("size"))
+    return catalog.kept_by_recency(accesses, ["user_id"], "event_type", "event_id", "size", 80)
