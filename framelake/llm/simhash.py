@@ -162,8 +162,8 @@ class Forest:
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of one or more 64-bit words."""
-    return np.bitwise_count(a ^ b).sum(1)
+    """Differing bits of rows of one or more 64-bit words (counted unsigned: of signed numbers numpy counts the absolute value's bits)."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64)
 
 
 def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:

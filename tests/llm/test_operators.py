@@ -199,6 +199,12 @@ def test_simhash_brute_force(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_across_the_sign_bit():
+    fp = np.array([[5], [5 ^ 3 | -(2**63)], [5 ^ 1], [5 ^ 2**62 | -(2**63)]], dtype=np.int64)
+    assert simhash.apart(fp, fp[0]).tolist() == [0, 3, 1, 2]
+    assert set(simhash.links(np.zeros(4, dtype=np.int64), fp, np.arange(4), 3)) == {(i, j) for i in range(4) for j in range(i + 1, 4) if ((int(fp[i, 0]) ^ int(fp[j, 0])) % 2**64).bit_count() <= 3}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in components.connected_components(edges).collect()} == {(i, 0 if i <= 20 else 21) for i in range(41)}
