@@ -17,8 +17,8 @@ from framelake.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE = 0.4
-#: Fingerprints of five-word shingles; documents link from an estimated similarity of 0.8 on.
-TABLES = 4
+#: Fingerprints of five-word shingles that propose pairs; documents link from a similarity of 0.8 on.
+TABLES = 10
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

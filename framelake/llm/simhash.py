@@ -15,6 +15,16 @@ are passed on (a forest, never all pairs of a group). A key with more than
 blocks is a task's unit of its own. Copies meet before: only
 distinct fingerprints take part.
 
+With ``similarity`` texts link by the Jaccard similarity of their sets of distinct shingles.
+A text has several fingerprints of its set. Near pairs differ in about 15 bits of 100,
+so each key is one segment's near index with ``EXACT_BITS`` bits of the last segment: about eleven
+keys to a fingerprint, and with ten fingerprints about 97 of 100 pairs at exactly the
+threshold share a key, more above it. In each bucket the pairs whose carried fingerprints are near enough
+give a spanning forest of the nearest pairs (at most one pair per row, however large a group
+of near copies is), and each pair so proposed is checked exactly on the two shingle sets. Only checked
+links connect. Texts of equal sets are one node from the start. Buckets grow with the table: each
+doubling of documents takes one more of ``EXACT_BITS`` to hold the bucket size, and more fingerprints for the same recall.
+
 Cases: a null or wordless text has fingerprint zero and links like any other; a text
 with fewer words than a shingle is one shingle; repeated rows and
 texts share fingerprint and component; an empty table gives an empty result.
@@ -42,6 +52,9 @@ GENERATOR = 0b101011100011
 BITS = (21, 21, 22)
 #: Buckets of more rows are searched for a spanning forest, not pair by pair.
 WIDE = 64
+#: Similarity mode: bits beside a segment's index in a key, and fingerprints of other tables that a key carries.
+EXACT_BITS = 8
+CARRIED = 4
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -91,6 +104,19 @@ def keys_of(fp: np.ndarray, rest: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, every, every]), np.concatenate([pair[row, col], (1 << 60) | (b << 22) | c, (2 << 60) | (a << 22) | c])
 
 
+def segment_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of unsigned fingerprints: near index of one segment with some bits of the last segment."""
+    f = fp.astype(np.uint64)
+    a, b, c = ((f >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in zip((43, 22, 0), BITS))
+    rows, keys = [], []
+    for group, (segment, rest) in enumerate(((a, c >> (BITS[2] - EXACT_BITS)), (b, c & ((1 << EXACT_BITS) - 1)))):
+        near = near_indices(segment)
+        row, col = np.nonzero(near >= 0)
+        rows.append(row)
+        keys.append(group << 40 | near[row, col] << EXACT_BITS | rest[row])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bits set in over half of the hashes."""
     if not len(hashes):
@@ -142,6 +168,24 @@ def fingerprints(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return data.mapInArrow(run, f"id {data.schema['id'].dataType.simpleString()}, fps array<bigint>")
 
 
+def set_sketches(rows: DataFrame, *, id_col: str, text: str, words: int, tables: int) -> DataFrame:
+    """id, node (hash of the set of distinct shingles), n (its size) and fps (``tables`` fingerprints of it) of every text."""
+    data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, fps = [], [], []
+            for t in batch["t"]:
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                node.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                n.append(len(h))
+                fps += [fingerprint(remixed(h, k)) for k in range(tables)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, tables), pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], ["id", "node", "n", "fps"])
+
+    return data.mapInArrow(run, f"id {data.schema['id'].dataType.simpleString()}, node long, n long, fps array<bigint>")
+
+
 class Forest:
     """Joins nodes; tells which links were new."""
 
@@ -195,8 +239,54 @@ def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> I
             left = left[~near]
 
 
-def linked(keyed: DataFrame, distance: int, hot: int | None) -> DataFrame:
-    """Links (a, b) among rows (key, f0..., node) of equal key; (null, key) for keys put off."""
+def nearest_links(key: np.ndarray, fp: np.ndarray, n: np.ndarray, node: np.ndarray, distance: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Per bucket (rows sorted by key) a spanning forest of its nearest pairs within ``distance`` whose sizes ``n`` allow the similarity."""
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    sizes = np.diff(cut)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    i = np.flatnonzero(sizes[bucket] <= WIDE)
+    hits, step = [], 1
+    while len(i):
+        i = i[i + step < len(key)]
+        i = i[key[i + step] == key[i]]
+        j = i + step
+        d = apart(fp[i], fp[j])
+        ok = (d <= distance) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        x, y = node[i[ok]], node[j[ok]]
+        hits.append((bucket[i[ok]], d[ok].astype(np.int64), np.minimum(x, y), np.maximum(x, y)))
+        step += 1
+    if hits:
+        b, d, x, y = (np.concatenate(c) for c in zip(*hits))
+        order = np.lexsort((y, x, d, b))
+        forest, last = Forest(), -1
+        for at, u, v in zip(b[order].tolist(), x[order].tolist(), y[order].tolist()):
+            if at != last:
+                forest, last = Forest(), at
+            if forest.join(u, v):
+                yield u, v
+    never = np.iinfo(np.int64).max
+    for start, k in zip(cut[:-1][sizes > WIDE].tolist(), sizes[sizes > WIDE].tolist()):
+        f, x, m = fp[start : start + k], node[start : start + k], n[start : start + k]
+        best, parent, left = np.full(k, never), np.zeros(k, dtype=np.int64), np.ones(k, dtype=bool)
+        u = 0
+        for _ in range(k - 1):  # Prim: the nearest row outside joins next
+            left[u], best[u] = False, never
+            d = apart(f, f[u]).astype(np.int64)
+            closer = left & (d < best) & (d <= distance) & (np.minimum(m, m[u]) >= similarity * np.maximum(m, m[u]) - 1e-9)
+            best[closer], parent[closer] = d[closer], u
+            v = int(best.argmin())
+            if best[v] == never:
+                v = int(left.argmax())
+            else:
+                yield int(x[parent[v]]), int(x[v])
+            u = v
+
+
+def linked(keyed: DataFrame, distance: int, hot: int | None, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) among rows (key, f0..., node) of equal key; (null, key) for keys put off.
+
+    With ``similarity`` the last column before node is the shingle set's size, and links are proposals.
+    """
     words = [c for c in keyed.columns if c not in ("key", "node")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +295,11 @@ def linked(keyed: DataFrame, distance: int, hot: int | None) -> DataFrame:
 
         def search(key, fp, node) -> tuple[list, list]:
             a, b = [], []
+            if similarity is not None:
+                for x, y in nearest_links(key, fp[:, :-1], fp[:, -1], node, distance, similarity):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+                return a, b
             for x, y in links(key, fp, node, distance):
                 if x != y and forest.join(x, y):
                     a.append(x)
@@ -244,19 +339,23 @@ def linked(keyed: DataFrame, distance: int, hot: int | None) -> DataFrame:
         if late:
             yield packed([None] * len(late), sorted(late))
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int = 20_000) -> DataFrame:
+def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int = 20_000, similarity: float | None = None) -> DataFrame:
     """Links among the distinct rows (node, fps), enough to connect what links.
 
-    One table: nodes link whose fingerprints differ in up to ``distance`` <= 3 bits, and
-    none is missed. More tables: each table's keys propose pairs, and nodes link
-    whose other tables' fingerprints differ in up to ``distance`` bits together.
+    Nodes link whose fingerprints differ in up to ``distance`` <= 3 bits, and none is missed.
+    With ``similarity`` (rows then have n, the set's size): pairs proposed by the keys of each of
+    the ``tables`` fingerprints, to be checked on the sets.
     """
-    if tables == 1 and distance > 3:
+    if similarity is None and distance > 3:
         raise ValueError("segments are decoded for up to three differing bits")
-    words = [f"f{i}" for i in range(max(1, tables - 1))]
+    carried = 1 if similarity is None else min(CARRIED, tables - 1)
+    words = [f"f{i}" for i in range(carried)]
+    cols_in = ["node", "fps"] if similarity is None else ["node", "fps", "n"]
+    if similarity is not None:
+        words.append("n")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,12 +363,15 @@ def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int =
                 part = batch.slice(at, 4096)
                 node, fps = part["node"].to_numpy(), part["fps"].flatten().to_numpy().reshape(-1, tables)
                 for t in range(tables):
-                    row, key = keys_of(np.ascontiguousarray(fps[:, t]).view(np.uint64), tables == 1)
-                    cols = [fps[:, (t + 1 + i) % tables][row] for i in range(len(words))]
+                    f = np.ascontiguousarray(fps[:, t]).view(np.uint64)
+                    row, key = keys_of(f) if similarity is None else segment_keys(f)
+                    cols = [fps[:, (t + 1 + i) % tables][row] for i in range(carried)]
+                    if similarity is not None:
+                        cols.append(part["n"].to_numpy()[row])
                     yield pa.RecordBatch.from_arrays([pa.array(key | t << 46), *map(pa.array, cols), pa.array(node[row])], ["key", *words, "node"])
 
-    keyed = nodes.select("node", "fps").mapInArrow(expand, f"key long, {', '.join(f'{w} long' for w in words)}, node long")
-    found = saved(linked(keyed, distance, hot))
+    keyed = nodes.select(*cols_in).mapInArrow(expand, f"key long, {', '.join(f'{w} long' for w in words)}, node long")
+    found = saved(linked(keyed, distance, hot, similarity))
     edges = found.where("a is not null")
     late = found.where("a is null").select(F.col("b").alias("key")).distinct()
     if not late.isEmpty():
@@ -279,25 +381,56 @@ def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int =
         dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         # a cell's number may collide with another's; that only adds pairs, which are verified
         cells = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), *words, "node")
-        edges = edges.union(saved(linked(cells, distance, None)))
+        edges = edges.union(saved(linked(cells, distance, None, similarity)))
     return edges
 
 
-def bits_at(similarity: float, bits: int, margin: float = 0.025) -> int:
+def bits_at(similarity: float, bits: int, margin: float = 0.06) -> int:
     """How many of ``bits`` differ at most for shingle sets of this Jaccard similarity, with a margin for chance."""
     return int(bits * (math.acos(2 * similarity / (1 + similarity)) / math.pi + margin))
 
 
+def checked_links(proposed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The proposed pairs (a, b) whose texts (node, t) have shingle sets of this Jaccard similarity or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch["t"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], ["node", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"]):
+                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = np.sort(np.concatenate([p, q]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = saved(proposed.where("a != b").distinct())
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    known = saved(texts.join(used, "node", "left_semi").mapInArrow(sets, "node long, shingles binary"))
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.mapInArrow(check, "a long, b long")
+
+
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, tables: int = 1, similarity: float | None = None, hot: int = 20_000) -> DataFrame:
     """``id_col``, fingerprint (hex, of the first table) and component_id, the smallest id that links reach.
 
-    With ``similarity`` (and several ``tables``) texts link whose shingles are estimated to be that similar or more.
+    With ``similarity`` (and several ``tables``) texts link whose sets of shingles are that similar or more; ids are then unique and not null.
     """
-    if similarity is not None:
-        distance = bits_at(similarity, 64 * (tables - 1))
-    marked = saved(fingerprints(rows, id_col=id_col, text=text, words=words, tables=tables).withColumn("node", F.col("fps")[0] if tables == 1 else F.xxhash64("fps")))
-    nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps")))
-    roots = saved(connected_components(near_links(nodes, tables, distance, hot)))
+    if similarity is None:
+        marked = saved(fingerprints(rows, id_col=id_col, text=text, words=words).withColumn("node", F.col("fps")[0]))
+        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps")))
+        edges = near_links(nodes, 1, distance, hot)
+    else:
+        marked = saved(set_sketches(rows, id_col=id_col, text=text, words=words, tables=tables))
+        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps"), F.first("n").alias("n")))
+        proposed = near_links(nodes, tables, bits_at(similarity, 64 * min(CARRIED, tables - 1)), hot, similarity)
+        texts = rows.select(F.col(id_col).alias("least"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(nodes.select("node", "least"), "least").select("node", "t")
+        edges = checked_links(proposed, texts, words, similarity)
+    roots = saved(connected_components(edges))
     best = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = roots.join(best, "root").select("node", "component_id")
     final = saved(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))

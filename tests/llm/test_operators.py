@@ -205,6 +205,54 @@ def test_links_across_the_sign_bit():
     assert set(simhash.links(np.zeros(4, dtype=np.int64), fp, np.arange(4), 3)) == {(i, j) for i in range(4) for j in range(i + 1, 4) if ((int(fp[i, 0]) ^ int(fp[j, 0])) % 2**64).bit_count() <= 3}
 
 
+def jaccard(a, b, words=5):
+    x, y = ({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in (simhash.WORD.findall((t or "").lower()) for t in (a, b)))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similarity_mode_brute_force(spark):
+    r = random.Random(2)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = {0: None, 1: "", 2: " ", 3: "one two", 4: "ONE  two", 5: "one two three four five six"}
+    for g in range(30):  # near copies on both sides of the threshold
+        base = [word() for _ in range(200)]
+        for k in range(8):
+            w = list(base)
+            for at in r.sample(range(200), k):
+                w[at] = word()
+            texts[100 + 10 * g + k] = " ".join(w)
+    line = "the same line again and again "  # a repeated line is one set of shingles, whatever the rest
+    texts[900], texts[901] = line * 40 + " ".join(word() for _ in range(60)), line * 40 + " ".join(word() for _ in range(60))
+    df = docs_of(spark, list(texts.items()))
+    f, pairs = simhash.Forest(), 0
+    ids = sorted(texts)
+    for a in ids:
+        for b in ids:
+            if a < b and (a < 100 or a // 10 == b // 10) and jaccard(texts[a], texts[b]) >= 0.8:
+                pairs += 1
+                f.join(a, b)
+    for hot in (20_000, 3):
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, words=5, tables=10, similarity=0.8, hot=hot).collect()}
+        assert set(got) == set(ids)
+        assert all(f.root(i) == f.root(c) for i, c in got.items())  # never a false link
+        assert sum(got[i] != f.root(i) for i in ids) <= 0.03 * len(ids)
+    assert pairs > 100 and simhash.near_duplicates(df.limit(0), words=5, tables=10, similarity=0.8).count() == 0
+
+
+def test_wide_and_narrow_buckets_give_the_same_nearest_forest(monkeypatch):
+    r = np.random.default_rng(4)
+    fp = np.concatenate([c ^ (np.int64(1) << r.integers(0, 64, (25, 2))) ^ (np.int64(1) << r.integers(0, 64, (25, 2))) for c in r.integers(-(2**63), 2**63 - 1, (2, 1, 2))])
+    key, n, node = np.repeat([0, 1], 25), r.integers(80, 101, 50), np.arange(50)
+    weights = []
+    for wide in (64, 2):
+        monkeypatch.setattr(simhash, "WIDE", wide)
+        found = list(simhash.nearest_links(key, fp, n, node, 8, 0.8))
+        assert all(key[a] == key[b] and simhash.apart(fp[[a]], fp[[b]])[0] <= 8 for a, b in found)
+        weights.append(sum(int(simhash.apart(fp[[a]], fp[[b]])[0]) for a, b in found))
+        assert len(found) == 48
+    assert weights[0] == weights[1]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in components.connected_components(edges).collect()} == {(i, 0 if i <= 20 else 21) for i in range(41)}
