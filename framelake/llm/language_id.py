@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 LONGEST = 32
-CACHED = 600_000
+CACHED = 300_000
 SPACE = str.maketrans({c: " " for c in string.punctuation + string.digits})
 
 
@@ -226,14 +228,16 @@ def learn(docs: DataFrame, *, usable: Column | None = None, max_train: int = 150
 
 def languages(rows: DataFrame, net: Network | None, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep``, lang_pred and score of every row."""
-    data = rows.select(F.struct(*keep).alias("own"), F.col(text).alias("text"))
     if net is None:
-        return data.select("own.*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    inside = text in keep  # then it travels once
+    data = rows.select(F.struct(*keep).alias("own"), *([] if inside else [F.col(text).alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(net)
         for b in batches:
-            cols = list(zip(*labeller.label(b["text"].to_pylist()))) or [[], []]
+            cols = list(zip(*labeller.label((b["own"].field(text) if inside else b["text"]).to_pylist()))) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), b["own"]], ["lang_pred", "score", "own"])
 
-    return data.mapInArrow(run, f"lang_pred string, score double, own {data.schema['own'].dataType.simpleString()}").select("own.*", "lang_pred", "score")
+    return data.mapInArrow(tidy(run), f"lang_pred string, score double, own {data.schema['own'].dataType.simpleString()}").select("own.*", "lang_pred", "score")

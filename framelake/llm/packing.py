@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import saved
+from .common import saved, tidy
 
 CAPACITY = 4096
 CACHED = 500_000
@@ -143,7 +143,7 @@ def token_pieces(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["own"].take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["own", "piece", "start", "length", "ids_crc32"])
 
-    return data.mapInArrow(run, f"own {data.schema['own'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return data.mapInArrow(tidy(run), f"own {data.schema['own'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(lengths: np.ndarray, capacity: int, few: int = 4) -> list[tuple[int, ...]]:

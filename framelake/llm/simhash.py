@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, saved
+from .common import LOWER_TABLE, saved, tidy
 from .components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,7 +165,7 @@ def fingerprints(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, tables), pa.int32()), pa.array(fps))
             yield pa.RecordBatch.from_arrays([batch["id"], lists], ["id", "fps"])
 
-    return data.mapInArrow(run, f"id {data.schema['id'].dataType.simpleString()}, fps array<bigint>")
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, fps array<bigint>")
 
 
 def set_sketches(rows: DataFrame, *, id_col: str, text: str, words: int, tables: int) -> DataFrame:
@@ -183,7 +183,7 @@ def set_sketches(rows: DataFrame, *, id_col: str, text: str, words: int, tables:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, tables), pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], ["id", "node", "n", "fps"])
 
-    return data.mapInArrow(run, f"id {data.schema['id'].dataType.simpleString()}, node long, n long, fps array<bigint>")
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long, n long, fps array<bigint>")
 
 
 class Forest:
@@ -339,7 +339,7 @@ def linked(keyed: DataFrame, distance: int, hot: int | None, similarity: float |
         if late:
             yield packed([None] * len(late), sorted(late))
 
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int = 20_000, similarity: float | None = None) -> DataFrame:
@@ -370,7 +370,7 @@ def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int =
                         cols.append(part["n"].to_numpy()[row])
                     yield pa.RecordBatch.from_arrays([pa.array(key | t << 46), *map(pa.array, cols), pa.array(node[row])], ["key", *words, "node"])
 
-    keyed = nodes.select(*cols_in).mapInArrow(expand, f"key long, {', '.join(f'{w} long' for w in words)}, node long")
+    keyed = nodes.select(*cols_in).mapInArrow(tidy(expand), f"key long, {', '.join(f'{w} long' for w in words)}, node long")
     found = saved(linked(keyed, distance, hot, similarity))
     edges = found.where("a is not null")
     late = found.where("a is null").select(F.col("b").alias("key")).distinct()
@@ -410,9 +410,9 @@ def checked_links(proposed: DataFrame, texts: DataFrame, words: int, similarity:
 
     pairs = saved(proposed.where("a != b").distinct())
     used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    known = saved(texts.join(used, "node", "left_semi").mapInArrow(sets, "node long, shingles binary"))
+    known = saved(texts.join(used, "node", "left_semi").mapInArrow(tidy(sets), "node long, shingles binary"))
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(tidy(check), "a long, b long")
 
 
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, tables: int = 1, similarity: float | None = None, hot: int = 20_000) -> DataFrame:

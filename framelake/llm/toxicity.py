@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Homoglyphs and digit substitutions, each with the plain letter it is read as.
 FOLD = dict(zip("0134578" "аеорсухіјѕԁһ" "αοεικνρτυ" "ｉｏａｅ" "l", "oieastb" "aeopcyxijsdh" "aoeiknptu" "ioae" "i"))
 FOLD_TABLE = str.maketrans(FOLD)
@@ -185,5 +187,5 @@ def toxic_scores(rows: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc
     data = rows.select(F.struct(*keep).alias("own"), F.col(text).alias("text"))
     kind = data.schema["own"].dataType.simpleString()
     w0, w1, w2 = model.line
-    scored = data.mapInArrow(featured(model, ["own"]), f"a double, b double, own {kind}")
+    scored = data.mapInArrow(tidy(featured(model, ["own"])), f"a double, b double, own {kind}")
     return scored.select("own.*", (1 / (1 + F.exp(-(F.lit(w0) + w1 * F.col("a") + w2 * F.col("b"))))).alias("score"))
