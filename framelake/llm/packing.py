@@ -33,8 +33,8 @@ CAPACITY = 4096
 CACHED = 500_000
 #: Splitting here changes no ids: the tokenizer drops white space, and its parts never span it.
 CHUNKS = re.compile(r"[^ \t\n\r]+")
-#: Letters that normalising leaves single: Latin ones without U+0130, which becomes two characters.
-LATIN = "".join(chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha() and c != 0x130)
+#: Letters whose lower case is one letter of this range, too; a chunk with any other (such as U+0130, U+018F) is left to the library whole.
+LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and 0xC0 <= ord(c.lower()) < 0x250)
 #: Chunks of these characters alone split into the same parts before as after normalising.
 PLAIN = re.compile(f"[!-~{LATIN}]+")
 #: The tokenizer's own parts, for lower-case plain chunks, one on each line.

@@ -338,3 +338,11 @@ def test_packing_ids_of_odd_texts_equal_the_library():
     ]
     for text, raw in zip(texts, ours.encode(texts)):
         assert np.frombuffer(raw, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_ids_of_every_letter_of_the_plain_range_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [t for c in map(chr, range(0xA0, 0x250)) for t in (c, f"{c}li", f"A{c}b {c}{c}", f"x'{c}9{c}-")]
+    library = Tokenizer.from_file(path)
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in packing.ChunkEncoder(path).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
