@@ -15,15 +15,16 @@ are passed on (a forest, never all pairs of a group). A key with more than
 blocks is a task's unit of its own. Copies meet before: only
 distinct fingerprints take part.
 
-With ``similarity`` texts link by the Jaccard similarity of their sets of distinct shingles.
-A text has several fingerprints of its set. Near pairs differ in about 15 bits of 100,
-so each key is one segment's near index with ``EXACT_BITS`` bits of the last segment: about eleven
-keys to a fingerprint, and with ten fingerprints about 97 of 100 pairs at exactly the
-threshold share a key, more above it. In each bucket the pairs whose carried fingerprints are near enough
-give a spanning forest of the nearest pairs (at most one pair per row, however large a group
-of near copies is), and each pair so proposed is checked exactly on the two shingle sets. Only checked
-links connect. Texts of equal sets are one node from the start. Buckets grow with the table: each
-doubling of documents takes one more of ``EXACT_BITS`` to hold the bucket size, and more fingerprints for the same recall.
+With ``similarity`` texts link by the Jaccard similarity of their sets of distinct shingles, and no
+link is missed. Shingles have one order for all texts: those frequent in a sample of texts
+come last, the others by hash (the sample decides the cost alone; any order is exact). Of two sets of
+similarity s each has a shared shingle among its first n - ceil(s n) + 1 (the prefix), so texts are
+joined on the shingles of their prefixes. Two steps keep large groups of near copies from
+giving all pairs: first each text is checked against the first text of each of its shingles'
+groups; then, in groups whose texts these checked links leave apart, all pairs that are
+still apart and whose sizes and places in the order allow the similarity are
+checked, large groups in blocks. Pairs are only left out if a checked link connects their texts already
+or if they cannot be similar. Texts of equal sets are one node from the start.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; a text
 with fewer words than a shingle is one shingle; repeated rows and
@@ -40,7 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, saved, tidy
@@ -52,7 +53,11 @@ GENERATOR = 0b101011100011
 BITS = (21, 21, 22)
 #: Buckets of more rows are searched for a spanning forest, not pair by pair.
 WIDE = 64
-#: Similarity mode: bits beside a segment's index in a key, and fingerprints of other tables that a key carries.
+#: Similarity mode: one of so many texts is sampled for the order of shingles (all of few texts), and how many frequent shingles are told apart.
+SAMPLE, FEW, FREQUENT = 8, 20_000, 200_000
+#: Texts of a block, in groups that are checked pair by pair.
+BLOCK = 1000
+#: Keys of ``segment_keys``: bits beside a segment's index in a key, and fingerprints of other tables that a key carries.
 EXACT_BITS = 8
 CARRIED = 4
 MIX = 0x9E3779B97F4A7C15
@@ -168,22 +173,20 @@ def fingerprints(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, fps array<bigint>")
 
 
-def set_sketches(rows: DataFrame, *, id_col: str, text: str, words: int, tables: int) -> DataFrame:
-    """id, node (hash of the set of distinct shingles), n (its size) and fps (``tables`` fingerprints of it) of every text."""
+def set_sketches(rows: DataFrame, *, id_col: str, text: str, words: int) -> DataFrame:
+    """id, node (hash of the set of distinct shingles), fp (fingerprint of the set) and shingles (the set, sorted 64-bit numbers) of every text."""
     data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, fps = [], [], []
-            for t in batch["t"]:
-                h = np.unique(shingle_hashes(t.as_py(), words))
-                node.append(xxhash.xxh3_64_intdigest(h.tobytes()))
-                n.append(len(h))
-                fps += [fingerprint(remixed(h, k)) for k in range(tables)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, tables), pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], ["id", "node", "n", "fps"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part["t"]]
+                node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
+                fp = np.array([fingerprint(h) for h in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(node), pa.array(fp), pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "node", "fp", "shingles"])
 
-    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long, n long, fps array<bigint>")
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long, fp long, shingles binary")
 
 
 class Forest:
@@ -385,18 +388,93 @@ def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int =
     return edges
 
 
-def bits_at(similarity: float, bits: int, margin: float = 0.06) -> int:
-    """How many of ``bits`` differ at most for shingle sets of this Jaccard similarity, with a margin for chance."""
-    return int(bits * (math.acos(2 * similarity / (1 + similarity)) / math.pi + margin))
+def frequent_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of ``sets``, sorted, and their counts; at most ``FREQUENT`` rows reach the driver."""
+    part = sets.where(F.pmod("node", F.lit(max(1, min(SAMPLE, n // FEW)))) == 0).select("shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch["shingles"]]
+            shingle, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, dtype=np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(n)], ["shingle", "n"])
+
+    counts = part.mapInArrow(tidy(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 3").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingle, n = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in the common order, of which two sets of this similarity share one."""
+    n = len(shingles)
+    known, counts = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        shingles = shingles[np.argsort(np.where(known[at] == shingles, counts[at], 0), kind="stable")]
+    return shingles[: n - math.ceil(similarity * n - 1e-6) + 1]
 
 
-def checked_links(proposed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The proposed pairs (a, b) whose texts (node, t) have shingle sets of this Jaccard similarity or more."""
+def prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """key (shingle), node, n (the set's size) and pos (the shingle's place in the order) of the prefixes' shingles."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)  # bounded by FREQUENT
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            node, keys, n = [], [], []
+            for x, v in zip(batch["node"].to_pylist(), batch["shingles"]):
+                if x not in seen:  # copies that the task has met
+                    seen.add(x)
+                    h = np.frombuffer(v.as_buffer(), dtype=np.uint64) if len(v.as_buffer()) else np.zeros(0, dtype=np.uint64)
+                    node.append(x)
+                    n.append(len(h))
+                    keys.append(prefix(h, shared.value, similarity) if len(h) else h)
+            if len(seen) > 100_000:
+                seen.clear()
+            if node:
+                k = np.array([len(p) for p in keys])
+                pos = np.concatenate([np.arange(i) for i in k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(node, dtype=np.int64), k)), pa.array(np.repeat(n, k).astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
+
+    return sets.select("node", "shingles").mapInArrow(tidy(run), "key long, node long, n int, pos int")
+
+
+def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) in rows (key, node, root, n, pos) of equal key that have different roots and may be similar."""
+
+    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, found = n - pos, []
+        for i in range(len(node) - 1):
+            m = n[i + 1 :]
+            # at the first shingle that two sets share, no more than the rest of either is common
+            ok = (root[i + 1 :] != root[i]) & (np.minimum(left[i], left[i + 1 :]) * (1 + similarity) >= similarity * (n[i] + m) - 1e-6)
+            j = i + 1 + np.flatnonzero(ok)
+            if len(j):
+                found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+            if len(found) >= 1000 or (found and i == len(node) - 2):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch["t"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], ["node", "shingles"])
+            cols = [batch[c].to_numpy() for c in ("key", "node", "root", "n", "pos")]
+            held = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
+            cut = np.concatenate([[0], np.flatnonzero(held[0][1:] != held[0][:-1]) + 1])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                yield from pairs(*(c[a:b] for c in held[1:]))
+            held = [c[cut[-1] :] for c in held]  # rows of the last key wait for the next batch
+        if held is not None:
+            yield from pairs(*held[1:])
+
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def checked_links(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The distinct proposed pairs (a, b) whose ``sets`` (node, shingles) have this Jaccard similarity or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,28 +486,44 @@ def checked_links(proposed: DataFrame, texts: DataFrame, words: int, similarity:
                 keep.append(shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = saved(proposed.where("a != b").distinct())
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    known = saved(texts.join(used, "node", "left_semi").mapInArrow(tidy(sets), "node long, shingles binary"))
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.mapInArrow(tidy(check), "a long, b long")
+    used = proposed.select(F.col("a").alias("node")).union(proposed.select(F.col("b").alias("node"))).distinct()
+    known = saved(sets.join(used, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    both = proposed.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
+
+
+def similar_links(sets: DataFrame, n: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all of the ``n`` distinct ``sets`` (node, shingles; copies may repeat) that are similar, and no others."""
+    by_key = Window.partitionBy("key")
+    keyed = prefixes(sets, frequent_shingles(sets, n), similarity)
+    keyed = keyed.withColumn("first", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).where("first != last").drop("last")
+    keyed = saved(keyed)
+    stars = saved(keyed.where("first != node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    links = saved(checked_links(stars, sets, similarity))
+    roots = saved(connected_components(links))
+    marked = keyed.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")).where("r != s").select("key", "k")
+    dealt = marked.join(groups, "key").withColumn("x", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # a cell's number may collide with another's; that only adds pairs, which are checked
+    cells = dealt.select(F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("key"), "node", "root", "n", "pos")
+    left = saved(apart_pairs(cells, similarity).join(stars, ["a", "b"], "left_anti"))
+    return links.union(checked_links(left, sets, similarity))
 
 
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, tables: int = 1, similarity: float | None = None, hot: int = 20_000) -> DataFrame:
     """``id_col``, fingerprint (hex, of the first table) and component_id, the smallest id that links reach.
 
-    With ``similarity`` (and several ``tables``) texts link whose sets of shingles are that similar or more; ids are then unique and not null.
+    With ``similarity`` texts link whose sets of shingles are that similar or more, none is missed, and ``tables`` has no use; ids are then unique and not null.
     """
     if similarity is None:
         marked = saved(fingerprints(rows, id_col=id_col, text=text, words=words).withColumn("node", F.col("fps")[0]))
         nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps")))
         edges = near_links(nodes, 1, distance, hot)
     else:
-        marked = saved(set_sketches(rows, id_col=id_col, text=text, words=words, tables=tables))
-        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps"), F.first("n").alias("n")))
-        proposed = near_links(nodes, tables, bits_at(similarity, 64 * min(CARRIED, tables - 1)), hot, similarity)
-        texts = rows.select(F.col(id_col).alias("least"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(nodes.select("node", "least"), "least").select("node", "t")
-        edges = checked_links(proposed, texts, words, similarity)
+        sketches = saved(set_sketches(rows, id_col=id_col, text=text, words=words))
+        marked = sketches.select("id", "node", F.array("fp").alias("fps"))
+        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least")))
+        edges = similar_links(sketches.select("node", "shingles"), nodes.count(), similarity, min(BLOCK, hot))
     roots = saved(connected_components(edges))
     best = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = roots.join(best, "root").select("node", "component_id")

@@ -346,3 +346,39 @@ def test_packing_ids_of_every_letter_of_the_plain_range_equal_the_library():
     library = Tokenizer.from_file(path)
     got = [np.frombuffer(b, dtype="<u4").tolist() for b in packing.ChunkEncoder(path).encode(texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_similarity_mode_misses_no_link(spark):
+    r = random.Random(8)
+    texts, at = {}, 0
+    for size, changed in ((80, 5), (30, 5), (12, 4)):  # variants of one base, pairs on both sides of the threshold
+        base = [f"b{size}x{i}" for i in range(200)]
+        for _ in range(size):
+            w = list(base)
+            for i in r.sample(range(200), changed + r.randrange(2)):
+                w[i] = f"n{r.randrange(10**6)}"
+            texts[at := at + 1] = " ".join(w)
+    passage = " ".join(f"p{i}" for i in range(100))  # a shared passage alone links nothing
+    for k in range(60):
+        texts[at := at + 1] = passage + " " + " ".join(f"q{k}x{i}" for i in range(40))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    f = simhash.Forest()
+    for a in sets:
+        for b in sets:
+            shared = len(sets[a] & sets[b])
+            if a < b and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                f.join(a, b)
+    for hot in (20_000, 7):
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs_of(spark, list(texts.items())), words=5, tables=10, similarity=0.8, hot=hot).collect()}
+        assert got == {i: f.root(i) for i in texts}
+
+
+def test_similarity_mode_links_every_pair_at_the_threshold(spark):
+    texts = {}
+    for g in range(400):
+        w = [f"g{g}x{i}" for i in range(104)]
+        texts[2 * g] = " ".join(w)
+        w[30], w[60], w[103] = "other", "words", "here"  # 11 of 100 shingles differ
+        texts[2 * g + 1] = " ".join(w)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs_of(spark, list(texts.items())), words=5, tables=10, similarity=0.8).collect()}
+    assert got == {i: i - i % 2 for i in texts}
