@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon.
 
-Texts are lower-cased and folded: look-alike letters of other scripts and digits
-standing for letters become the plain letter (``1`` and ``l`` count as ``i``). An
+Texts are brought to compatibility form (NFKC: full-width and mathematical letters become plain
+ones), lower-cased and folded: look-alike letters of other scripts and digits
+standing for letters become the plain letter (``1`` and ``l`` count as ``i``). Capitals are
+folded before lower-casing, as their small letters can look otherwise. An
 Aho-Corasick automaton finds the lexicon's entries at word borders: whole words, and
 stems that open many toxic words. Hits inside an exception phrase do not count. The
 sum of weights, alone and per 1000 words, goes through a fitted logistic function.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import tidy
 
-#: Homoglyphs and digit substitutions, each with the plain letter it is read as.
-FOLD = dict(zip("0134578" "аеорсухіјѕԁһ" "αοεικνρτυ" "ｉｏａｅ" "l", "oieastb" "aeopcyxijsdh" "aoeiknptu" "ioae" "i"))
+#: Homoglyphs (Cyrillic, Greek, Armenian, Latin) and digit substitutions, each with the plain letter it is read as.
+FOLD = dict(zip("0134578" "аеорсухіјѕԁһ" "вкмнтԛԝӏүԍ" "αοεικνρτυ" "βηχγω" "օսհոցզ" "ıɑɡ" "l", "oieastb" "aeopcyxijsdh" "bkmhtqwiyg" "aoeiknptu" "bnxyw" "ouhngq" "iag" "i"))
 FOLD_TABLE = str.maketrans(FOLD)
+#: Capitals (Cyrillic, Greek, Cherokee) by their own shape, and letters that NFKC would turn into others.
+CAPITALS = str.maketrans("АВЕКМНОРСТУХІЈЅԀԚԜӀҮԌ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ" "ϲϹϳ", "abekmhopctyxijsdqwiyg" "abezhikmnoptyx" "abcdeghjklmprstvwz" "ccj")
 SYMBOLS = re.compile(r"(?<=\w)[@$](?=\w)")
 WORDS = re.compile(r"[^\W_]+")
 STEM = 5
@@ -45,6 +50,8 @@ DEFAULT_EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish")
 
 
 def folded(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.translate(CAPITALS)).translate(CAPITALS)
     text = text.lower()
     if "@" in text or "$" in text:
         text = SYMBOLS.sub(lambda m: "a" if m[0] == "@" else "s", text)

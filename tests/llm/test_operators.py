@@ -382,3 +382,11 @@ def test_similarity_mode_links_every_pair_at_the_threshold(spark):
         texts[2 * g + 1] = " ".join(w)
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs_of(spark, list(texts.items())), words=5, tables=10, similarity=0.8).collect()}
     assert got == {i: i - i % 2 for i in texts}
+
+
+def test_toxicity_folds_look_alikes():
+    for spelling in ("ТRАЅН", "\u03a4RASH", "тrаѕн", "ｔｒａｓｈ", "ＴＲＡＳＨ", "𝐭𝐫𝐚𝐬𝐡", "ТRA5H"):
+        assert toxicity.folded(spelling) == toxicity.folded("trash"), spelling
+    for other, plain in (("АВЕКМНОРСТУХЅІЈ", "abekmhopctyxsij"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abezhikmnoptyx"), ("авекмнорстухѕіј", "abekmhopctyxsij")):
+        assert toxicity.folded(other) == toxicity.folded(plain)
+    assert toxicity.folded("ｓｔｕｐｉｄ") == toxicity.folded("stupid") == toxicity.folded("ＳＴＵＰＩＤ")
