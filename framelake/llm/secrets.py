@@ -5,7 +5,9 @@ words of at least ``least`` characters with digits and letters that stand in a
 sensitive context (a word such as ``key`` or ``auth`` shortly before) are measured:
 zstandard, primed with a dictionary of identifiers and usual code and with
 the text around the candidate, tells how many bytes the candidate adds. Text made of
-known pieces adds few; a string that stays near its entropy is reported (kind ``novel``).
+known pieces adds few; a string that stays near the entropy of its alphabet (the character classes
+it uses) is reported (kind ``novel``). A word that goes beyond a fixed pattern's match is
+measured and reported as a whole; one inside a match is reported by the pattern alone.
 
 Spans are in code points, the end exclusive. Cases: null texts count as empty and
 have no spans; repeated rows get equal results; a text is scanned whole.
@@ -14,6 +16,7 @@ have no spans; repeated rows get equal results; a text is scanned whole.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +37,9 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = ("key", "secret", "token", "passw", "auth", "credential", "bearer", "private", "signature")
 CONTEXT = re.compile("|".join(SENSITIVE), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{14,}")
+HEX_ONLY, BASE32_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+"), re.compile(r"[A-Z2-7=]+|[a-z2-7=]+")
+#: Sizes of the character classes.
+CLASSES = ((26, re.compile("[a-z]")), (26, re.compile("[A-Z]")), (10, re.compile("[0-9]")), (5, re.compile("[+/_=-]")))
 #: How far before a candidate a sensitive word may end.
 REACH = 40
 IDENTIFIERS = (
@@ -45,6 +51,15 @@ IDENTIFIERS = (
 )
 
 
+def alphabet_bits(s: str) -> float:
+    """Entropy of a character drawn evenly from the classes of characters in ``s``."""
+    if HEX_ONLY.fullmatch(s):
+        return 4.0
+    if BASE32_ONLY.fullmatch(s):
+        return 5.0
+    return math.log2(sum(n for n, kind in CLASSES if kind.search(s)))
+
+
 class Novelty:
     """Marginal compressed size against identifiers and the candidate's surroundings."""
 
@@ -58,7 +73,7 @@ class Novelty:
 
     def novel(self, text: str, start: int, end: int, share: float) -> bool:
         candidate = text[start:end]
-        return self.bytes_added(text[max(0, start - 400) : start], candidate, text[end : end + 400]) >= share * len(candidate)
+        return self.bytes_added(text[max(0, start - 400) : start], candidate, text[end : end + 400]) * 8 >= share * len(candidate) * alphabet_bits(candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -73,8 +88,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], measure: Novelty, share: float = 0.7) -> list[tuple[int, int, int]]:
-    """Candidates in sensitive contexts that stay incompressible and touch no other span."""
+def novel_spans(text: str, taken: list[tuple[int, int, int]], measure: Novelty, share: float = 0.92) -> list[tuple[int, int, int]]:
+    """Candidates in sensitive contexts that stay near their alphabet's entropy and lie in no other span."""
     low = text.lower()
     if not any(map(low.__contains__, SENSITIVE)):
         return []
@@ -84,12 +99,12 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], measure: Novelty,
             if c.start() > m.end() + REACH:
                 break
             a, b = c.span()
-            s = c[0]
-            if a < seen or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))) or any(x < b and a < y for x, _, y in taken):
-                continue
             # the window may have cut a longer run
-            while b < len(text) and CANDIDATE.pattern and re.match(r"[A-Za-z0-9+/_=-]", text[b]):
+            while b < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[b]):
                 b += 1
+            s = text[a:b]
+            if a < seen or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))) or any(x <= a and b <= y for x, _, y in taken):
+                continue
             seen = b
             if measure.novel(text, a, b, share):
                 out.append((a, 3, b))

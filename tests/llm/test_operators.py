@@ -390,3 +390,15 @@ def test_toxicity_folds_look_alikes():
     for other, plain in (("АВЕКМНОРСТУХЅІЈ", "abekmhopctyxsij"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abezhikmnoptyx"), ("авекмнорстухѕіј", "abekmhopctyxsij")):
         assert toxicity.folded(other) == toxicity.folded(plain)
     assert toxicity.folded("ｓｔｕｐｉｄ") == toxicity.folded("stupid") == toxicity.folded("ＳＴＵＰＩＤ")
+
+
+def test_secrets_of_small_alphabets_and_mixed_runs():
+    r, measure = random.Random(3), secrets.Novelty()
+    for alphabet, n in (("0123456789ABCDEF", 96), ("0123456789ABCDEF", 128), ("0123456789ABCDEF", 512), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 512)):
+        text = "signature " + "".join(r.choice(alphabet) for _ in range(n)) + " end"
+        assert secrets.scan(text, measure)[1] == [(10, 3, 10 + n)]
+    hex_part = "".join(r.choice("0123456789abcdef") for _ in range(20))
+    text = f"auth key Zx9Qw3Lk8Vb{hex_part}Yd4GhTq7 end"
+    base, spans = secrets.scan(text, measure)
+    assert [k for _, k, _ in base] == [2] and secrets.redacted(text, spans) == "auth key [SECRET] end"
+    assert not any(k == 3 for _, k, _ in secrets.scan("auth header abcdefghijklmnop1 client_secret_id_0123456789", measure)[1])
