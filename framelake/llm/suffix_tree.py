@@ -4,19 +4,23 @@ Symbols are the UTF-8 bytes of words, one that ends a word and one that ends the
 context of a symbol is what precedes it: within a word up to ``DEPTH`` symbols back
 to the word's start; for a word's first two symbols (or the text's end) it
 reaches over that start into the last ``TAIL`` bytes of the word before. A context is kept
-if it makes up at least ``min_share`` of all training symbols (so at most 1/min_share
-contexts of each length are kept, whatever the corpus) and its next-symbol
+if it occurs at least ``least`` times, a fixed number, so the tree grows with the corpus, and its next-symbol
 distribution diverges from that of its longest kept suffix: count times Kullback-
 Leibler divergence is at least ``min_gain`` nats. Each distribution is smoothed with its
 suffix's (Witten-Bell). Every symbol is scored by the longest kept suffix of its context.
 
-Contexts are numbers of nine bits a symbol, so counting and scoring are numpy on arrays.
-Inside words they run over the distinct words with their numbers, a Spark aggregate of
-all training texts, which also serves the unigram base; across words, over all
-pairs of neighbours. Words that make up a tenth of ``min_share`` of the tokens or more (again
-a bounded number) reach the scoring tasks as a table, all others are joined.
+A text is a bag of units: its words, each with the symbols from the third on, and its borders, each a
+word's first two symbols after the tail before them (or the text's end). A Spark aggregate counts the
+distinct units of all texts, which also serves the unigram base. The tree is grown and units are scored in parts:
+contexts of up to one symbol are a small table (at most 261 contexts), and all longer
+contexts with the same two last symbols lie in one part, as do the units' symbols there. A part holds distinct
+units, so a frequent word or text makes none larger, and no part of the tree passes the driver.
+
+Texts are then scored by their units. Units that make up at least ``frequent`` of all units of their kind (so
+at most 1/frequent of each) reach the tasks as a table; all others are joined.
 
 Cases: null and empty texts consist of the end alone; repeated rows get equal results;
+a text of any length is scored whole; extra columns are left out unless in ``keep``; an empty table gives no rows;
 with no training text every count is zero and symbols are uniform.
 """
 
@@ -24,9 +28,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,90 +39,120 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, saved
+from .common import LOWER_TABLE, saved, tidy
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DEPTH, TAIL = 6, 3
 BITS = 9
+LOW = (1 << BITS) - 1
 #: Symbols: byte + 1, then these. Zero means that there is none.
 START, WORD_END, TEXT_END = 257, 258, 259
 #: All but START can come next.
 KINDS = 258
-FLUSH = 300_000
+#: Distinct words that a task holds at once, and border codes that it merges at once.
+FLUSH, MERGE = 300_000, 2_000_000
+#: Texts of a step.
+STEP = 500
+#: Symbols of units in a part, about, and the least number of parts.
+PART, PARTS = 400_000, 256
 
 
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER_TABLE))
 
 
-def spelled(texts_words: list[list[str]]) -> np.ndarray:
-    """All texts as symbols: words separated by WORD_END, each text closed by TEXT_END."""
-    raw = "".join(" ".join(w) + "\n" for w in texts_words).encode("utf-8", "replace")
-    s = np.frombuffer(raw, dtype=np.uint8).astype(np.int64) + 1
-    s[s == 0x20 + 1] = WORD_END
-    s[s == 0x0A + 1] = TEXT_END
-    return s
+class Words:
+    """Numbers of the words met so far, with their last ``TAIL`` bytes and first two symbols as codes."""
+
+    def __init__(self) -> None:
+        self.at: defaultdict[str, int] = defaultdict()
+        self.at.default_factory = self.at.__len__
+        self.tails = self.heads = np.zeros(0, dtype=np.int64)
+
+    def numbers(self, split: list[list[str]]) -> np.ndarray:
+        """The words' numbers, text after text."""
+        known = len(self.at)
+        n = sum(map(len, split))
+        out = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=n)
+        if len(self.at) > known:
+            raw = [w.encode("utf-8", "replace") for w in list(self.at)[known:]]
+            size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+            first = np.frombuffer(b"".join([w[:2].ljust(2) for w in raw]), dtype=np.uint8).reshape(-1, 2).astype(np.int64) + 1
+            last = np.frombuffer(b"".join([w[-TAIL:].rjust(TAIL) for w in raw]), dtype=np.uint8).reshape(-1, TAIL).astype(np.int64) + 1
+            tail = np.zeros(len(raw), dtype=np.int64)
+            for k in range(TAIL):
+                tail = tail << BITS | np.where(size >= TAIL - k, last[:, k], 0)
+            self.tails = np.concatenate([self.tails, tail])
+            self.heads = np.concatenate([self.heads, first[:, 0] << BITS | np.where(size > 1, first[:, 1], WORD_END)])
+        return out
 
+    def borders(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code (tail, s1, s2; nine bits a symbol) of each word's beginning and each text's end, and the text it lies in; s2 is zero after TEXT_END."""
+        ends = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(ids) + len(sizes), dtype=bool)
+        inside[ends] = False
+        head, tail = np.full(len(inside), TEXT_END << BITS), np.zeros(len(inside), dtype=np.int64)
+        head[inside] = self.heads[ids]
+        tail[1:][inside[:-1]] = self.tails[ids]
+        return tail << 2 * BITS | head, np.repeat(np.arange(len(sizes)), sizes + 1)
 
-def borders(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word's beginning and each text's end: the tail before it with START, then the next two symbols; and its place.
 
-    A border is (t3, t2, t1, s1, s2), nine bits each; s2 is zero after TEXT_END.
-    """
-    x = np.concatenate([np.full(TAIL, TEXT_END), s, np.full(2, TEXT_END)])
-    inside = x <= 256
-    i = np.arange(len(s)) + TAIL
-    opening = inside[i] & ~inside[i - 1]
-    at = i[opening]
-    gap = np.where(x[at - 1] == WORD_END, at - 1, 0)  # the space before the word; none at a text's beginning
-    ends = i[x[i] == TEXT_END]
-
-    def tail(space: np.ndarray, has: np.ndarray) -> np.ndarray:
-        code, go = np.zeros(len(space), dtype=np.int64), has.copy()
-        parts = []
-        for k in range(1, TAIL + 1):
-            c = x[np.maximum(space - k, 0)]
-            go &= c <= 256
-            parts.append(np.where(go, c, 0))
-        for c in reversed(parts):
-            code = code << BITS | c
-        return code
-
-    first, second = x[at], np.where(inside[at + 1], x[at + 1], WORD_END)
-    a = (tail(gap, gap > 0) << BITS | first) << BITS | second
-    b = (tail(ends, np.ones(len(ends), dtype=bool)) << BITS | TEXT_END) << BITS
-    return np.concatenate([a, b]), np.concatenate([at, ends]) - TAIL
-
-
-def summed(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and the sum of their weights."""
-    if weights is None:
-        return np.unique(codes, return_counts=True)
-    order = np.argsort(codes, kind="stable")
-    codes, weights = codes[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
-    return codes[first], np.add.reduceat(weights, first) if len(first) else weights
-
-
-def border_contexts(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, context, symbol) of both symbols of each border, for every length of context."""
-    mask = (1 << BITS) - 1
-    s2, s1, tail = code & mask, code >> BITS & mask, code >> 2 * BITS
-    every, two = np.arange(len(code)), np.flatnonzero(code & mask)
-    yield every, np.zeros(len(code), dtype=np.int64), s1
-    yield two, np.zeros(len(two), dtype=np.int64), s2[two]
-    yield two, s1[two], s2[two]
-    for k in range(TAIL + 1):
-        low = tail & ((1 << BITS * k) - 1)
-        full = (low >> BITS * max(0, k - 1)) > 0 if k else np.ones(len(code), dtype=bool)
-        context = low << BITS | START
-        yield every[full], context[full], s1[full]
-        both = full & (s2 > 0)
-        yield every[both], (context << BITS | s1)[both], s2[both]
-
-
-def word_symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """START, bytes and WORD_END of all words, and the word of each symbol."""
+def border_unit(codes: np.ndarray) -> list[str]:
+    """Borders as units: a space, which no word has, and the code."""
+    return [f" {c}" for c in codes.tolist()]
+
+
+def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
+    """(unit, n, n_all): how often each unit occurs in the training rows and in all rows."""
+
+    def packed(units: list, n: np.ndarray, n_all: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n, pa.int64()), pa.array(n_all, pa.int64())], ["unit", "n", "n_all"])
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code, n, n_all = (np.concatenate(c) for c in zip(*parts))
+        some, back = np.unique(code, return_inverse=True)
+        return some, np.bincount(back, weights=n, minlength=len(some)), np.bincount(back, weights=n_all, minlength=len(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, borders, held = Words(), [], 0
+        n = n_all = np.zeros(0)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if words.at:
+                yield packed(list(words.at), n.astype(np.int64), n_all.astype(np.int64))
+            if borders:
+                code, m, m_all = merged(borders)
+                yield packed(border_unit(code), m.astype(np.int64), m_all.astype(np.int64))
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, STEP):
+                batch = whole.slice(start, STEP)
+                split = [tokens(t) for t in batch["t"].to_pylist()]
+                known = batch["train"].to_numpy(zero_copy_only=False).astype(float)
+                sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                ids = words.numbers(split)
+                k = len(words.at)
+                n, n_all = (np.concatenate([v, np.zeros(k - len(v))]) for v in (n, n_all))
+                n += np.bincount(ids, weights=np.repeat(known, sizes), minlength=k)
+                n_all += np.bincount(ids, minlength=k)
+                code, owner = words.borders(ids, sizes)
+                borders.append(merged([(code, known[owner], np.ones(len(code)))]))
+                held += len(borders[-1][0])
+                if held > MERGE and len(borders) > 1:
+                    borders = [merged(borders)]
+                    held = len(borders[0][0])
+                if k > FLUSH or held > MERGE:
+                    yield from flushed()
+                    words, borders, held = Words(), [], 0
+                    n = n_all = np.zeros(0)
+        yield from flushed()
+
+    data = rows.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
+    return data.mapInArrow(tidy(run), "unit string, n long, n_all long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+
+
+def word_symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, context, symbol) of each word's symbols from the third on, with the longest context."""
     raw = [w.encode("utf-8", "replace") for w in words]
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 2
     ends = np.cumsum(sizes)
@@ -126,255 +161,194 @@ def word_symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place[ends - 1] = place[ends - sizes] = False
     x[place] = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) + 1
     x[ends - 1] = WORD_END
-    return x, np.repeat(np.arange(len(raw)), sizes)
-
-
-def word_contexts(x: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, context, symbol) of each word's symbols from the third on, longest contexts first."""
-    begins = np.searchsorted(owner, owner)  # the word's first place
-    i = np.flatnonzero(np.arange(len(x)) - begins >= 3)
-    room = i - begins[i]  # symbols before it, START included
-    codes = [np.zeros(len(i), dtype=np.int64)]
+    owner = np.repeat(np.arange(len(raw)), sizes)
+    room = np.arange(len(x)) - (ends - sizes)[owner]  # symbols before it, START included
+    i = np.flatnonzero(room >= 3)
+    context = np.zeros(len(i), dtype=np.int64)
     for k in range(1, DEPTH + 1):
-        codes.append(codes[-1] | np.where(room >= k, x[np.maximum(i - k, 0)], 0) << BITS * (k - 1))
-    for k in range(DEPTH, -1, -1):
-        ok = room >= k
-        yield i[ok], codes[k][ok], x[i[ok]]
+        context |= np.where(room[i] >= k, x[np.maximum(i - k, 0)], 0) << BITS * (k - 1)
+    return owner[i], context, x[i]
 
 
-def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
-    """(word, border, n, n_all): how often each word (over all rows) and each border (over the training rows) occurs."""
+def border_symbols(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, context, symbol) of both symbols of each border, with the longest context."""
+    s2, s1, tail = code & LOW, code >> BITS & LOW, code >> 2 * BITS
+    two = np.flatnonzero(s2)
+    context = tail << BITS | START
+    return np.concatenate([np.arange(len(code)), two]), np.concatenate([context, context[two] << BITS | s1[two]]), np.concatenate([s1, s2[two]])
 
-    def packed(words: list, border: list | np.ndarray, n: list | np.ndarray, n_all: list | np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(border, pa.int64()), pa.array(n, pa.int64()), pa.array(n_all, pa.int64())], ["word", "border", "n", "n_all"])
 
-    def of(n: Counter, other: Counter) -> Iterator[pa.RecordBatch]:
-        yield packed(list(n), [None] * len(n), list(n.values()), list(n.values()))
-        yield packed(list(other), [None] * len(other), [0] * len(other), list(other.values()))
+def unit_symbols(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, context, symbol) of all units."""
+    is_border = np.fromiter((u[0] == " " for u in units), dtype=bool, count=len(units))
+    a, b = np.flatnonzero(~is_border), np.flatnonzero(is_border)
+    parts = []
+    if len(a):
+        row, context, symbol = word_symbols([units[i] for i in a.tolist()])
+        parts.append((a[row], context, symbol))
+    if len(b):
+        row, context, symbol = border_symbols(np.array([int(units[i]) for i in b.tolist()], dtype=np.int64))
+        parts.append((b[row], context, symbol))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64),) * 3
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, other = Counter(), Counter()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                split = []
-                for t, known in zip(batch["t"].to_pylist(), batch["train"].to_pylist()):
-                    w = tokens(t)
-                    if known:
-                        n.update(w)
-                        split.append(w)
-                    else:
-                        other.update(w)
-                if split:
-                    code, many = summed(borders(spelled(split))[0])
-                    yield packed([None] * len(code), code, many, many)
-                if len(n) + len(other) > FLUSH:
-                    yield from of(n, other)
-                    n, other = Counter(), Counter()
-        yield from of(n, other)
-
-    data = rows.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
-    return data.mapInArrow(run, "word string, border long, n long, n_all long").groupBy("word", "border").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
+def extended(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, before: np.ndarray, least: int, min_gain: float) -> np.ndarray:
+    """Each symbol's probability once the given contexts (one of each symbol) are added to the tree, if they are kept.
 
-def pair_counts(of: DataFrame) -> DataFrame:
-    """context, symbol and n from the training counts of words and borders."""
+    ``before`` is the probability by the longest kept proper suffix. Rows may repeat a context and symbol; n adds up.
+    """
+    pair, first, back = np.unique(context << BITS | symbol, return_index=True, return_inverse=True)
+    c, p = np.bincount(back, weights=n, minlength=len(pair)), before[first]
+    state, of = np.unique(pair >> BITS, return_inverse=True)
+    total, kinds = np.bincount(of, weights=c, minlength=len(state)), np.bincount(of, weights=c > 0, minlength=len(state))
+    share = np.where(c > 0, c, 1) / np.maximum(total, 1)[of]
+    gain = np.bincount(of, weights=np.where(c > 0, c * np.log(share / p), 0.0), minlength=len(state))
+    kept = (total >= least) & (gain >= min_gain)
+    new = (c + kinds[of] * p) / np.maximum(total + kinds, 1)[of]
+    return np.where(kept[of], new, p)[back]
+
+
+def shallow(symbols: np.ndarray, contexts: np.ndarray, n: np.ndarray, least: int, min_gain: float) -> np.ndarray:
+    """Probabilities of all symbols by all contexts of one symbol, from the counts of (context, symbol)."""
+    table = np.zeros((260, 260))
+    np.add.at(table, (contexts, symbols), n)
+    possible = [s for s in range(1, 260) if s != START]
+    c = table.sum(0)[possible]
+    root = (c + np.count_nonzero(c) / KINDS) / max(c.sum() + np.count_nonzero(c), 1) if c.sum() else np.full(KINDS, 1 / KINDS)
+    out = np.ones((260, 260))
+    context, symbol = (v.ravel() for v in np.meshgrid(np.arange(260), possible, indexing="ij"))
+    out[:, possible] = extended(context, symbol, table[context, symbol], np.tile(root, 260), least, min_gain).reshape(260, KINDS)
+    return out
+
+
+def probabilities(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, first: np.ndarray, least: int, min_gain: float) -> np.ndarray:
+    """Each symbol's probability by the longest kept suffix of its context, from ``first`` (those by contexts of one symbol) on.
+
+    The rows must be all that share their contexts' last two symbols.
+    """
+    p = first[context & LOW, symbol]
+    for d in range(2, DEPTH + 1):
+        i = np.flatnonzero(context >> BITS * (d - 1))
+        if not len(i):
+            break
+        p[i] = extended(context[i] & ((1 << BITS * d) - 1), symbol[i], n[i], p[i], least, min_gain)
+    return p
 
-    def packed(parts: list) -> pa.RecordBatch:
-        code, n = summed(np.concatenate([c << BITS | s for c, s, _ in parts]), np.concatenate([w for _, _, w in parts]))
-        return pa.RecordBatch.from_arrays([pa.array(code >> BITS), pa.array(code & (1 << BITS) - 1), pa.array(n)], ["context", "symbol", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            n = batch["n"].to_numpy()
-            is_word = np.asarray(batch["border"].is_null())
-            words = batch["word"].filter(pa.array(is_word)).to_pylist()
-            if words:
-                x, owner = word_symbols(words)
-                many = n[is_word][owner]
-                parts += [(c, s, many[i]) for i, c, s in word_contexts(x, owner)]
-            code = batch["border"].drop_null().to_numpy()
-            many = n[~is_word]
-            parts += [(c, s, many[i]) for i, c, s in border_contexts(code)] if len(code) else []
-            size += sum(len(p[0]) for p in parts[-20:])
-            if size > 1_500_000:
-                yield packed(parts)
-                parts, size = [], 0
-        if parts:
-            yield packed(parts)
-
-    return of.where("n > 0").select("word", "border", "n").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+def unit_scores(units: DataFrame, least: int, min_gain: float) -> DataFrame:
+    """``units`` (id, unit, n and more; a written table) with ``rest``: the log10 probability of the unit's symbols."""
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, context, symbol = unit_symbols(b["unit"].to_pylist())
+            code, back = np.unique((context & LOW) << BITS | symbol, return_inverse=True)
+            n = np.bincount(back, weights=b["n"].to_numpy()[row], minlength=len(code)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+    # at most 261 times 258 rows
+    small = units.select("unit", "n").mapInArrow(tidy(pairs), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code = small["code"].to_numpy()
+    first = units.sparkSession.sparkContext.broadcast(shallow(code & LOW, code >> BITS, small["n"].to_numpy(), least, min_gain))
+    parts = max(PARTS, 6 * units.count() // PART)
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, context, symbol = unit_symbols(b["unit"].to_pylist())
+            part = ((context & ((1 << 2 * BITS) - 1)) * 0x9E3779B1 >> 7) % parts
+            yield pa.RecordBatch.from_arrays([pa.array(part), b["id"].take(pa.array(row)), pa.array(context), pa.array(symbol), b["n"].take(pa.array(row))], ["part", "id", "context", "symbol", "n"])
 
-@dataclass(frozen=True)
-class Tree:
-    """Kept contexts with what they give back, and their symbols' log10 probabilities; both sorted by number."""
-
-    states: np.ndarray
-    back: np.ndarray
-    pairs: np.ndarray
-    logs: np.ndarray
-
-    def score(self, levels: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-        """log10 probability at each of ``size`` rows; ``levels`` are (rows, context, symbol), longest contexts first."""
-        out, done = np.zeros(size), np.zeros(size, dtype=bool)
-        for rows, context, symbol in levels:
-            open_ = ~done[rows]
-            rows, context, symbol = rows[open_], context[open_], symbol[open_]
-            if not len(rows):
-                continue
-            at = np.minimum(np.searchsorted(self.states, context), len(self.states) - 1)
-            kept = self.states[at] == context
-            rows, context, symbol, at = rows[kept], context[kept], symbol[kept], at[kept]
-            code = context << BITS | symbol
-            p = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
-            seen = self.pairs[p] == code if len(self.pairs) else np.zeros(len(code), dtype=bool)
-            out[rows] += np.where(seen, self.logs[p] if len(self.logs) else 0.0, self.back[at])
-            done[rows[seen]] = True
-            rest = rows[~seen & (context == 0)]
-            out[rest] -= math.log10(KINDS)
-        return out
+    def scored(t: pa.Table) -> pa.Table:
+        ids, context, symbol, n = (t[c].to_numpy() for c in ("id", "context", "symbol", "n"))
+        logs = np.log10(probabilities(context, symbol, n, first.value, least, min_gain))
+        some, back = np.unique(ids, return_inverse=True)
+        return pa.table({"id": some, "rest": np.bincount(back, weights=logs, minlength=len(some))})
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Of each word: log10 probability of its symbols from the third on."""
-        if not words:
-            return np.zeros(0)
-        x, owner = word_symbols(words)
-        return np.bincount(owner, weights=self.score(word_contexts(x, owner), len(x)), minlength=len(words))
-
-    def borders(self, code: np.ndarray) -> np.ndarray:
-        """Of each border: log10 probability of its symbols."""
-        if not len(code):
-            return np.zeros(0)
-        levels = list(border_contexts(code))
-        one, two = [levels[0], *levels[3::2]], [levels[1], levels[2], *levels[4::2]]
-        return self.score(reversed(one), len(code)) + self.score(reversed(two), len(code))
-
-
-def grown(contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray, min_gain: float) -> Tree:
-    """The tree from the counts of all contexts of sufficient share."""
-    counts: dict[int, dict[int, int]] = {}
-    for c, s, k in zip(contexts.tolist(), symbols.tolist(), n.tolist()):
-        counts.setdefault(c, {})[s] = k
-    states: dict[int, dict[int, float]] = {0: {}}
-    back: dict[int, float] = {0: 1.0}
-
-    def suffix_of(context: int) -> int:
-        """The longest kept proper suffix: drop oldest symbols (the upper bits)."""
-        top = (context.bit_length() - 1) // BITS
-        while top > 0:
-            context &= (1 << BITS * top) - 1
-            if context in states:
-                return context
-            top = (context.bit_length() - 1) // BITS
-        return 0
-
-    def probability(context: int, symbol: int) -> float:
-        scale = 1.0
-        while (p := states[context].get(symbol)) is None:
-            scale *= back[context]
-            if not context:
-                return scale / KINDS
-            context = suffix_of(context)
-        return scale * p
-
-    for context in sorted(counts, key=lambda c: ((c.bit_length() + BITS - 1) // BITS, c)):
-        follow = counts[context]
-        total, kinds = sum(follow.values()), len(follow)
-        suffix = suffix_of(context) if context else 0
-        before = {s: probability(suffix, s) if context else 1 / KINDS for s in follow}
-        if context and sum(c * math.log(c / total / before[s]) for s, c in follow.items()) < min_gain:
-            continue
-        states[context] = {s: (c + kinds * before[s]) / (total + kinds) for s, c in follow.items()}
-        back[context] = kinds / (total + kinds)
-    kept = np.array(sorted(states), dtype=np.int64)
-    pairs = np.array([c << BITS | s for c, f in states.items() for s in f], dtype=np.int64)
-    logs = np.log10(np.array([p for f in states.values() for p in f.values()], dtype=float))
-    order = np.argsort(pairs)
-    return Tree(kept, np.log10(np.array([back[c] for c in kept.tolist()])), pairs[order], logs[order])
+    found = units.select("id", "unit", "n").mapInArrow(tidy(items), "part long, id long, context long, symbol long, n long").groupBy("part").applyInArrow(scored, "id long, rest double")
+    return units.join(found.groupBy("id").agg(F.sum("rest").alias("rest")), "id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What is learned: the table (word, n, rest) of all distinct words, the totals, the tree and the frequent words' (n, rest)."""
+    """What is learned: the table (unit, n, rest) of all distinct units, the totals, and (unit, n, rest) of the frequent ones."""
 
-    words: DataFrame
+    units: DataFrame
     total: int
     distinct: int
     texts: int
-    tree: Tree
-    frequent: dict[str, tuple[int, float]]
+    frequent: pa.Table
 
 
-def learn(rows: DataFrame, train: Column, *, text: str = "text", min_share: float = 1e-5, min_gain: float = 8.0) -> Corpus:
-    """Learn from the rows that ``train`` marks; the other rows' words are listed with count zero."""
-    of = saved(counted(rows, text, train))
+def learn(rows: DataFrame, train: Column, *, text: str = "text", least: int = 100, min_gain: float = 8.0, frequent: float = 1e-6) -> Corpus:
+    """Learn from the rows that ``train`` marks; the other rows' units are listed with count zero."""
+    is_word = ~F.startswith(F.col("unit"), F.lit(" "))
+    of = saved(counted(rows, text, train).withColumn("id", F.monotonically_increasing_id()))
     texts = rows.where(train).count()
-    n, v, symbols = of.where("word is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.col("n") * (F.octet_length("word") + 1)), F.lit(0))).first()
-    total, distinct = n + texts, v + (texts > 0)
-    pairs = saved(pair_counts(of))
-    large = pairs.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= min_share * symbols)
-    # a bounded table: at most (DEPTH + 1) / min_share contexts
-    found = pairs.join(large.select("context"), "context", "left_semi").toArrow()
-    tree = grown(*(found[c].to_numpy() for c in ("context", "symbol", "n")), min_gain)
-    model = rows.sparkSession.sparkContext.broadcast(tree)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array(model.value.words(b["word"].to_pylist())), b["n_all"]], ["word", "n", "rest", "n_all"])
-
-    words = saved(of.where("word is not null").select("word", "n", "n_all").mapInArrow(rest, "word string, n long, rest double, n_all long"))
-    # at most 10 / min_share words of the whole corpus are so frequent
-    every = words.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
-    often = words.where(F.col("n_all") >= max(1.0, min_share / 10 * every)).toArrow()
-    return Corpus(words.drop("n_all"), total, distinct, texts, tree, {w: (k, r) for w, k, r in zip(*(often[c].to_pylist() for c in ("word", "n", "rest")))})
+    n, v, words, borders = of.agg(
+        F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)), F.count_if(is_word & (F.col("n") > 0)), F.coalesce(F.sum(F.when(is_word, F.col("n_all"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_word, F.col("n_all"))), F.lit(0))
+    ).first()
+    units = saved(unit_scores(of, least, min_gain).select("unit", "n", "rest", "n_all"))
+    # at most 1/frequent units of each kind
+    often = units.where(F.col("n_all") >= frequent * F.when(is_word, F.lit(words)).otherwise(F.lit(borders))).drop("n_all").toArrow()
+    return Corpus(units.drop("n_all"), n + texts, v + (texts > 0), texts, often)
 
 
 def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep``, n_tokens, n_known, base_score and score of rows that ``learn`` has read."""
-    model = rows.sparkSession.sparkContext.broadcast((corpus.tree, corpus.frequent))
+    model = rows.sparkSession.sparkContext.broadcast(corpus.frequent)
     bottom, texts = corpus.total + 0.1 * (corpus.distinct + 1), corpus.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = model.value
-        known = {w: (math.log10((n + 0.1) / bottom), rest, n > 0) for w, (n, rest) in frequent.items()}
+        often = model.value
+        unit, n, rest = often["unit"].to_pylist(), often["n"].to_numpy(), often["rest"].to_numpy()
+        is_border = np.fromiter((u[0] == " " for u in unit), dtype=bool, count=len(unit))
+        code = np.array([int(u) for u in unit if u[0] == " "], dtype=np.int64)
+        order = np.argsort(code)
+        code, across = code[order], rest[is_border][order]
+        place = {u: i for i, u in enumerate(u for u in unit if u[0] != " ")}
+        n, rest = n[~is_border], rest[~is_border]
+        base = np.log10((n + 0.1) / bottom)
         end = math.log10((texts + 0.1) / bottom)
         part, row = TaskContext.get().partitionId() << 40, 0
+        words = Words()
+        where = np.zeros(0, dtype=np.int64)  # the frequent word of each word met, -1 if it is rare
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, STEP):
+                batch = whole.slice(start, STEP)
                 split = [tokens(t) for t in batch["t"].to_pylist()]
-                s = spelled(split)
-                code, place = borders(s)
-                some, back = np.unique(code, return_inverse=True)
-                owner = np.searchsorted(np.flatnonzero(s == TEXT_END), place)
-                across = np.bincount(owner, weights=tree.borders(some)[back], minlength=len(split)).tolist()
-                out = []
-                for w, score in zip(split, across):
-                    base, seen, rare, times = end, int(texts > 0), [], []
-                    for word, c in Counter(w).items():
-                        k = known.get(word)
-                        if k is None:
-                            rare.append(word)
-                            times.append(c)
-                        else:
-                            base += c * k[0]
-                            score += c * k[1]
-                            seen += c * k[2]
-                    out.append((part | row, 1 + len(w), seen, base, score, rare, times))
-                    row += 1
-                cols = list(zip(*out)) or [[]] * 7
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), batch["own"]], ["row", "n_tokens", "known", "base", "score", "rare", "times", "own"])
+                sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                if len(words.at) > FLUSH:
+                    words, where = Words(), where[:0]
+                ids = words.numbers(split)
+                if len(words.at) > len(where):
+                    where = np.concatenate([where, np.array([place.get(w, -1) for w in list(words.at)[len(where) :]], dtype=np.int64)])
+                owner, at, docs = np.repeat(np.arange(len(split)), sizes), where[ids], len(split)
+                hit = np.flatnonzero(at >= 0)
+                owner_hit, at_hit = owner[hit], at[hit]
+                sums = [np.bincount(owner_hit, weights=v[at_hit], minlength=docs) for v in (base, rest, n > 0)]
+                rare: list[Counter] = [Counter() for _ in split]
+                spelled = list(words.at)
+                for d, w in zip(owner[at < 0].tolist(), ids[at < 0].tolist()):
+                    rare[d][spelled[w]] += 1
+                border, owner = words.borders(ids, sizes)
+                found = np.minimum(np.searchsorted(code, border), max(0, len(code) - 1))
+                hit = code[found] == border if len(code) else np.zeros(len(border), dtype=bool)
+                sums[1] = sums[1] + np.bincount(owner[hit], weights=across[found[hit]], minlength=docs)
+                for d, u in zip(owner[~hit].tolist(), border_unit(border[~hit])):
+                    rare[d][u] += 1
+                listed = pa.array([list(c) for c in rare], pa.list_(pa.string())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32()))
+                rows_ = pa.array(np.arange(row, row + docs) | part)
+                row += docs
+                cols = [rows_, pa.array(sizes + 1), pa.array(sums[2].astype(np.int64) + int(texts > 0)), pa.array(sums[0] + end, pa.float64()), pa.array(sums[1], pa.float64()), *listed, batch["own"]]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "n_tokens", "known", "base", "score", "rare", "times", "own"])
 
     data = rows.select(F.struct(*keep).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = data.schema["own"].dataType.simpleString()
-    done = saved(data.mapInArrow(run, f"row long, n_tokens long, known long, base double, score double, rare array<string>, times array<int>, own {kind}"))
-    rare = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("c"))
-    joined = rare.join(corpus.words, "word")  # every word of every row is in the table
+    done = saved(data.mapInArrow(tidy(run), f"row long, n_tokens long, known long, base double, score double, rare array<string>, times array<int>, own {kind}"))
+    rare = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("unit"), F.col("x.times").alias("c"))
+    joined = rare.join(corpus.units, "unit")  # every unit of every row is in the table
+    is_word = ~F.startswith(F.col("unit"), F.lit(" "))
     sums = joined.groupBy("row").agg(
-        F.sum(F.col("c") * F.log10((F.col("n") + F.lit(0.1)) / F.lit(bottom))).alias("base_more"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("known_more"), F.sum(F.col("c") * F.col("rest")).alias("more")
+        F.sum(F.when(is_word, F.col("c") * F.log10((F.col("n") + F.lit(0.1)) / F.lit(bottom)))).alias("base_more"), F.sum(F.when(is_word & (F.col("n") > 0), F.col("c")).otherwise(0)).alias("known_more"), F.sum(F.col("c") * F.col("rest")).alias("more")
     )
     both = done.drop("rare", "times").join(sums, "row", "left")
     return both.select("own.*", "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))

@@ -1,11 +1,12 @@
 """The operators against brute force, the library or planted cases, with nulls, empties, ties and repeats."""
 
+import math
 import binascii
 import hashlib
 import io
 import random
 import tarfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -258,28 +259,74 @@ def test_components(spark):
     assert {(r.node, r.root) for r in components.connected_components(edges).collect()} == {(i, 0 if i <= 20 else 21) for i in range(41)}
 
 
+def plain_suffix_tree(texts, used, least, min_gain):
+    """log10 probability of each text (a list of words) by a tree in plain dictionaries, learned from the texts marked in ``used``."""
+    start, word_end, text_end, depth, tail_bytes = "start", "word end", "text end", 6, 3
+
+    def symbols(words):
+        out, tail = [], ()
+        for w in [*words, None]:
+            raw = [] if w is None else [*w.encode(), word_end]
+            row = [text_end] if w is None else raw
+            for j, s in enumerate(row):
+                context = (*tail, start, *row[:j]) if j < 2 else (start, *row[:j])[-depth:]
+                out.append((tuple(context), s))
+            tail = tuple(raw[:-1][-tail_bytes:])
+        return out
+
+    spelled = [symbols(w) for w in texts]
+    follow = defaultdict(Counter)
+    for row, known in zip(spelled, used):
+        for context, s in row if known else ():
+            for k in range(len(context) + 1):
+                follow[context[len(context) - k :]][s] += 1
+    kept = {(): None}
+
+    def longest(context):
+        while context not in kept:
+            context = context[1:]
+        return context
+
+    def probability(context, s):
+        n, kinds = sum(follow[context].values()), len(follow[context])
+        before = probability(longest(context[1:]), s) if context else 1 / 258
+        return (follow[context][s] + kinds * before) / (n + kinds) if n else before
+
+    for context in sorted(follow, key=len):
+        n = sum(follow[context].values())
+        if context and n >= least and sum(c * math.log(c / n / probability(longest(context[1:]), s)) for s, c in follow[context].items()) >= min_gain:
+            kept[context] = None
+    return [sum(math.log10(probability(longest(c), s)) for c, s in row) for row in spelled], len(kept), sum(probability((), s) for s in [*range(256), word_end, text_end])
+
+
 def test_lm_scores(spark, docs):
-    df = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-2, "")], "doc_id long, text string"))
-    train = F.col("doc_id") % 3 != 0
-    corpus = suffix_tree.learn(df, train, min_share=1e-4)
-    got = suffix_tree.scores(df, corpus).collect()
-    n, texts = defaultdict(int), [(r.doc_id, suffix_tree.tokens(r.text or "")) for r in df.collect()]
-    used = [w for i, w in texts if i % 3 != 0]
-    for w in used:
-        for x in w:
-            n[x] += 1
-    total, distinct = sum(n.values()) + len(used), len(n) + 1
-    assert (corpus.total, corpus.distinct) == (total, distinct)
-    log = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-    want = {i: (len(w) + 1, 1 + sum(x in n for x in w), log(len(used)) + sum(log(n.get(x, 0)) for x in w)) for i, w in texts}
-    assert len(got) == len(texts)
-    for r in got:
-        assert (r.n_tokens, r.n_known) == want[r.doc_id][:2] and abs(r.base_score - want[r.doc_id][2]) < 1e-6 and r.score < 0
-    # next symbols of a state sum to one
-    for context in (0, suffix_tree.START):
-        code = np.array([context << 9 | s for s in range(1, 260) if s != suffix_tree.START], dtype=np.int64)
-        levels = [(np.arange(258), np.full(258, c, dtype=np.int64), code & 511) for c in sorted({context, 0}, reverse=True)]
-        assert abs((10 ** corpus.tree.score(iter(levels), 258)).sum() - 1) < 1e-6
+    texts = [*ODD, *[(r.doc_id, r.text) for r in docs.where("length(text) < 2000").limit(50).collect()]]
+    df = docs_of(spark, texts)
+    train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    for least, frequent in ((5, 1e-3), (2, 1.0)):
+        corpus = suffix_tree.learn(df, train, least=least, min_gain=2.0, frequent=frequent)
+        got = suffix_tree.scores(df, corpus).collect()
+        words = [suffix_tree.tokens(t or "") for _, t in texts]
+        used = [i is not None and i % 3 != 0 for i, _ in texts]
+        n = Counter(x for w, u in zip(words, used) if u for x in w)
+        total, distinct = sum(n.values()) + sum(used), len(n) + 1
+        assert (corpus.total, corpus.distinct) == (total, distinct)
+        log = lambda c: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+        whole, states, mass = plain_suffix_tree(words, used, least, 2.0)
+        assert states > 20 and abs(mass - 1) < 1e-9
+        rounded = lambda v: round(v, 6)
+        want = sorted((str(i), len(w) + 1, 1 + sum(x in n for x in w), rounded(log(sum(used)) + sum(log(n[x]) for x in w)), rounded(s)) for (i, _), w, s in zip(texts, words, whole))
+        assert sorted((str(r.doc_id), r.n_tokens, r.n_known, rounded(r.base_score), rounded(r.score)) for r in got) == want
+
+
+def test_lm_scores_of_nothing(spark):
+    empty = docs_of(spark, [])
+    assert suffix_tree.scores(empty, suffix_tree.learn(empty, F.lit(True))).count() == 0
+    some = docs_of(spark, ODD)
+    corpus = suffix_tree.learn(some, F.lit(False))
+    got = suffix_tree.scores(some, corpus).collect()
+    assert len(got) == len(ODD) and all(r.n_known == 0 and math.isfinite(r.base_score) for r in got)
+    assert {r.doc_id: r.score for r in got}[2] == pytest.approx(-math.log10(258))
 
 
 def test_secret_spans(spark):
