@@ -16,7 +16,9 @@ blocks is a task's unit of its own. Copies meet before: only
 distinct fingerprints take part.
 
 With ``similarity`` texts link by the Jaccard similarity of their sets of distinct shingles, and no
-link is missed. Shingles have one order for all texts: those frequent in a sample of texts
+link is missed. The fingerprints of the sets propose first: their links of up to three bits are checked
+on the sets and join most near copies. What they leave apart is found by prefixes. Shingles have one
+order for all texts: those frequent in a sample of texts
 come last, the others by hash (the sample decides the cost alone; any order is exact). Of two sets of
 similarity s each has a shared shingle among its first n - ceil(s n) + 1 (the prefix), so texts are
 joined on the shingles of their prefixes. Two steps keep large groups of near copies from
@@ -24,7 +26,8 @@ giving all pairs: first each text is checked against the first text of each of i
 groups; then, in groups whose texts these checked links leave apart, all pairs that are
 still apart and whose sizes and places in the order allow the similarity are
 checked, large groups in blocks. Pairs are only left out if a checked link connects their texts already
-or if they cannot be similar. Texts of equal sets are one node from the start.
+or if they cannot be similar. Texts of equal sets are one node from the start. Only prefixes are
+written; the sets of texts that take part in a proposed pair are made again from the texts.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; a text
 with fewer words than a shingle is one shingle; repeated rows and
@@ -35,13 +38,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, saved, tidy
@@ -53,14 +56,14 @@ GENERATOR = 0b101011100011
 BITS = (21, 21, 22)
 #: Buckets of more rows are searched for a spanning forest, not pair by pair.
 WIDE = 64
-#: Similarity mode: one of so many texts is sampled for the order of shingles (all of few texts), and how many frequent shingles are told apart.
-SAMPLE, FEW, FREQUENT = 8, 20_000, 200_000
+#: Similarity mode: one of so many texts at most is sampled for the order of shingles (about FEW texts at least), and how many frequent shingles are told apart.
+SAMPLE, FEW, FREQUENT = 16, 3000, 200_000
 #: Texts of a block, in groups that are checked pair by pair.
 BLOCK = 1000
-#: Keys of ``segment_keys``: bits beside a segment's index in a key, and fingerprints of other tables that a key carries.
-EXACT_BITS = 8
-CARRIED = 4
-MIX = 0x9E3779B97F4A7C15
+#: Pairs of one node that meet its set in one group.
+PAIRS = 1000
+#: Up to so many ids of texts whose sets are needed are broadcast (two numbers each); more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -109,19 +112,6 @@ def keys_of(fp: np.ndarray, rest: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, every, every]), np.concatenate([pair[row, col], (1 << 60) | (b << 22) | c, (2 << 60) | (a << 22) | c])
 
 
-def segment_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of unsigned fingerprints: near index of one segment with some bits of the last segment."""
-    f = fp.astype(np.uint64)
-    a, b, c = ((f >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in zip((43, 22, 0), BITS))
-    rows, keys = [], []
-    for group, (segment, rest) in enumerate(((a, c >> (BITS[2] - EXACT_BITS)), (b, c & ((1 << EXACT_BITS) - 1)))):
-        near = near_indices(segment)
-        row, col = np.nonzero(near >= 0)
-        rows.append(row)
-        keys.append(group << 40 | near[row, col] << EXACT_BITS | rest[row])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """Bits set in over half of the hashes."""
     if not len(hashes):
@@ -146,47 +136,40 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((h(raw[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist())), dtype=np.uint64, count=n)
 
 
-def remixed(hashes: np.ndarray, table: int) -> np.ndarray:
-    """Another hash of the same shingles for each further table."""
-    if not table:
-        return hashes
-    x = hashes + np.uint64(MIX * table % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, tables: int = 1) -> DataFrame:
-    """id and fps: ``tables`` fingerprints (bigint) of every text."""
+def fingerprints(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """id and node, the fingerprint (bigint) of every text."""
     data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch["t"]:
-                h = shingle_hashes(t.as_py(), words)
-                out.append([fingerprint(remixed(h, k)) for k in range(tables)])
-            fps = np.array(out, dtype=np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, tables), pa.int32()), pa.array(fps))
-            yield pa.RecordBatch.from_arrays([batch["id"], lists], ["id", "fps"])
+            fp = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in batch["t"]], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(fp)], ["id", "node"])
+
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long")
 
-    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, fps array<bigint>")
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
-def set_sketches(rows: DataFrame, *, id_col: str, text: str, words: int) -> DataFrame:
-    """id, node (hash of the set of distinct shingles), fp (fingerprint of the set) and shingles (the set, sorted 64-bit numbers) of every text."""
+
+def set_sketches(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float, *, id_col: str, text: str, words: int) -> DataFrame:
+    """id, node (hash of the set of distinct shingles), fp (fingerprint of the set), n (its size) and prefix (64-bit numbers) of every text."""
     data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)  # bounded by FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part["t"]]
-                node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
-                fp = np.array([fingerprint(h) for h in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(node), pa.array(fp), pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "node", "fp", "shingles"])
+                out: list[tuple] = []
+                for t in part["t"]:
+                    h = shingle_set(t.as_py(), words)
+                    out.append((xxhash.xxh3_64_intdigest(h.tobytes()), fingerprint(h), len(h), prefix(h, shared.value, similarity).tobytes() if len(h) else b""))
+                node, fp, n, start = zip(*out)
+                signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part["id"], signed(node), signed(fp), pa.array(n, pa.int32()), pa.array(start, pa.binary())], ["id", "node", "fp", "n", "prefix"])
 
-    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long, fp long, shingles binary")
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long, fp long, n int, prefix binary")
 
 
 class Forest:
@@ -242,55 +225,8 @@ def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> I
             left = left[~near]
 
 
-def nearest_links(key: np.ndarray, fp: np.ndarray, n: np.ndarray, node: np.ndarray, distance: int, similarity: float) -> Iterator[tuple[int, int]]:
-    """Per bucket (rows sorted by key) a spanning forest of its nearest pairs within ``distance`` whose sizes ``n`` allow the similarity."""
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    sizes = np.diff(cut)
-    bucket = np.repeat(np.arange(len(sizes)), sizes)
-    i = np.flatnonzero(sizes[bucket] <= WIDE)
-    hits, step = [], 1
-    while len(i):
-        i = i[i + step < len(key)]
-        i = i[key[i + step] == key[i]]
-        j = i + step
-        d = apart(fp[i], fp[j])
-        ok = (d <= distance) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-        x, y = node[i[ok]], node[j[ok]]
-        hits.append((bucket[i[ok]], d[ok].astype(np.int64), np.minimum(x, y), np.maximum(x, y)))
-        step += 1
-    if hits:
-        b, d, x, y = (np.concatenate(c) for c in zip(*hits))
-        order = np.lexsort((y, x, d, b))
-        forest, last = Forest(), -1
-        for at, u, v in zip(b[order].tolist(), x[order].tolist(), y[order].tolist()):
-            if at != last:
-                forest, last = Forest(), at
-            if forest.join(u, v):
-                yield u, v
-    never = np.iinfo(np.int64).max
-    for start, k in zip(cut[:-1][sizes > WIDE].tolist(), sizes[sizes > WIDE].tolist()):
-        f, x, m = fp[start : start + k], node[start : start + k], n[start : start + k]
-        best, parent, left = np.full(k, never), np.zeros(k, dtype=np.int64), np.ones(k, dtype=bool)
-        u = 0
-        for _ in range(k - 1):  # Prim: the nearest row outside joins next
-            left[u], best[u] = False, never
-            d = apart(f, f[u]).astype(np.int64)
-            closer = left & (d < best) & (d <= distance) & (np.minimum(m, m[u]) >= similarity * np.maximum(m, m[u]) - 1e-9)
-            best[closer], parent[closer] = d[closer], u
-            v = int(best.argmin())
-            if best[v] == never:
-                v = int(left.argmax())
-            else:
-                yield int(x[parent[v]]), int(x[v])
-            u = v
-
-
-def linked(keyed: DataFrame, distance: int, hot: int | None, similarity: float | None = None) -> DataFrame:
-    """Links (a, b) among rows (key, f0..., node) of equal key; (null, key) for keys put off.
-
-    With ``similarity`` the last column before node is the shingle set's size, and links are proposals.
-    """
-    words = [c for c in keyed.columns if c not in ("key", "node")]
+def linked(keyed: DataFrame, distance: int, hot: int | None) -> DataFrame:
+    """Links (a, b) among rows (key, fp, node) of equal key; (null, key) for keys put off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, n_held = Forest(), [], 0
@@ -298,11 +234,6 @@ def linked(keyed: DataFrame, distance: int, hot: int | None, similarity: float |
 
         def search(key, fp, node) -> tuple[list, list]:
             a, b = [], []
-            if similarity is not None:
-                for x, y in nearest_links(key, fp[:, :-1], fp[:, -1], node, distance, similarity):
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-                return a, b
             for x, y in links(key, fp, node, distance):
                 if x != y and forest.join(x, y):
                     a.append(x)
@@ -316,7 +247,7 @@ def linked(keyed: DataFrame, distance: int, hot: int | None, similarity: float |
             if not batch.num_rows:
                 continue
             key = batch["key"].to_numpy()
-            held.append((key, np.stack([batch[w].to_numpy() for w in words], axis=1), batch["node"].to_numpy()))
+            held.append((key, batch["fp"].to_numpy()[:, None], batch["node"].to_numpy()))
             n_held += len(key)
             cols = [np.concatenate(c) for c in zip(*held)]
             last = np.searchsorted(cols[0], cols[0][-1])  # rows of the last key wait for the next batch
@@ -345,58 +276,48 @@ def linked(keyed: DataFrame, distance: int, hot: int | None, similarity: float |
     return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "a long, b long")
 
 
-def near_links(nodes: DataFrame, tables: int = 1, distance: int = 3, hot: int = 20_000, similarity: float | None = None) -> DataFrame:
-    """Links among the distinct rows (node, fps), enough to connect what links.
+def near_links(nodes: DataFrame, distance: int = 3, hot: int = 20_000) -> DataFrame:
+    """Links among the distinct rows (node, fp), enough to connect all whose fingerprints differ in up to ``distance`` <= 3 bits.
 
-    Nodes link whose fingerprints differ in up to ``distance`` <= 3 bits, and none is missed.
-    With ``similarity`` (rows then have n, the set's size): pairs proposed by the keys of each of
-    the ``tables`` fingerprints, to be checked on the sets.
+    ``hot`` bounds the rows of a key that a task holds; it decides how pairs are dealt, not which.
     """
-    if similarity is None and distance > 3:
+    if distance > 3:
         raise ValueError("segments are decoded for up to three differing bits")
-    carried = 1 if similarity is None else min(CARRIED, tables - 1)
-    words = [f"f{i}" for i in range(carried)]
-    cols_in = ["node", "fps"] if similarity is None else ["node", "fps", "n"]
-    if similarity is not None:
-        words.append("n")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                node, fps = part["node"].to_numpy(), part["fps"].flatten().to_numpy().reshape(-1, tables)
-                for t in range(tables):
-                    f = np.ascontiguousarray(fps[:, t]).view(np.uint64)
-                    row, key = keys_of(f) if similarity is None else segment_keys(f)
-                    cols = [fps[:, (t + 1 + i) % tables][row] for i in range(carried)]
-                    if similarity is not None:
-                        cols.append(part["n"].to_numpy()[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(key | t << 46), *map(pa.array, cols), pa.array(node[row])], ["key", *words, "node"])
-
-    keyed = nodes.select(*cols_in).mapInArrow(tidy(expand), f"key long, {', '.join(f'{w} long' for w in words)}, node long")
-    found = saved(linked(keyed, distance, hot, similarity))
+                fp = part["fp"].to_numpy()
+                row, key = keys_of(np.ascontiguousarray(fp).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(part["node"].to_numpy()[row])], ["key", "fp", "node"])
+
+    keyed = nodes.select("node", "fp").mapInArrow(tidy(expand), "key long, fp long, node long")
+    found = saved(linked(keyed, distance, hot))
     edges = found.where("a is not null")
     late = found.where("a is null").select(F.col("b").alias("key")).distinct()
     if not late.isEmpty():
         rows = saved(keyed.join(late, "key", "left_semi"))
         blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (hot / 2)).cast("int").alias("n"))
-        dealt = rows.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("node", *words), F.col("n")).cast("int"))
+        dealt = rows.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("node", "fp"), F.col("n")).cast("int"))
         dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         # a cell's number may collide with another's; that only adds pairs, which are verified
-        cells = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), *words, "node")
-        edges = edges.union(saved(linked(cells, distance, None, similarity)))
+        cells = dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "fp", "node")
+        edges = edges.union(saved(linked(cells, distance, None)))
     return edges
 
 
-def frequent_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of ``sets``, sorted, and their counts; at most ``FREQUENT`` rows reach the driver."""
-    part = sets.where(F.pmod("node", F.lit(max(1, min(SAMPLE, n // FEW)))) == 0).select("shingles")
+def frequent_shingles(rows: DataFrame, *, id_col: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of ``rows``, sorted, and in how many texts they are; at most ``FREQUENT`` rows reach the driver."""
+    every = max(1, min(SAMPLE, rows.count() // FEW))
+    part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch["shingles"]]
-            shingle, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, dtype=np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(n)], ["shingle", "n"])
+            for at in range(0, batch.num_rows, 1000):
+                sets = [shingle_set(t.as_py(), words) for t in batch["t"].slice(at, 1000)]
+                shingle, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
     counts = part.mapInArrow(tidy(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.where("n > 3").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
@@ -415,29 +336,32 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simila
     return shingles[: n - math.ceil(similarity * n - 1e-6) + 1]
 
 
-def prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+def prefixes(sketches: DataFrame) -> DataFrame:
     """key (shingle), node, n (the set's size) and pos (the shingle's place in the order) of the prefixes' shingles."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)  # bounded by FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            node, keys, n = [], [], []
-            for x, v in zip(batch["node"].to_pylist(), batch["shingles"]):
+            fresh = []
+            for i, x in enumerate(batch["node"].to_pylist()):
                 if x not in seen:  # copies that the task has met
                     seen.add(x)
-                    h = np.frombuffer(v.as_buffer(), dtype=np.uint64) if len(v.as_buffer()) else np.zeros(0, dtype=np.uint64)
-                    node.append(x)
-                    n.append(len(h))
-                    keys.append(prefix(h, shared.value, similarity) if len(h) else h)
+                    fresh.append(i)
             if len(seen) > 100_000:
                 seen.clear()
-            if node:
-                k = np.array([len(p) for p in keys])
-                pos = np.concatenate([np.arange(i) for i in k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(node, dtype=np.int64), k)), pa.array(np.repeat(n, k).astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
+            part = batch.take(pa.array(fresh, pa.int64()))
+            raw = part["prefix"].to_pylist()
+            k = np.array([len(p) // 8 for p in raw], dtype=np.int64)
+            pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            keys = np.frombuffer(b"".join(raw), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part["node"].to_numpy(), k)), pa.array(np.repeat(part["n"].to_numpy(), k)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
+
+    return sketches.select("node", "n", "prefix").mapInArrow(tidy(run), "key long, node long, n int, pos int")
+
 
-    return sets.select("node", "shingles").mapInArrow(tidy(run), "key long, node long, n int, pos int")
+def can_be_similar(n: Column, pos: Column, m: Column, at: Column, similarity: float) -> Column:
+    """At the first shingle that two sets share, no more than the rest of either is common."""
+    return F.least(n - pos, m - at) * (1 + similarity) >= similarity * (n + m) - F.lit(1e-6)
 
 
 def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
@@ -473,8 +397,27 @@ def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def checked_links(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The distinct proposed pairs (a, b) whose ``sets`` (node, shingles) have this Jaccard similarity or more."""
+def sets_of(used: DataFrame, nodes: DataFrame, rows: DataFrame, *, id_col: str, text: str, words: int) -> DataFrame:
+    """node and shingles (the set, sorted 64-bit numbers) of the nodes in ``used``, made from the text of one row each."""
+    ids = saved(used.join(nodes, "node").select("node", F.col("least").alias("id")))
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array([shingle_set(t.as_py(), words).tobytes() for t in part["t"]], pa.binary())], ["node", "shingles"])
+
+    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(ids, "id").select("node", "t")
+    return texts.mapInArrow(tidy(run), "node long, shingles binary")
+
+
+def checked_links(proposed: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Those of the distinct proposed pairs (a, b; a written table) whose sets have this Jaccard similarity or more.
+
+    ``sets`` gives node and shingles for a table of nodes. The pairs of a node with very many of them are dealt to several groups.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -487,45 +430,60 @@ def checked_links(proposed: DataFrame, sets: DataFrame, similarity: float) -> Da
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     used = proposed.select(F.col("a").alias("node")).union(proposed.select(F.col("b").alias("node"))).distinct()
-    known = saved(sets.join(used, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    both = proposed.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    known = saved(sets(used))
+    hubs = proposed.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("k")).where("k > 1")
+    dealt = proposed.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
+    of_a = known.withColumnRenamed("node", "a").join(hubs, "a", "left").select("a", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"), F.col("shingles").alias("x"))
+    both = dealt.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(of_a, ["a", "salt"])
     return both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
-def similar_links(sets: DataFrame, n: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all of the ``n`` distinct ``sets`` (node, shingles; copies may repeat) that are similar, and no others."""
+def similar_links(sketches: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, hot: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all nodes whose sets are similar, and no others.
+
+    ``sketches`` has node, n and prefix (copies may repeat), ``nodes`` the distinct node with fp.
+    """
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    near = saved(near_links(nodes, 3, hot).select(*ordered).distinct())
+    links = saved(checked_links(near, sets, similarity))
+    roots = saved(connected_components(links))
+
+    def with_roots(pairs: DataFrame) -> DataFrame:
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
     by_key = Window.partitionBy("key")
-    keyed = prefixes(sets, frequent_shingles(sets, n), similarity)
-    keyed = keyed.withColumn("first", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).where("first != last").drop("last")
-    keyed = saved(keyed)
-    stars = saved(keyed.where("first != node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = saved(checked_links(stars, sets, similarity))
+    first = F.min(F.struct("node", "n", "pos")).over(by_key)
+    keyed = saved(prefixes(sketches).withColumn("first", first).withColumn("last", F.max("node").over(by_key)).where("first.node != last").drop("last"))
+    stars = keyed.where("first.node != node").where(can_be_similar(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), similarity)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    tried = saved(with_roots(stars).join(near, ["a", "b"], "left_anti"))
+    links = saved(links.union(checked_links(tried, sets, similarity)))
     roots = saved(connected_components(links))
     marked = keyed.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")).where("r != s").select("key", "k")
     dealt = marked.join(groups, "key").withColumn("x", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     # a cell's number may collide with another's; that only adds pairs, which are checked
     cells = dealt.select(F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("key"), "node", "root", "n", "pos")
-    left = saved(apart_pairs(cells, similarity).join(stars, ["a", "b"], "left_anti"))
+    left = saved(apart_pairs(cells, similarity).join(near.union(tried), ["a", "b"], "left_anti"))
     return links.union(checked_links(left, sets, similarity))
 
 
-def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, tables: int = 1, similarity: float | None = None, hot: int = 20_000) -> DataFrame:
-    """``id_col``, fingerprint (hex, of the first table) and component_id, the smallest id that links reach.
+def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, similarity: float | None = None, hot: int = 20_000) -> DataFrame:
+    """``id_col``, fingerprint (hex) and component_id, the smallest id that links reach.
 
-    With ``similarity`` texts link whose sets of shingles are that similar or more, none is missed, and ``tables`` has no use; ids are then unique and not null.
+    With ``similarity`` texts link whose sets of shingles are that similar or more, and none is missed; ids are then unique, not null, and the same whenever ``rows`` is read.
     """
     if similarity is None:
-        marked = saved(fingerprints(rows, id_col=id_col, text=text, words=words).withColumn("node", F.col("fps")[0]))
-        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps")))
-        edges = near_links(nodes, 1, distance, hot)
+        marked = saved(fingerprints(rows, id_col=id_col, text=text, words=words)).withColumn("fp", F.col("node"))
+        nodes = saved(marked.groupBy("node", "fp").agg(F.min("id").alias("least")))
+        edges = near_links(nodes, distance, hot)
     else:
-        sketches = saved(set_sketches(rows, id_col=id_col, text=text, words=words))
-        marked = sketches.select("id", "node", F.array("fp").alias("fps"))
-        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least")))
-        edges = similar_links(sketches.select("node", "shingles"), nodes.count(), similarity, min(BLOCK, hot))
+        of = {"id_col": id_col, "text": text, "words": words}
+        marked = saved(set_sketches(rows, frequent_shingles(rows, **of), similarity, **of))
+        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp")))
+        edges = similar_links(marked, nodes, lambda used: sets_of(used, nodes, rows, **of), similarity, hot, min(BLOCK, hot))
     roots = saved(connected_components(edges))
     best = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = roots.join(best, "root").select("node", "component_id")
     final = saved(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
-    return marked.join(final, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.select("id", "node", "fp").join(final, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
