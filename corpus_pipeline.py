@@ -1,60 +1,5 @@
-"""A corpus pipeline of five stages over ``documents``; each stage's rows are written and read by the next.
+"""The corpus pipeline as the driver calls it; its stages are in ``framelake.llm.corpus``."""
 
-toxicity: documents scored 0.7 or more go. language: documents without a letter, or whose
-best language has a probability under ``LEAST_LANGUAGE``, go. near_dedup: of each
-group of near copies the document with the smallest id stays. secrets: spans found are replaced in
-the text. packing: the documents' tokens are packed into sequences (one row for each piece).
-"""
+from framelake.llm.corpus import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from framelake.llm import language_id, packing, secrets, simhash, toxicity
-from framelake.llm.common import saved
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LANGUAGE = 0.4
-#: Fingerprints of five-word shingles that propose pairs; documents link from a similarity of 0.8 on.
-TABLES = 10
-
-
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.toxic_scores(docs, model, keep=tuple(COLUMNS)).where("score < 0.7").select(*COLUMNS)
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = language_id.learn(docs)
-    kept = language_id.languages(docs, net, keep=tuple(COLUMNS))
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS) if net else docs.select(*COLUMNS)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
-    groups = simhash.near_duplicates(rows.select("row", "text"), id_col="row", words=5, tables=TABLES, similarity=0.8)
-    first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
-    return rows.join(first.select(F.col("m.row").alias("row")), "row", "left_semi").select(*COLUMNS)
-
-
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = secrets.secret_spans(docs, keep=("doc_id", "lang", "source", "n_chars"), clean=True)
-    changed = F.col("spans") != ""
-    return done.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("toxicity", toxicity_stage), ("language", language_stage), ("near_dedup", near_dedup_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
