@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
-#: str.translate table that lower-cases A-Z and leaves every other character alone.
-LOWER_TABLE = str.maketrans(ASCII_UPPER, ASCII_LOWER)
+#: bytes.translate table that lower-cases A-Z; in UTF-8 it leaves every other character alone.
+LOWER_BYTES = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder, as URI, that driver and executors can reach.
 
-    It lies in the cluster's ``spark.checkpoint.dir``; a machine-local
-    temporary folder serves only where that is unset, as in tests.
+    It lies in the cluster's ``spark.checkpoint.dir``; a temporary folder
+    serves only where that is unset and all tasks run on this machine, as in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/framelake-{uuid.uuid4().hex}"
@@ -47,6 +49,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return task
 
 
+def words_of(raw: bytes) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8, A-Z lower-cased: what bytes.split() takes for white space is just these."""
+    return raw.translate(LOWER_BYTES).split()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 

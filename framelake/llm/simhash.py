@@ -37,7 +37,6 @@ texts share fingerprint and component; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -47,10 +46,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, saved, tidy
+from .common import saved, tidy, words_of
 from .components import connected_components
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
 BITS = (21, 21, 22)
@@ -123,14 +121,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of every run of ``words`` words, repeats included."""
-    w = WORD.findall(text.translate(LOWER_TABLE) if not text.isascii() else text.lower())
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of ``words`` words of a text in UTF-8, repeats included."""
+    w = words_of(text)
     if not w:
         return np.zeros(0, dtype=np.uint64)
-    raw = " ".join(w).encode()
+    raw = b" ".join(w)
     n = max(1, len(w) - words + 1)
-    ends = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in w), dtype=np.int64, count=len(w)) + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     h = xxhash.xxh64_intdigest
     return np.fromiter((h(raw[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist())), dtype=np.uint64, count=n)
@@ -138,7 +136,7 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprints(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """id and node, the fingerprint (bigint) of every text."""
-    data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +146,13 @@ def fingerprints(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long")
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
 def set_sketches(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float, *, id_col: str, text: str, words: int) -> DataFrame:
     """id, node (hash of the set of distinct shingles), fp (fingerprint of the set), n (its size) and prefix (64-bit numbers) of every text."""
-    data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     shared = rows.sparkSession.sparkContext.broadcast(frequent)  # bounded by FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +308,7 @@ def near_links(nodes: DataFrame, distance: int = 3, hot: int = 20_000) -> DataFr
 def frequent_shingles(rows: DataFrame, *, id_col: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample of ``rows``, sorted, and in how many texts they are; at most ``FREQUENT`` rows reach the driver."""
     every = max(1, min(SAMPLE, rows.count() // FEW))
-    part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,7 +407,7 @@ def sets_of(used: DataFrame, nodes: DataFrame, rows: DataFrame, *, id_col: str,
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part["node"], pa.array([shingle_set(t.as_py(), words).tobytes() for t in part["t"]], pa.binary())], ["node", "shingles"])
 
-    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(ids, "id").select("node", "t")
+    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).join(ids, "id").select("node", "t")
     return texts.mapInArrow(tidy(run), "node long, shingles binary")
 
 

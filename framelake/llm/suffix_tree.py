@@ -12,8 +12,8 @@ suffix's (Witten-Bell). Every symbol is scored by the longest kept suffix of its
 A text is a bag of units: its words, each with the symbols from the third on, and its borders, each a
 word's first two symbols after the tail before them (or the text's end). A Spark aggregate counts the
 distinct units of all texts, which also serves the unigram base. The tree is grown and units are scored in parts:
-contexts of up to one symbol are a small table (at most 261 contexts), and all longer
-contexts with the same two last symbols lie in one part, as do the units' symbols there. A part holds distinct
+contexts of up to one symbol, not counting the word's start, are a small table (at most 780 contexts), and all longer
+contexts with the same last two or three symbols lie in one part, as do the units' symbols there. A part holds distinct
 units, so a frequent word or text makes none larger, and no part of the tree passes the driver.
 
 Texts are then scored by their units. Units that make up at least ``frequent`` of all units of their kind (so
@@ -27,7 +27,6 @@ with no training text every count is zero and symbols are uniform.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,9 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, saved, tidy
+from .common import saved, tidy, words_of
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DEPTH, TAIL = 6, 3
 BITS = 9
 LOW = (1 << BITS) - 1
@@ -49,33 +47,32 @@ LOW = (1 << BITS) - 1
 START, WORD_END, TEXT_END = 257, 258, 259
 #: All but START can come next.
 KINDS = 258
+SPACE = 0x20
 #: Distinct words that a task holds at once, and border codes that it merges at once.
 FLUSH, MERGE = 300_000, 2_000_000
 #: Texts of a step.
 STEP = 500
+#: Units are numbered from zero in each of their table's partitions, above these bits.
+ID_BITS = 33
 #: Symbols of units in a part, about, and the least number of parts.
 PART, PARTS = 400_000, 256
 
 
-def tokens(text: str) -> list[str]:
-    return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER_TABLE))
-
-
 class Words:
     """Numbers of the words met so far, with their last ``TAIL`` bytes and first two symbols as codes."""
 
     def __init__(self) -> None:
-        self.at: defaultdict[str, int] = defaultdict()
+        self.at: defaultdict[bytes, int] = defaultdict()
         self.at.default_factory = self.at.__len__
         self.tails = self.heads = np.zeros(0, dtype=np.int64)
 
-    def numbers(self, split: list[list[str]]) -> np.ndarray:
+    def numbers(self, split: list[list[bytes]]) -> np.ndarray:
         """The words' numbers, text after text."""
         known = len(self.at)
         n = sum(map(len, split))
         out = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=n)
         if len(self.at) > known:
-            raw = [w.encode("utf-8", "replace") for w in list(self.at)[known:]]
+            raw = list(self.at)[known:]
             size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
             first = np.frombuffer(b"".join([w[:2].ljust(2) for w in raw]), dtype=np.uint8).reshape(-1, 2).astype(np.int64) + 1
             last = np.frombuffer(b"".join([w[-TAIL:].rjust(TAIL) for w in raw]), dtype=np.uint8).reshape(-1, TAIL).astype(np.int64) + 1
@@ -97,9 +94,9 @@ class Words:
         return tail << 2 * BITS | head, np.repeat(np.arange(len(sizes)), sizes + 1)
 
 
-def border_unit(codes: np.ndarray) -> list[str]:
+def border_unit(codes: np.ndarray) -> list[bytes]:
     """Borders as units: a space, which no word has, and the code."""
-    return [f" {c}" for c in codes.tolist()]
+    return [b" %d" % c for c in codes.tolist()]
 
 
 def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
@@ -127,7 +124,7 @@ def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, STEP):
                 batch = whole.slice(start, STEP)
-                split = [tokens(t) for t in batch["t"].to_pylist()]
+                split = [words_of(t) for t in batch["t"].to_pylist()]
                 known = batch["train"].to_numpy(zero_copy_only=False).astype(float)
                 sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
                 ids = words.numbers(split)
@@ -147,13 +144,12 @@ def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
                     n = n_all = np.zeros(0)
         yield from flushed()
 
-    data = rows.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
+    data = rows.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     return data.mapInArrow(tidy(run), "unit string, n long, n_all long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
-def word_symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, context, symbol) of each word's symbols from the third on, with the longest context."""
-    raw = [w.encode("utf-8", "replace") for w in words]
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 2
     ends = np.cumsum(sizes)
     x = np.full(int(sizes.sum()), START, dtype=np.int64)
@@ -178,9 +174,9 @@ def border_symbols(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate([np.arange(len(code)), two]), np.concatenate([context, context[two] << BITS | s1[two]]), np.concatenate([s1, s2[two]])
 
 
-def unit_symbols(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unit_symbols(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, context, symbol) of all units."""
-    is_border = np.fromiter((u[0] == " " for u in units), dtype=bool, count=len(units))
+    is_border = np.fromiter((u[0] == SPACE for u in units), dtype=bool, count=len(units))
     a, b = np.flatnonzero(~is_border), np.flatnonzero(is_border)
     parts = []
     if len(a):
@@ -208,63 +204,116 @@ def extended(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, before: np.
     return np.where(kept[of], new, p)[back]
 
 
-def shallow(symbols: np.ndarray, contexts: np.ndarray, n: np.ndarray, least: int, min_gain: float) -> np.ndarray:
-    """Probabilities of all symbols by all contexts of one symbol, from the counts of (context, symbol)."""
-    table = np.zeros((260, 260))
-    np.add.at(table, (contexts, symbols), n)
-    possible = [s for s in range(1, 260) if s != START]
-    c = table.sum(0)[possible]
-    root = (c + np.count_nonzero(c) / KINDS) / max(c.sum() + np.count_nonzero(c), 1) if c.sum() else np.full(KINDS, 1 / KINDS)
-    out = np.ones((260, 260))
-    context, symbol = (v.ravel() for v in np.meshgrid(np.arange(260), possible, indexing="ij"))
-    out[:, possible] = extended(context, symbol, table[context, symbol], np.tile(root, 260), least, min_gain).reshape(260, KINDS)
-    return out
+def group_of(context: np.ndarray) -> np.ndarray:
+    """The number of the shallow context: the last symbol; with 260 added to it the symbol before START, and with 520 the symbol after START."""
+    last, before = context & LOW, context >> BITS & LOW
+    return np.where((last == START) & (before > 0), 260 + before, np.where(before == START, 520 + last, last))
+
+
+def shallow(group: np.ndarray, symbols: np.ndarray, n: np.ndarray, least: int, min_gain: float) -> np.ndarray:
+    """Probabilities (780, 260) of all symbols by all shallow contexts, from the counts by ``group_of``."""
+    counts = np.zeros((780, 260))
+    np.add.at(counts, (group, symbols), n)
+    every = np.arange(780)
+    last = np.where(every < 260, every, np.where(every < 520, START, every - 520))
+    possible = np.array([s for s in range(1, 260) if s != START])
+    single = np.zeros((260, 260))
+    np.add.at(single, last, counts)
+    c = single.sum(0)[possible]
+    root = (c + np.count_nonzero(c) / KINDS) / (c.sum() + np.count_nonzero(c)) if c.sum() else np.full(KINDS, 1 / KINDS)
+
+    def grown(contexts: np.ndarray, table: np.ndarray, before: np.ndarray) -> np.ndarray:
+        out = np.ones_like(table)
+        symbol = np.tile(possible, len(table))
+        out[:, possible] = extended(np.repeat(contexts, KINDS), symbol, table[:, possible].ravel(), before.ravel(), least, min_gain).reshape(len(table), KINDS)
+        return out
+
+    first = grown(np.arange(260), single, np.tile(root, 260))
+    pairs = every >= 260
+    two = np.where(every < 520, (every - 260) << BITS | START, START << BITS | (every - 520))[pairs]
+    return np.concatenate([first, grown(two, counts[pairs], first[last[pairs]][:, possible])])
 
 
 def probabilities(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, first: np.ndarray, least: int, min_gain: float) -> np.ndarray:
-    """Each symbol's probability by the longest kept suffix of its context, from ``first`` (those by contexts of one symbol) on.
+    """Each symbol's probability by the longest kept suffix of its context, from ``first`` (those by shallow contexts) on.
 
-    The rows must be all that share their contexts' last two symbols.
+    The rows must be all of their parts (``part_of``).
     """
-    p = first[context & LOW, symbol]
+    group = group_of(context)
+    p = first[group, symbol]
     for d in range(2, DEPTH + 1):
-        i = np.flatnonzero(context >> BITS * (d - 1))
-        if not len(i):
-            break
-        p[i] = extended(context[i] & ((1 << BITS * d) - 1), symbol[i], n[i], p[i], least, min_gain)
+        i = np.flatnonzero((context >> BITS * (d - 1) > 0) & ((d > 2) | (group < 260)))
+        if len(i):
+            p[i] = extended(context[i] & ((1 << BITS * d) - 1), symbol[i], n[i], p[i], least, min_gain)
     return p
 
 
+def part_of(context: np.ndarray, parts: int) -> np.ndarray:
+    """Contexts that share their last two symbols, three if START is one of these two, are in the same part."""
+    three = group_of(context) >= 260
+    key = context & np.where(three, (1 << 3 * BITS) - 1, (1 << 2 * BITS) - 1)
+    return (key * 0x9E3779B1 >> 7) % parts
+
+
 def unit_scores(units: DataFrame, least: int, min_gain: float) -> DataFrame:
     """``units`` (id, unit, n and more; a written table) with ``rest``: the log10 probability of the unit's symbols."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, context, symbol = unit_symbols(b["unit"].to_pylist())
-            code, back = np.unique((context & LOW) << BITS | symbol, return_inverse=True)
+            code, back = np.unique(group_of(context) << BITS | symbol, return_inverse=True)
             n = np.bincount(back, weights=b["n"].to_numpy()[row], minlength=len(code)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-    # at most 261 times 258 rows
-    small = units.select("unit", "n").mapInArrow(tidy(pairs), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    named = units.select("id", F.col("unit").cast("binary").alias("unit"), "n")
+    # at most 780 times 258 rows
+    small = named.select("unit", "n").mapInArrow(tidy(pairs), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code = small["code"].to_numpy()
-    first = units.sparkSession.sparkContext.broadcast(shallow(code & LOW, code >> BITS, small["n"].to_numpy(), least, min_gain))
+    first = units.sparkSession.sparkContext.broadcast(shallow(code >> BITS, code & LOW, small["n"].to_numpy(), least, min_gain))
     parts = max(PARTS, 6 * units.count() // PART)
 
+    def sliced(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+        """One row for each value of ``part``, with the columns' values as bytes."""
+        order = np.argsort(part, kind="stable")
+        key, start = np.unique(part[order], return_index=True)
+        ends = [*start[1:].tolist(), len(part)]
+        cols = [[c[a:b].tobytes() for a, b in zip(start.tolist(), ends)] for c in (c[order] for c in columns)]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c, pa.binary()) for c in cols)], ["part", *names])
+
+    def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(t[name].to_pylist()), dtype=kind)
+
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            ids, context, symbol, n = (np.concatenate(c) for c in zip(*held))
+            yield from sliced(part_of(context, parts), [ids, context, symbol.astype(np.int16), n], ["ids", "context", "symbol", "n"])
+
         for b in batches:
             row, context, symbol = unit_symbols(b["unit"].to_pylist())
-            part = ((context & ((1 << 2 * BITS) - 1)) * 0x9E3779B1 >> 7) % parts
-            yield pa.RecordBatch.from_arrays([pa.array(part), b["id"].take(pa.array(row)), pa.array(context), pa.array(symbol), b["n"].take(pa.array(row))], ["part", "id", "context", "symbol", "n"])
+            held.append((b["id"].to_numpy()[row], context, symbol, b["n"].to_numpy()[row]))
+            size += len(row)
+            if size > PART:
+                yield from flushed()
+                held, size = [], 0
+        if size:
+            yield from flushed()
 
     def scored(t: pa.Table) -> pa.Table:
-        ids, context, symbol, n = (t[c].to_numpy() for c in ("id", "context", "symbol", "n"))
-        logs = np.log10(probabilities(context, symbol, n, first.value, least, min_gain))
+        ids, context, n = (joined(t, c, np.int64) for c in ("ids", "context", "n"))
+        logs = np.log10(probabilities(context, joined(t, "symbol", np.int16).astype(np.int64), n, first.value, least, min_gain))
         some, back = np.unique(ids, return_inverse=True)
-        return pa.table({"id": some, "rest": np.bincount(back, weights=logs, minlength=len(some))})
+        return pa.Table.from_batches(sliced(some >> ID_BITS, [some, np.bincount(back, weights=logs, minlength=len(some))], ["ids", "logs"]))
+
+    def summed(t: pa.Table) -> pa.Table:
+        some, back = np.unique(joined(t, "ids", np.int64), return_inverse=True)
+        return pa.table({"id": some, "rest": np.bincount(back, weights=joined(t, "logs", np.float64), minlength=len(some))})
 
-    found = units.select("id", "unit", "n").mapInArrow(tidy(items), "part long, id long, context long, symbol long, n long").groupBy("part").applyInArrow(scored, "id long, rest double")
-    return units.join(found.groupBy("id").agg(F.sum("rest").alias("rest")), "id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    by_part = named.mapInArrow(tidy(items), "part long, ids binary, context binary, symbol binary, n binary").groupBy("part").applyInArrow(scored, "part long, ids binary, logs binary")
+    found = by_part.groupBy("part").applyInArrow(summed, "id long, rest double")  # here a part is a range of ids
+    return units.join(found, "id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
 
 
 @dataclass(frozen=True)
@@ -299,12 +348,12 @@ def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = model.value
-        unit, n, rest = often["unit"].to_pylist(), often["n"].to_numpy(), often["rest"].to_numpy()
-        is_border = np.fromiter((u[0] == " " for u in unit), dtype=bool, count=len(unit))
-        code = np.array([int(u) for u in unit if u[0] == " "], dtype=np.int64)
+        unit, n, rest = often["unit"].cast(pa.binary()).to_pylist(), often["n"].to_numpy(), often["rest"].to_numpy()
+        is_border = np.fromiter((u[0] == SPACE for u in unit), dtype=bool, count=len(unit))
+        code = np.array([int(u) for u in unit if u[0] == SPACE], dtype=np.int64)
         order = np.argsort(code)
         code, across = code[order], rest[is_border][order]
-        place = {u: i for i, u in enumerate(u for u in unit if u[0] != " ")}
+        place = {u: i for i, u in enumerate(u for u in unit if u[0] != SPACE)}
         n, rest = n[~is_border], rest[~is_border]
         base = np.log10((n + 0.1) / bottom)
         end = math.log10((texts + 0.1) / bottom)
@@ -314,7 +363,7 @@ def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id"
         for whole in batches:
             for start in range(0, whole.num_rows, STEP):
                 batch = whole.slice(start, STEP)
-                split = [tokens(t) for t in batch["t"].to_pylist()]
+                split = [words_of(t) for t in batch["t"].to_pylist()]
                 sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
                 if len(words.at) > FLUSH:
                     words, where = Words(), where[:0]
@@ -341,7 +390,7 @@ def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id"
                 cols = [rows_, pa.array(sizes + 1), pa.array(sums[2].astype(np.int64) + int(texts > 0)), pa.array(sums[0] + end, pa.float64()), pa.array(sums[1], pa.float64()), *listed, batch["own"]]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "n_tokens", "known", "base", "score", "rare", "times", "own"])
 
-    data = rows.select(F.struct(*keep).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    data = rows.select(F.struct(*keep).alias("own"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     kind = data.schema["own"].dataType.simpleString()
     done = saved(data.mapInArrow(tidy(run), f"row long, n_tokens long, known long, base double, score double, rare array<string>, times array<int>, own {kind}"))
     rare = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("unit"), F.col("x.times").alias("c"))

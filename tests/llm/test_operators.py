@@ -5,6 +5,7 @@ import binascii
 import hashlib
 import io
 import random
+import re
 import tarfile
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from framelake.llm import bpe, components, corpus, language_id, media, packing, queries, secrets, simhash, suffix_tree, top_k, toxicity, url_filters
-from framelake.llm.common import literal_rows
+from framelake.llm.common import literal_rows, words_of
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rule string, score double"
@@ -27,6 +28,11 @@ def docs_of(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", 1, "clash", 0.5) for i, t in texts], DOCS)
 
 
+def plain_words(text):
+    """The contract's words, by a pattern."""
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
 ODD = [(1, None), (2, ""), (3, "one"), (4, "one"), (4, "one"), (5, "The long tail of words. " * 3000), (6, "naïve café 12,5 € \x00 日本語"), (7, "  \n\t "), (None, "no id here")]
 
 
@@ -169,12 +175,17 @@ def brute_components(fps, distance=3):
 
 
 def brute_fingerprint(text, words=3):
-    w = simhash.WORD.findall((text or "").translate(simhash.LOWER_TABLE))
+    w = plain_words(text)
     s = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def test_words_equal_the_pattern():
+    for text in [t for _, t in ODD] + ["".join(map(chr, range(0x300))), "a\x1cb\x1fc\x85d\xa0e\u2003f\u3000g \x0b\x0ch", "ÀÉÎ ΑΒΓ АБВ İIı AZ[`{"]:
+        assert [w.decode() for w in words_of((text or "").encode())] == plain_words(text)
+
+
 def test_golay_keys_miss_no_link():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**63, 400, dtype=np.uint64)
@@ -207,7 +218,7 @@ def test_links_across_the_sign_bit():
 
 
 def jaccard(a, b, words=5):
-    x, y = ({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in (simhash.WORD.findall((t or "").lower()) for t in (a, b)))
+    x, y = ({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in (plain_words(t) for t in (a, b)))
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
@@ -252,7 +263,7 @@ def plain_suffix_tree(texts, used, least, min_gain):
     def symbols(words):
         out, tail = [], ()
         for w in [*words, None]:
-            raw = [] if w is None else [*w.encode(), word_end]
+            raw = [] if w is None else [*w, word_end]
             row = [text_end] if w is None else raw
             for j, s in enumerate(row):
                 context = (*tail, start, *row[:j]) if j < 2 else (start, *row[:j])[-depth:]
@@ -292,7 +303,7 @@ def test_lm_scores(spark, docs):
     for least, frequent in ((5, 1e-3), (2, 1.0)):
         corpus = suffix_tree.learn(df, train, least=least, min_gain=2.0, frequent=frequent)
         got = suffix_tree.scores(df, corpus).collect()
-        words = [suffix_tree.tokens(t or "") for _, t in texts]
+        words = [[w.encode() for w in plain_words(t)] for _, t in texts]
         used = [i is not None and i % 3 != 0 for i, _ in texts]
         n = Counter(x for w, u in zip(words, used) if u for x in w)
         total, distinct = sum(n.values()) + sum(used), len(n) + 1
