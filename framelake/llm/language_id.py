@@ -2,9 +2,9 @@
 
 The network reads the UTF-8 bytes of a word from both ends and labels every position with a
 distribution over languages; a document's probabilities are the mean over all its
-labelled positions. Words are runs of characters that are neither white space nor
+labelled positions. White space, ASCII digits and punctuation are not positions: words are runs of characters that are neither white space nor
 ASCII digits or punctuation, and are cut after ``LONGEST`` bytes (the rest is
-labelled as further pieces). As a label depends on its word alone, each task runs the
+labelled as further pieces). The network starts anew at each word, so a label depends on its word alone, and each task runs the
 network once for a word that it meets again and again.
 
 Training is numpy: cross-entropy at every position, gradients by backpropagation
@@ -12,7 +12,9 @@ through time, Adam. It uses at most ``max_train`` documents of each language,
 those whose hash of the id is smallest.
 
 Cases: null texts and texts without a letter give ``und`` with score 0; so does every
-text if there is nothing to learn from; ties go to the language first in order.
+text if there is nothing to learn from; ties go to the language first in order; texts of any length are
+read whole; repeated rows get equal results, and each learns from its own text and lang, whatever ids repeat; rows with a null id
+are labelled and learned from like others; an empty table gives no rows; extra columns are left out unless in ``keep``.
 """
 
 from __future__ import annotations
@@ -31,11 +33,17 @@ from .common import tidy
 
 LONGEST = 32
 CACHED = 300_000
-SPACE = str.maketrans({c: " " for c in string.punctuation + string.digits})
+#: In UTF-8, ASCII punctuation and digits become spaces and all else stays.
+SPACE = bytes.maketrans((string.punctuation + string.digits).encode(), b" " * len(string.punctuation + string.digits))
 
 
 def pieces(text: str) -> list[str]:
-    return text.lower().translate(SPACE).split()
+    return text.lower().encode("utf-8", "replace").translate(SPACE).decode().split()
+
+
+def cut(word: bytes) -> list[bytes]:
+    """A word in the pieces that the network reads."""
+    return [word[a : a + LONGEST] for a in range(0, len(word), LONGEST)]
 
 
 @dataclass
@@ -139,8 +147,7 @@ class Labeller:
         raw = [w.encode("utf-8", "replace") for w in words]
         parts: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         for i, w in enumerate(raw):
-            for a in range(0, len(w), LONGEST):
-                p = w[a : a + LONGEST]
+            for p in cut(w):
                 parts[len(p)].append((i, p))
         new = np.zeros((len(words), self.sums.shape[1]), dtype=np.float32)
         for n, items in parts.items():
@@ -186,20 +193,15 @@ def has_letter(word: str) -> bool:
 def learn(docs: DataFrame, *, usable: Column | None = None, max_train: int = 150, max_words: int = 40_000, hidden: int = 16, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network | None:
     """Fit a network to text and lang of usable rows; None if there are none.
 
-    At most ``max_train`` documents of a language and, from each, distinct words up to
-    ``max_words`` in all of a language take part.
+    At most ``max_train`` documents of each language (all languages that occur take part) and, from each, distinct words up to
+    ``max_words`` in all of a language. Documents are those whose hash of id and language is smallest, then of the text.
     """
-    usable = F.lit(True) if usable is None else usable
-    ids = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    langs = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    if not langs:
-        return None
-    some = None
-    for lang in sorted(langs):
-        part = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-        some = part if some is None else some.union(part)
-    # bounded: max_train rows for each of at most 64 languages
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = docs.where((F.lit(True) if usable is None else usable) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "lang").alias("h"))
+    first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    # one row a language; each task passes on max_train rows of a language at most
+    last = rows.select("lang", "h").withColumn("n", first("h")).where(F.col("n") <= max_train).groupBy("lang").agg(F.max("h").alias("last"))
+    near = rows.join(F.broadcast(last), "lang").where("h <= last")
+    sample = near.withColumn("n", first("h", F.xxhash64("text"), "text")).where(F.col("n") <= max_train)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,15 +211,17 @@ def learn(docs: DataFrame, *, usable: Column | None = None, max_train: int = 150
 
     pairs = sample.select("text", "lang").mapInArrow(words, "lang string, word string").groupBy("lang", "word").count()
     pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("word"), "word"))).where(F.col("n") <= max_words)
-    rows = pairs.orderBy("lang", "n").toArrow()
+    rows = pairs.orderBy("lang", "n").toArrow()  # at most max_words for each language
     names = sorted(set(rows["lang"].to_pylist()))
     if not names:
         return None
     net = Network.fresh(names, hidden, seed)
-    spelled = [w.encode("utf-8", "replace")[:LONGEST] for w in rows["word"].to_pylist()]
-    of = np.array([names.index(v) for v in rows["lang"].to_pylist()])
+    parts = [cut(w.encode("utf-8", "replace")) for w in rows["word"].to_pylist()]
+    spelled, number = [p for w in parts for p in w], {v: i for i, v in enumerate(names)}
+    repeats = list(map(len, parts))
+    of = np.repeat([number[v] for v in rows["lang"].to_pylist()], repeats)
     # languages count alike, and frequent words more than rare ones
-    weight = np.sqrt(rows["count"].to_numpy().astype(float))
+    weight = np.sqrt(np.repeat(rows["count"].to_numpy(), repeats).astype(float))
     for i in range(len(names)):
         weight[of == i] /= weight[of == i].sum()
     r = np.random.default_rng(seed)

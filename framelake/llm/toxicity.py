@@ -13,7 +13,9 @@ labelled rows (those whose hash of the id is smallest); term counts are a Spark
 aggregate, what reaches the driver is bounded by ``max_terms`` and ``max_train`` small rows.
 
 Cases: null and empty texts have no hits and the score of such texts; without both
-labels in the training rows ``DEFAULT_TERMS`` serve; repeated rows get equal scores.
+labels in the training rows ``DEFAULT_TERMS`` serve; repeated rows get equal scores, and of
+documents that share an id one text is learned from; null ids are scored and not learned from; texts of any length are read
+whole; an empty table gives no rows; extra columns are left out unless in ``keep``.
 """
 
 from __future__ import annotations
@@ -36,9 +38,11 @@ from .common import tidy
 
 #: Homoglyphs (Cyrillic, Greek, Armenian, Latin) and digit substitutions, each with the plain letter it is read as.
 FOLD = dict(zip("0134578" "аеорсухіјѕԁһ" "вкмнтԛԝӏүԍ" "αοεικνρτυ" "βηχγω" "օսհոցզ" "ıɑɡ" "l", "oieastb" "aeopcyxijsdh" "bkmhtqwiyg" "aoeiknptu" "bnxyw" "ouhngq" "iag" "i"))
-FOLD_TABLE = str.maketrans(FOLD)
 #: Capitals (Cyrillic, Greek, Cherokee) by their own shape, and letters that NFKC would turn into others.
-CAPITALS = str.maketrans("АВЕКМНОРСТУХІЈЅԀԚԜӀҮԌ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ" "ϲϹϳ", "abekmhopctyxijsdqwiyg" "abezhikmnoptyx" "abcdeghjklmprstvwz" "ccj")
+CAPITALS = dict(zip("АВЕКМНОРСТУХІЈЅԀԚԜӀҮԌ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ" "ϲϹϳ", "abekmhopctyxijsdqwiyg" "abezhikmnoptyx" "abcdeghjklmprstvwz" "ccj"))
+#: Tables for bytes are fast on every text; other characters are replaced one by one where there are any.
+FOLD_BYTES = bytes.maketrans(*("".join(c).encode() for c in zip(*((k, v) for k, v in FOLD.items() if k.isascii()))))
+FOLD_OTHERS, ANY_CAPITAL = re.compile("[" + "".join(k for k in FOLD if not k.isascii()) + "]"), re.compile("[" + "".join(CAPITALS) + "]")
 SYMBOLS = re.compile(r"(?<=\w)[@$](?=\w)")
 WORDS = re.compile(r"[^\W_]+")
 STEM = 5
@@ -51,11 +55,14 @@ DEFAULT_EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish")
 
 def folded(text: str) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(CAPITALS)).translate(CAPITALS)
+        shaped = lambda t: ANY_CAPITAL.sub(lambda m: CAPITALS[m[0]], t)
+        text = shaped(unicodedata.normalize("NFKC", shaped(text)))
     text = text.lower()
     if "@" in text or "$" in text:
         text = SYMBOLS.sub(lambda m: "a" if m[0] == "@" else "s", text)
-    return text.translate(FOLD_TABLE)
+    if not text.isascii():
+        text = FOLD_OTHERS.sub(lambda m: FOLD[m[0]], text)
+    return text.encode("utf-8", "replace").translate(FOLD_BYTES).decode()
 
 
 @dataclass(frozen=True)
@@ -105,8 +112,14 @@ def hits(text: str, found: ahocorasick.Automaton) -> list[tuple[int, int, float]
                     spared.append((start, end))
                 else:
                     words[start] = (end, weight)
-    out = {**stems, **words}
-    return [(s, e, w) for s, (e, w) in sorted(out.items()) if not any(a <= s and e <= b for a, b in spared)]
+    out, spared, farthest, at = [], sorted(spared), 0, 0
+    for s, (e, w) in sorted({**stems, **words}.items()):
+        while at < len(spared) and spared[at][0] <= s:  # the farthest end of the exceptions that begin by here
+            farthest = max(farthest, spared[at][1])
+            at += 1
+        if e > farthest:
+            out.append((s, e, w))
+    return out
 
 
 def features(text: str, found: ahocorasick.Automaton) -> tuple[float, float]:
@@ -135,8 +148,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, max_train:
     """text and toxic of at most ``max_train`` labelled rows."""
     ids = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    # at most max_train rows of two numbers: a bounded broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "y")
+    # at most max_train rows of two numbers: a bounded broadcast; of documents of one id the text whose hash is smallest
+    known = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    return known.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, max_train: int = 6000, max_terms: int = 4000, least: int = 5, exceptions: tuple[str, ...] = DEFAULT_EXCEPTIONS) -> Model:
@@ -163,14 +177,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, m
         return Model({folded(w): v for w, v in DEFAULT_TERMS.items()}, {}, exceptions)
     weight = F.log((F.col("n1") + 0.5) / (total.n1 + 1)) - F.log((F.col("n0") + 0.5) / (total.n0 + 1))
     single = counts.where("term != '' and instr(term, ' ') = 0")
-    words = single.withColumn("w", weight).where((F.col("n1") >= least) & (F.col("w") > 3.0)).orderBy(F.desc("n1"), "term").limit(max_terms).collect()
+    toxic = single.withColumn("w", weight).where((F.col("n1") >= least) & (F.col("w") > 3.0)).orderBy(F.desc("n1"), "term").limit(max_terms)
+    words = toxic.collect()
     stems = (
         single.where(F.length("term") > STEM).groupBy(F.substring("term", 1, STEM).alias("stem"))
         .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count_if(F.col("n1") > 1).alias("k"))
         .where((F.col("k") >= STEM_WORDS) & (F.col("n1") >= 4 * least)).withColumn("w", weight).where("w > 4.0").orderBy(F.desc("n1"), "stem").limit(max_terms).collect()
     )
     terms = {r.term: float(r.w) for r in words}
-    pairs = counts.where(F.split("term", " ")[0].isin(list(terms)[:500]) & (F.instr("term", " ") > 0) & (F.col("n0") >= least)).orderBy(F.desc("n0"), "term").limit(max_terms).collect() if terms else []
+    # a bounded broadcast: at most max_terms terms, each with the harmless words behind it
+    behind = counts.where((F.instr("term", " ") > 0) & (F.col("n0") >= least)).withColumn("first", F.split("term", " ")[0])
+    pairs = behind.join(F.broadcast(toxic.select(F.col("term").alias("first"))), "first", "left_semi").orderBy(F.desc("n0"), "term").limit(max_terms).collect()
     counts.unpersist()
     model = Model(terms, {r.stem: float(r.w) for r in stems}, (*exceptions, *(r.term for r in pairs)))
     rows = train.mapInArrow(featured(model, ["y"]), "a double, b double, y int").toArrow()

@@ -60,6 +60,23 @@ def test_url_filters_cases(spark):
     assert {r.verdict for r in url_filters.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filters_nested_paths(spark):
+    """Many nested rules under one host and its subdomains, against every rule compared with every url."""
+    r = random.Random(8)
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "aa.com", "net", "a.net", "", "x.com.net"]
+    part = lambda n: "".join(r.choice("/ab") for _ in range(r.randrange(n)))
+    rules = sorted({(r.choice(hosts), part(7)): r.choice(["allow", "block"]) for _ in range(150)}.items())
+    urls = [f"s://{r.choice(['', 'w.', 'W.b.'])}{r.choice(hosts)}/{part(9)}" for _ in range(400)] + ["s://" + "l." * 100 + "com/ab/" + "ab/" * 5000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules] + [(None, "/", "block"), ("com", None, "block"), ("com", "/", None), ("COM", "/b", "allow"), ("com", "/b", "block")], "host string, path string, verdict string")
+    every = {**dict(rules), ("com", "/b"): "block"}
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filters.filter_urls(pages, table, buckets=3).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u[4:].lower().partition("/")
+        fit = [(len(h + p), len(h), v, h + p) for (h, p), v in every.items() if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[i] == ((max(fit)[3], max(fit)[2]) if fit else (None, "allow")), u
+
+
 def test_top_k_brute_force(spark):
     r = random.Random(3)
     data = [(i, [r.choice([-1.0, 0.5, 0.25, 0.1]) for _ in range(4)]) for i in range(120)] + [(200, None), (201, [float("nan")] * 4), (202, [None, 1.0, 1.0, 1.0]), (203, []), (50, [1.0, 1.0, 1.0, 1.0])]
