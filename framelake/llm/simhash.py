@@ -25,7 +25,9 @@ joined on the shingles of their prefixes. Two steps keep large groups of near co
 giving all pairs: first each text is checked against the first text of each of its shingles'
 groups; then, in groups whose texts these checked links leave apart, all pairs that are
 still apart and whose sizes and places in the order allow the similarity are
-checked, large groups in blocks. Pairs are only left out if a checked link connects their texts already
+checked, large groups in blocks. Of shingles that the very same texts have in their prefixes only the first counts. Before a pair is
+checked on the sets it must pass a bound: the bits in which parity maps of the sets differ (``MAP`` bits, one for
+the shingles of each hash class, set if they are odd in number) are no more than the sets' differing shingles. Pairs are only left out if a checked link connects their texts already
 or if they cannot be similar. Texts of equal sets are one node from the start. Only prefixes are
 written; the sets of texts that take part in a proposed pair are made again from the texts.
 
@@ -58,6 +60,8 @@ WIDE = 64
 SAMPLE, FEW, FREQUENT = 16, 3000, 200_000
 #: Texts of a block, in groups that are checked pair by pair.
 BLOCK = 1000
+#: Bits of a set's parity map.
+MAP = 1024
 #: Pairs of one node that meet its set in one group.
 PAIRS = 1000
 #: Up to so many ids of texts whose sets are needed are broadcast (two numbers each); more are joined by a shuffle.
@@ -150,8 +154,13 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def parity_map(shingles: np.ndarray) -> bytes:
+    """One bit for each class of hashes (their upper bits): whether the set has an odd number of them."""
+    return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=MAP) & 1).tobytes()
+
+
 def set_sketches(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float, *, id_col: str, text: str, words: int) -> DataFrame:
-    """id, node (hash of the set of distinct shingles), fp (fingerprint of the set), n (its size) and prefix (64-bit numbers) of every text."""
+    """id, node (hash of the set of distinct shingles), fp (fingerprint of the set), n (its size), map (its parity map) and prefix (64-bit numbers) of every text."""
     data = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     shared = rows.sparkSession.sparkContext.broadcast(frequent)  # bounded by FREQUENT
 
@@ -162,12 +171,12 @@ def set_sketches(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], simil
                 out: list[tuple] = []
                 for t in part["t"]:
                     h = shingle_set(t.as_py(), words)
-                    out.append((xxhash.xxh3_64_intdigest(h.tobytes()), fingerprint(h), len(h), prefix(h, shared.value, similarity).tobytes() if len(h) else b""))
-                node, fp, n, start = zip(*out)
+                    out.append((xxhash.xxh3_64_intdigest(h.tobytes()), fingerprint(h), len(h), parity_map(h), prefix(h, shared.value, similarity).tobytes() if len(h) else b""))
+                node, fp, n, bits, start = zip(*out)
                 signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["id"], signed(node), signed(fp), pa.array(n, pa.int32()), pa.array(start, pa.binary())], ["id", "node", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part["id"], signed(node), signed(fp), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(start, pa.binary())], ["id", "node", "fp", "n", "map", "prefix"])
 
-    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long, fp long, n int, prefix binary")
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, node long, fp long, n int, map binary, prefix binary")
 
 
 class Forest:
@@ -363,27 +372,28 @@ def can_be_similar(n: Column, pos: Column, m: Column, at: Column, similarity: fl
 
 
 def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) in rows (key, node, root, n, pos) of equal key that have different roots and may be similar."""
+    """Pairs (a, b) in rows (key, node, root, n, pos, map) of equal key that have different roots and may be similar."""
 
-    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left, found = n - pos, []
+    def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, found, size = n - pos, [], 0
         for i in range(len(node) - 1):
             m = n[i + 1 :]
             # at the first shingle that two sets share, no more than the rest of either is common
             ok = (root[i + 1 :] != root[i]) & (np.minimum(left[i], left[i + 1 :]) * (1 + similarity) >= similarity * (n[i] + m) - 1e-6)
             j = i + 1 + np.flatnonzero(ok)
+            j = j[np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6]
             if len(j):
                 found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
-            if len(found) >= 1000 or (found and i == len(node) - 2):
+                size += len(j)
+            if size > 50_000 or (found and i == len(node) - 2):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+                found, size = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
             cols = [batch[c].to_numpy() for c in ("key", "node", "root", "n", "pos")]
+            cols.append(np.frombuffer(b"".join(batch["map"].to_pylist()), dtype=np.uint64).reshape(-1, MAP // 64))
             held = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
             cut = np.concatenate([[0], np.flatnonzero(held[0][1:] != held[0][:-1]) + 1])
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -439,7 +449,7 @@ def checked_links(proposed: DataFrame, sets: Callable[[DataFrame], DataFrame], s
 def similar_links(sketches: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, hot: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all nodes whose sets are similar, and no others.
 
-    ``sketches`` has node, n and prefix (copies may repeat), ``nodes`` the distinct node with fp.
+    ``sketches`` has node, n and prefix (copies may repeat), ``nodes`` the distinct node with fp and map.
     """
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     near = saved(near_links(nodes, 3, hot).select(*ordered).distinct())
@@ -458,10 +468,12 @@ def similar_links(sketches: DataFrame, nodes: DataFrame, sets: Callable[[DataFra
     links = saved(links.union(checked_links(tried, sets, similarity)))
     roots = saved(connected_components(links))
     marked = keyed.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")).where("r != s").select("key", "k")
-    dealt = marked.join(groups, "key").withColumn("x", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    groups = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.hash("node")).alias("y"), F.min(F.struct("node", "pos")).alias("first")).where("r != s")
+    # keys of the very same nodes: the one that comes first in the order
+    groups = groups.groupBy("n", "x", "y").agg(F.min_by("key", F.struct("first.pos", "key")).alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    dealt = marked.join(groups, "key").join(nodes.select("node", "map"), "node").withColumn("x", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     # a cell's number may collide with another's; that only adds pairs, which are checked
-    cells = dealt.select(F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("key"), "node", "root", "n", "pos")
+    cells = dealt.select(F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("key"), "node", "root", "n", "pos", "map")
     left = saved(apart_pairs(cells, similarity).join(near.union(tried), ["a", "b"], "left_anti"))
     return links.union(checked_links(left, sets, similarity))
 
@@ -478,7 +490,7 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     else:
         of = {"id_col": id_col, "text": text, "words": words}
         marked = saved(set_sketches(rows, frequent_shingles(rows, **of), similarity, **of))
-        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp")))
+        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("map").alias("map")))
         edges = similar_links(marked, nodes, lambda used: sets_of(used, nodes, rows, **of), similarity, hot, min(BLOCK, hot))
     roots = saved(connected_components(edges))
     best = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
