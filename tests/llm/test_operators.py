@@ -354,6 +354,8 @@ def test_secret_spans(spark):
         assert r.base_sha256 == hashlib.sha256(secrets.joined(sorted(spans)).encode()).hexdigest()
     assert "novel" in got[6].spans and "novel" not in got[7].spans
     assert got[3].clean_text is None and "[SECRET]" in got[1].clean_text and got[2].clean_text == "password: short"
+    assert (got[1].n_measured, got[1].n_novel) == (2, 2) and got[1].spans == "assign:2:27,hex:11:27,novel:11:27,access:29:49,novel:29:49"
+    assert secrets.secret_spans(docs_of(spark, [])).count() == 0
 
 
 def test_bpe_equals_library(spark, docs):
@@ -505,6 +507,28 @@ def test_secrets_of_small_alphabets_and_mixed_runs():
         assert secrets.scan(text, measure)[1] == [(10, 3, 10 + n)]
     hex_part = "".join(r.choice("0123456789abcdef") for _ in range(20))
     text = f"auth key Zx9Qw3Lk8Vb{hex_part}Yd4GhTq7 end"
-    base, spans = secrets.scan(text, measure)
+    base, spans, _ = secrets.scan(text, measure)
     assert [k for _, k, _ in base] == [2] and secrets.redacted(text, spans) == "auth key [SECRET] end"
     assert not any(k == 3 for _, k, _ in secrets.scan("auth header abcdefghijklmnop1 client_secret_id_0123456789", measure)[1])
+
+
+def test_secrets_outside_the_fixed_patterns():
+    """Planted strings on either side of a sensitive word, whole beyond any window, and clean ones, by a plain search over all runs."""
+    r, measure = random.Random(11), secrets.Novelty()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    drawn = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    both, found = letters + "0123456789", 0
+    for i in range(60):
+        s = [drawn(24, both), drawn(40, letters), drawn(24, "0123456789"), drawn(2000, both), "internationalisation_of_configuration", "012345678901234567890123", "the-quick-brown-fox-2"][i % 7]
+        text = ["auth: {} end", "{} is the private one", "x" * 50 + " bearer " + "y" * 30 + " {}", "nothing of the kind {}", "key " + "z" * 60 + " {} and " + "w " * 40 + "auth"][i % 5].format(s)
+        low = text.lower().encode()
+        near = [(max(0, m.start() - secrets.REACH), m.end() + secrets.REACH) for m in secrets.CONTEXT.finditer(text)] + [(a, b) for a, _, b in secrets.base_spans(text, low)]
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if secrets.could_be_key(m[0]) and any(m.start() < b and m.end() > a for a, b in near)]
+        got = secrets.candidates(text, low, secrets.base_spans(text, low))
+        assert set(want) <= set(got) and len(got) - len(want) <= 1, (text, want, got)
+        spans = secrets.novel_spans(text, got, measure)
+        found += any(text[a:b] == s for a, _, b in spans)
+        assert not any(text[a:b] in ("internationalisation_of_configuration", "012345678901234567890123") for a, _, b in spans)
+    assert found >= 15
+    text = "key " * 20_000 + drawn(30, both)  # many contexts in a long text
+    assert [(a, b) for a, _, b in secrets.scan(text, measure)[1]] == [(80_000, 80_030)]
