@@ -1,24 +1,27 @@
 """Best-fit packing of documents into sequences by patterns of lengths.
 
 What is packed is a histogram of lengths (at most ``capacity`` numbers, all that the driver
-sees). Patterns of a few lengths that fill a sequence are enumerated,
-non-negative least squares fits how often to repeat each, and the fit is rounded down; what
-remains is packed by best fit, a pattern at a time with all its
-repeats. A pattern uses up a length, so patterns are few however many documents
+sees). Patterns of lengths that fill a sequence, but for ``SLACK`` tokens at most, are enumerated: few unlike lengths,
+and runs of like ones. Non-negative least squares (coordinate descent) fits how often to repeat each, and the fit is
+rounded; what the counts allow is used, and the rest is fitted again as long as that places a share of the sequences. What
+remains is packed by best fit, long pieces first, into the room left in used patterns and into
+new sequences, all repeats of a pattern at a time. So patterns are few however many documents
 there are. Pieces are numbered within their length in parallel (counts by length
 and bucket, then a sum over buckets), and the number tells a piece's sequence and place.
 
 Cases: a null text counts as empty and is its end token alone; documents longer
-than a sequence are cut into full pieces and a rest; repeated rows are packed each;
-an empty table gives no sequences.
+than a sequence are cut into full pieces and a rest, whole texts of any length being read; repeated rows are packed each;
+an empty table gives no sequences; extra columns are left out unless in ``keep``.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from .common import saved, tidy
 
 CAPACITY = 4096
 CACHED = 500_000
-#: Splitting here changes no ids: the tokenizer drops white space, and its parts never span it.
-CHUNKS = re.compile(r"[^ \t\n\r]+")
+#: Room that a fitted pattern may leave, and the least share of the sequences that a fit must place to be followed by another.
+SLACK, WORTH = 64, 0.01
 #: Letters whose lower case is one letter of this range, too; a chunk with any other (such as U+0130, U+018F) is left to the library whole.
 LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and 0xC0 <= ord(c.lower()) < 0x250)
 #: Chunks of these characters alone split into the same parts before as after normalising.
@@ -48,6 +51,7 @@ SPECIAL = "<|"
 class ChunkEncoder:
     """Ids of whole texts from the ids of their white-space-free chunks, which repeat.
 
+    Splitting at ASCII white space changes no ids: the tokenizer drops it, and its parts never span it.
     Plain chunks are split further into the tokenizer's parts, which repeat more; the parts
     go to the BPE model in long lists, and a token with the end-of-word suffix closes each.
     """
@@ -83,30 +87,33 @@ class ChunkEncoder:
             raw, ends = ids.tobytes(), ends.tolist()
             self.parts.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
-    def learn(self, texts_chunks: list[list[str]]) -> None:
+    def learn(self, texts_chunks: list[list[bytes]]) -> None:
         new = set().union(*texts_chunks).difference(self.known)
         if len(self.known) + len(new) > CACHED:
             self.known = {}
             new = set().union(*texts_chunks)
-        plain = [s for s in new if PLAIN.fullmatch(s) and SPECIAL not in s]
+        raw = list(new)
+        spelled = b"\n".join(raw).decode("utf-8", "replace").split("\n") if raw else []
+        is_plain = [PLAIN.fullmatch(s) is not None and SPECIAL not in s for s in spelled]
+        plain = list(compress(spelled, is_plain))
         if plain:
             parts = PARTS.findall("\n".join(plain).lower())
             self.learn_parts(set(parts))
-            raw = b"".join(map(self.parts.__getitem__, parts))
-            breaks = 4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == BREAK)
-            self.known.update(zip(plain, map(raw.__getitem__, map(slice, [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(raw)]))))
-        rest = list(new.difference(plain))
-        for s, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[s] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit numbers."""
+            ids = b"".join(map(self.parts.__getitem__, parts))
+            breaks = 4 * np.flatnonzero(np.frombuffer(ids, dtype="<u4") == BREAK)
+            self.known.update(zip(compress(raw, is_plain), map(ids.__getitem__, map(slice, [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(ids)]))))
+        rest = [(r, s) for r, s, p in zip(raw, spelled, is_plain) if not p]
+        for (r, _), e in zip(rest, self.tokenizer.encode_batch_fast([s for _, s in rest], add_special_tokens=False)):
+            self.known[r] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids, as little-endian 32-bit numbers, of each text (in UTF-8)."""
         at = 0
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and size < 4 << 20:
                 text = texts[at]
-                split.append(CHUNKS.findall(text.lower() if text.isascii() and SPECIAL not in text else text))  # it lower-cases, too
+                split.append((text if SPECIAL.encode() in text else text.lower()).split())  # it lower-cases, too
                 size += len(text)
                 at += 1
             self.learn(split)
@@ -125,7 +132,7 @@ def encoder(path: str) -> ChunkEncoder:
 
 def token_pieces(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", end: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """The columns ``keep`` in ``own``, piece, start, length and ids_crc32."""
-    data = rows.select(F.struct(*keep).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    data = rows.select(F.struct(*keep).alias("own"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,85 +153,110 @@ def token_pieces(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id
     return data.mapInArrow(tidy(run), f"own {data.schema['own'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(lengths: np.ndarray, capacity: int, few: int = 4) -> list[tuple[int, ...]]:
-    """Patterns of up to ``few`` lengths: full sequences where there are any, else the best fit."""
+def patterns(lengths: np.ndarray, capacity: int, few: int = 4, alike: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16)) -> list[tuple[int, ...]]:
+    """Patterns of lengths with at most SLACK tokens of room: up to ``few`` unlike lengths, one length with like ones, or one with ``alike`` equal parts of the rest."""
     have = [int(x) for x in lengths]
     found: set[tuple[int, ...]] = set()
     spread = [have[int(i)] for i in np.unique(np.linspace(0, len(have) - 1, 24).astype(int))]
-    for a in have:
-        for seconds in ((), *((s,) for s in spread), *((s, t) for s in spread[::4] for t in spread[::6])):
-            chosen, room = [a, *seconds], capacity - a - sum(seconds)
-            if room < 0 or len(chosen) > few:
-                continue
-            while room and len(chosen) < few and (i := bisect_right(have, room)):
-                # the last place takes the best fit; earlier ones an equal part of the room
-                part = room if len(chosen) == few - 1 else have[i - 1]
-                chosen.append(have[bisect_right(have, part) - 1])
-                room -= chosen[-1]
+
+    def add(chosen: list[int], parts: int) -> None:
+        """Fill the room with ``parts`` lengths, each the next to an equal part of what is left; the last is the best fit."""
+        room = capacity - sum(chosen)
+        for k in range(parts, 0, -1):
+            i = bisect_right(have, room // k)
+            if not i:
+                break
+            chosen.append(have[i - 1])
+            room -= have[i - 1]
+        if 0 <= room <= SLACK:
             found.add(tuple(sorted(chosen, reverse=True)))
-    return sorted(found)
 
+    for a in have:
+        for k in {min(capacity // a - 1, 64), 0, *alike}:
+            add([a], k)
+        for s in spread:
+            for k in range(few - 1):
+                add([a, s], k)
+        for s in spread[::4]:
+            for t in spread[::6]:
+                for k in range(few - 2):
+                    add([a, s, t], k)
+        # the longest that fits, again and again
+        chosen = [a]
+        while len(chosen) < few and (i := bisect_right(have, capacity - sum(chosen))):
+            chosen.append(have[i - 1])
+        add(chosen, 0)
+    return sorted(found)
 
-def fitted(found: list[tuple[int, ...]], lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares: repeats whose lengths make up the histogram, by accelerated projected gradients.
 
-    A pattern that leaves room has a cost in proportion, so of equal fits fuller patterns win.
-    """
-    at = {int(v): i for i, v in enumerate(lengths)}
-    row = np.array([at[v] for p in found for v in p])
-    col = np.repeat(np.arange(len(found)), [len(p) for p in found])
-    target = counts.astype(float)
-    waste = np.array([(capacity - sum(p)) / capacity for p in found]) * max(1.0, target.mean())
-    degree = np.bincount(row, minlength=len(lengths))
-    step = 1.0 / (4 * max(1, degree.max()))
-    x = y = np.zeros(len(found))
-    t = 1.0
-    for _ in range(rounds):
-        gap = np.bincount(row, weights=y[col], minlength=len(lengths)) - target
-        new = np.maximum(0.0, y - step * (np.bincount(col, weights=gap[row], minlength=len(found)) + waste))
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        x, y, t = new, new + (t - 1) / s * (new - x), s
+def fitted(found: list[tuple[int, ...]], histogram: dict[int, int], capacity: int, passes: int = 4) -> list[float]:
+    """Non-negative least squares: repeats whose lengths make up the histogram, by coordinate descent, fuller patterns first."""
+    left = {v: float(n) for v, n in histogram.items()}
+    columns = [list(Counter(p).items()) for p in found]
+    norms = [sum(m * m for _, m in c) for c in columns]
+    order = sorted(range(len(found)), key=lambda j: (capacity - sum(found[j]), len(found[j]), j))
+    x = [0.0] * len(found)
+    for _ in range(passes):
+        for j in order:
+            gap = 0.0
+            for v, m in columns[j]:
+                gap += m * left[v]
+            change = max(gap / norms[j], -x[j])
+            if change:
+                x[j] += change
+                for v, m in columns[j]:
+                    left[v] -= m * change
     return x
 
 
-def packed(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+Plan = list[tuple[int, dict[int, int]]]
+
+
+def fit_plan(left: dict[int, int], capacity: int) -> Plan:
+    """Patterns with their repeats, taken from ``left``, by one fit after the other."""
+    plan: Plan = []
+    enough = WORTH * sum(v * n for v, n in left.items()) / capacity
+    while lengths := sorted(v for v, n in left.items() if n):
+        found = patterns(np.array(lengths), capacity)
+        x = fitted(found, {v: left[v] for v in lengths}, capacity)
+        placed = 0
+        for j in sorted(range(len(found)), key=lambda j: (-x[j], j)):
+            parts = Counter(found[j])
+            repeats = min(max(1, round(x[j])), *(left[v] // n for v, n in parts.items())) if x[j] > 0 else 0
+            if repeats:
+                plan.append((repeats, dict(parts)))
+                placed += repeats
+                for v, n in parts.items():
+                    left[v] -= repeats * n
+        if placed <= enough:
+            break
+    return plan
+
+
+def packed(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """(repeats, number of pieces of each length) of every pattern used; together they use the histogram up."""
     left = {v: n for v, n in histogram.items() if n > 0}
-    plan: list[tuple[int, dict[int, int]]] = []
-
-    def use(repeats: int, parts: dict[int, int]) -> None:
-        plan.append((repeats, parts))
-        for v, n in parts.items():
-            left[v] -= repeats * n
-
-    lengths = np.array(sorted(left), dtype=np.int64)
-    if len(lengths):
-        found = patterns(lengths, capacity)
-        x = fitted(found, lengths, np.array([left[int(v)] for v in lengths]), capacity)
-        for i in np.argsort(-x, kind="stable"):
-            parts: dict[int, int] = {}
-            for v in found[i]:
-                parts[v] = parts.get(v, 0) + 1
-            # only full patterns are taken from the fit; the rest is left to the best fit below
-            repeats = min(int(x[i]), *(left[v] // n for v, n in parts.items())) if sum(found[i]) == capacity else 0
-            if repeats > 0:
-                use(repeats, parts)
-    have = sorted(v for v, n in left.items() if n)
-    while have:
-        room, parts = capacity, {}
-        top = len(have)
-        while room and top:
-            top = bisect_right(have, room, 0, top)
-            if not top:
-                break
-            v = have[top - 1]
-            n = min(left[v], room // v)
-            parts[v] = n
-            room -= n * v
-            top -= 1
-        use(max(1, min(left[v] // n for v, n in parts.items())), parts)
-        have = [v for v in have if left[v]]
-    return plan
+    groups = [[repeats, parts] for repeats, parts in fit_plan(left, capacity)]
+    room_of = lambda parts: capacity - sum(v * n for v, n in parts.items())
+    rooms = sorted((room_of(g[1]), i) for i, g in enumerate(groups))
+    for v in sorted((v for v, n in left.items() if n), reverse=True):
+        n = left[v]
+        while n:
+            at = bisect_left(rooms, (v, -1))
+            if at == len(rooms):  # no sequence has room: new ones, as many as are needed at this length
+                groups.append([-(-n // (capacity // v)), {}])
+                rooms.append((capacity, len(groups) - 1))
+            room, i = rooms.pop(at)
+            each = min(room // v, n)
+            repeats = min(groups[i][0], n // each)
+            if repeats < groups[i][0]:  # the others keep their room
+                groups.append([groups[i][0] - repeats, dict(groups[i][1])])
+                insort(rooms, (room, len(groups) - 1))
+                groups[i][0] = repeats
+            groups[i][1][v] = groups[i][1].get(v, 0) + each
+            insort(rooms, (room - each * v, i))
+            n -= repeats * each
+    return [(repeats, parts) for repeats, parts in groups if parts]
 
 
 def places(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, int, int, int]]:

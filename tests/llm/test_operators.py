@@ -143,6 +143,14 @@ def test_packing_plan_uses_the_histogram_up():
         assert used == h
 
 
+def test_packing_fit_places_most_sequences():
+    r = random.Random(7)
+    h = Counter(min(4096, int(r.lognormvariate(6, 1.2)) + 1) for _ in range(5000))
+    bound = -(-sum(v * n for v, n in h.items()) // 4096)
+    fit = sum(n for n, _ in packing.fit_plan(dict(h), 4096))
+    assert fit > 0.6 * bound and sum(n for n, _ in packing.packed(h)) <= bound + 1
+
+
 def test_gradients_match_differences():
     net = language_id.Network.fresh(["a", "b"], 3, 0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -444,7 +452,7 @@ def test_packing_ids_of_odd_texts_equal_the_library():
         "it's IT'S 'sample %%%'s x'll", "<|EndOfText|> a<|endoftext|>b <|startoftext|>", "İstanbul ǅ \xdf ſ ŉ éa é% क़% a\xa0b a\x0bb", "１２ \xbd \xb2x 12a3 日本語 ΣΑΣ. \xdcn\xef_code",
         "", " ", "\x01 a\x01b", "x" * 5000, "ⅷ a\xadb \xaa\xba ʰ", "a\x85b \x1c\x1d", "\xc9l\xe8ve,\xc9L\xc8VE###l'\xe9t\xe9",
     ]
-    for text, raw in zip(texts, ours.encode(texts)):
+    for text, raw in zip(texts, ours.encode([t.encode() for t in texts])):
         assert np.frombuffer(raw, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
@@ -452,7 +460,7 @@ def test_packing_ids_of_every_letter_of_the_plain_range_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [t for c in map(chr, range(0xA0, 0x250)) for t in (c, f"{c}li", f"A{c}b {c}{c}", f"x'{c}9{c}-")]
     library = Tokenizer.from_file(path)
-    got = [np.frombuffer(b, dtype="<u4").tolist() for b in packing.ChunkEncoder(path).encode(texts)]
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in packing.ChunkEncoder(path).encode([t.encode() for t in texts])]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
