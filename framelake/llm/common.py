@@ -54,14 +54,14 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(LOWER_BYTES).split()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or over what ``path`` holds) and read it back.
 
     Cuts the lineage: lost executors cost no recomputation of what lies before,
     and jobs that use the result more than once read it instead.
     """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    path = path or shared_dir(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,15 +2,17 @@
 
 Texts become greyscale PNG images (8-bit samples, ``width`` pixels a line), so storing
 is lossless and compressed. A member of a shard is named by the SHA-256 of its payload;
-rows carry digest, shard, offset and length. ``image_headers`` reads only the
-33 bytes of signature and IHDR of each member, ``read_back`` the members themselves.
+rows carry digest, shard, offset and length. The metadata columns width, height and bits are filled by
+``image_headers``, which reads only the 33 bytes of signature and IHDR of each member; ``read_back`` reads the members themselves.
 
 A task stores a payload once however many of its rows share it, and rows that
-share a place are read and decoded once. No payload is shuffled. A retried task
+share a place are read and decoded once. Tasks do not share: a payload met by several is stored by each, under the
+same name, so no payload is shuffled and no digest is a hot key. A retried task
 writes a new shard; the index names only those of committed tasks.
 
 Cases: a null text counts as empty and gives one line of spaces; repeated rows
-share their payload; an empty table gives an empty index.
+share their payload within a task; texts of any length are stored whole; null ids are kept; an empty table gives an empty index;
+extra columns are left out.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved, shared_dir
 
@@ -136,34 +139,42 @@ def store_media(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return saved(data.mapInArrow(write, INDEX.format(id=data.schema["id"].dataType.simpleString()))), folder
 
 
-def ranged(index: DataFrame, folder: str, made, names: list[str], kinds: list[pa.DataType], most: int | None = None) -> DataFrame:
-    """Rows of ``index`` with the columns that ``made(bytes)`` gives for each member.
+def dealt(index: DataFrame) -> DataFrame:
+    """``index`` dealt by shard and sorted by place, so that each member is read once."""
+    n = max(1, index.select("shard").distinct().count())
+    return index.repartition(n, "shard").sortWithinPartitions("shard", "offset")
+
+
+def ranged(index: DataFrame, folder: str, made: Callable[[bytes], tuple], names: list[str], kinds: list[pa.DataType], most: int | None = None) -> DataFrame:
+    """Rows of ``index`` (as ``dealt`` gives them) with the columns that ``made(bytes)`` gives for each member.
 
-    ``most``: read so many bytes of a member at most. Rows are dealt by shard and
-    sorted by place, so each member is read once.
+    ``most``: read so many bytes of a member at most.
     """
-    n = max(1, index.select("shard").distinct().count())
-    sql = {pa.int64(): "long", pa.string(): "string", pa.int32(): "int"}
-    schema = f"{INDEX.format(id=index.schema['id'].dataType.simpleString())}, " + ", ".join(f"{a} {sql[b]}" for a, b in zip(names, kinds))
+    sql = {pa.int64(): T.LongType(), pa.string(): T.StringType()}
+    schema = T.StructType([*index.schema.fields, *(T.StructField(a, sql[b]) for a, b in zip(names, kinds))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = stream = place = value = None
         system, path = opened(folder)
-        for batch in batches:
-            out = []
-            for shard, offset, length in zip(*(batch[c].to_pylist() for c in ("shard", "offset", "length"))):
-                if shard != name:
-                    if stream is not None:
-                        stream.close()
-                    name, stream = shard, system.open_input_file(f"{path}/{shard}")
-                if (shard, offset) != place:
-                    stream.seek(offset)
-                    place, value = (shard, offset), made(stream.read(min(length, most or length)))
-                out.append(value)
-            cols = list(zip(*out)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], [*batch.schema.names, *names])
-
-    return index.repartition(n, "shard").sortWithinPartitions("shard", "offset").mapInArrow(read, schema)
+        try:
+            for batch in batches:
+                out = []
+                for shard, offset, length in zip(*(batch[c].to_pylist() for c in ("shard", "offset", "length"))):
+                    if shard != name:
+                        if stream is not None:
+                            stream.close()
+                        name, stream = shard, system.open_input_file(f"{path}/{shard}")
+                    if (shard, offset) != place:
+                        stream.seek(offset)
+                        place, value = (shard, offset), made(stream.read(min(length, most or length)))
+                    out.append(value)
+                cols = list(zip(*out)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], [*batch.schema.names, *names])
+        finally:
+            if stream is not None:
+                stream.close()
+
+    return index.mapInArrow(read, schema)
 
 
 def image_headers(index: DataFrame, folder: str) -> DataFrame:
@@ -172,18 +183,20 @@ def image_headers(index: DataFrame, folder: str) -> DataFrame:
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
-    """Payload digest, checksum of its last 16 bytes, digest of the stored form and features, from the stored bytes."""
+    """Payload digest, checksum of its last 16 bytes, digest of the stored form and features of the samples, from the stored bytes."""
 
     def made(data: bytes) -> tuple:
         payload = from_png(data)
-        width, height, bits = png_header(data[:HEADER_BYTES])
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{width}x{height}x{bits};{described(payload)}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), described(payload)
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "samples"]
     return ranged(index, folder, made, names, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
 
 def media_columns(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored payloads with their metadata columns and what reading them back gives; ``feature`` joins both."""
     index, folder = store_media(rows, id_col=id_col, text=text)
     found: Column = F.col("id").alias(id_col)
-    return read_back(index, folder).select(found, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length")
+    feature = F.format_string("%dx%dx%d;%s", "width", "height", "bits", "samples").alias("feature")
+    read = read_back(image_headers(dealt(index), folder), folder)
+    return read.select(found, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature, "width", "height", "bits", "shard", "offset", "length")

@@ -96,6 +96,7 @@ def test_top_k_brute_force(spark):
 def test_media_round_trip(spark):
     df = docs_of(spark, ODD)
     index, folder = media.store_media(df)
+    index = media.dealt(index)
     got = {(r.id, r.payload_sha256, r.n_bytes, r.tail_crc32) for r in media.read_back(index, folder).collect()}
     want = set()
     for i, t in ODD:
