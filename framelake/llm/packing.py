@@ -21,7 +21,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import saved, tidy
 
 CAPACITY = 4096
-CACHED = 500_000
+#: Chunks and parts that a task remembers, and those, the first met, that a worker keeps for its next task.
+CACHED, KEPT = 500_000, 50_000
 #: Room that a fitted pattern may leave, and the least share of the sequences that a fit must place to be followed by another.
 SLACK, WORTH = 64, 0.01
 #: Letters whose lower case is one letter of this range, too; a chunk with any other (such as U+0130, U+018F) is left to the library whole.
@@ -121,6 +122,10 @@ class ChunkEncoder:
                 yield b"".join(map(self.known.__getitem__, chunks))
 
 
+    def shrink(self) -> None:
+        self.known, self.parts = dict(islice(self.known.items(), KEPT)), dict(islice(self.parts.items(), KEPT))
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -149,6 +154,7 @@ def token_pieces(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id
             cols = list(zip(*out)) or [[]] * 4
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["own"].take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["own", "piece", "start", "length", "ids_crc32"])
+        tokens.shrink()
 
     return data.mapInArrow(tidy(run), f"own {data.schema['own'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 

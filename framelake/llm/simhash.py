@@ -26,7 +26,7 @@ giving all pairs: first each text is checked against the first text of each of i
 groups; then, in groups whose texts these checked links leave apart, all pairs that are
 still apart and whose sizes and places in the order allow the similarity are
 checked, large groups in blocks. Of shingles that the very same texts have in their prefixes only the first counts. Before a pair is
-checked on the sets it must pass a bound: the bits in which parity maps of the sets differ (``MAP`` bits, one for
+checked on the sets it must pass a bound: the bits in which parity maps of the sets differ (one bit for
 the shingles of each hash class, set if they are odd in number) are no more than the sets' differing shingles. Pairs are only left out if a checked link connects their texts already
 or if they cannot be similar. Texts of equal sets are one node from the start. Only prefixes are
 written; the sets of texts that take part in a proposed pair are made again from the texts.
@@ -60,8 +60,8 @@ WIDE = 64
 SAMPLE, FEW, FREQUENT = 16, 3000, 200_000
 #: Texts of a block, in groups that are checked pair by pair.
 BLOCK = 1000
-#: Bits of a set's parity map.
-MAP = 1024
+#: Bits of a set's parity map: as many as it has shingles, rounded up to a power of two, within these.
+LEAST_MAP, MOST_MAP = 1024, 65_536
 #: Pairs of one node that meet its set in one group.
 PAIRS = 1000
 #: Up to so many ids of texts whose sets are needed are broadcast (two numbers each); more are joined by a shuffle.
@@ -155,8 +155,22 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 
 
 def parity_map(shingles: np.ndarray) -> bytes:
-    """One bit for each class of hashes (their upper bits): whether the set has an odd number of them."""
-    return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=MAP) & 1).tobytes()
+    """One bit for each class of hashes (their lower bits): whether the set has an odd number of them."""
+    bits = max(LEAST_MAP, min(MOST_MAP, 1 << max(0, len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def narrowed(bits: np.ndarray, size: int) -> np.ndarray:
+    """The map (bytes) that a smaller number of classes gives: halves are laid over each other."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, similarity: float) -> bool:
+    """By the maps of two sets that have ``n`` shingles together."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(narrowed(x, size) ^ narrowed(y, size)).sum(dtype=np.int64)) * (1 + similarity) <= (1 - similarity) * n + 1e-6
 
 
 def set_sketches(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float, *, id_col: str, text: str, words: int) -> DataFrame:
@@ -376,12 +390,15 @@ def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
 
     def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
         left, found, size = n - pos, [], 0
+        whole = [np.frombuffer(m, dtype=np.uint8) for m in maps]
+        small = np.stack([narrowed(m, LEAST_MAP // 8) for m in whole]).view(np.uint64) if len(whole) else np.zeros((0, LEAST_MAP // 64), dtype=np.uint64)
         for i in range(len(node) - 1):
             m = n[i + 1 :]
             # at the first shingle that two sets share, no more than the rest of either is common
             ok = (root[i + 1 :] != root[i]) & (np.minimum(left[i], left[i + 1 :]) * (1 + similarity) >= similarity * (n[i] + m) - 1e-6)
             j = i + 1 + np.flatnonzero(ok)
-            j = j[np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6]
+            j = j[np.bitwise_count(small[j] ^ small[i]).sum(1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6]
+            j = np.array([k for k in j.tolist() if may_be_similar(whole[i], whole[k], int(n[i] + n[k]), similarity)], dtype=np.int64)
             if len(j):
                 found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
                 size += len(j)
@@ -393,7 +410,7 @@ def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
         held: list[np.ndarray] | None = None
         for batch in batches:
             cols = [batch[c].to_numpy() for c in ("key", "node", "root", "n", "pos")]
-            cols.append(np.frombuffer(b"".join(batch["map"].to_pylist()), dtype=np.uint64).reshape(-1, MAP // 64))
+            cols.append(np.array(batch["map"].to_pylist(), dtype=object))
             held = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
             cut = np.concatenate([[0], np.flatnonzero(held[0][1:] != held[0][:-1]) + 1])
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -405,6 +422,20 @@ def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose parity maps and sizes allow the similarity."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_pylist()
+            keep = [may_be_similar(np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8), k, similarity) for x, y, k in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c, m, n: nodes.select(F.col("node").alias(c), F.col("map").alias(m), F.col("n").cast("long").alias(n))
+    both = pairs.join(of("b", "y", "ny"), "b").join(of("a", "x", "nx"), "a")
+    return both.select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n")).mapInArrow(tidy(check), "a long, b long")
+
+
 def sets_of(used: DataFrame, nodes: DataFrame, rows: DataFrame, *, id_col: str, text: str, words: int) -> DataFrame:
     """node and shingles (the set, sorted 64-bit numbers) of the nodes in ``used``, made from the text of one row each."""
     ids = saved(used.join(nodes, "node").select("node", F.col("least").alias("id")))
@@ -449,7 +480,7 @@ def checked_links(proposed: DataFrame, sets: Callable[[DataFrame], DataFrame], s
 def similar_links(sketches: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, hot: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all nodes whose sets are similar, and no others.
 
-    ``sketches`` has node, n and prefix (copies may repeat), ``nodes`` the distinct node with fp and map.
+    ``sketches`` has node, n and prefix (copies may repeat), ``nodes`` the distinct node with fp, map and n.
     """
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     near = saved(near_links(nodes, 3, hot).select(*ordered).distinct())
@@ -464,7 +495,7 @@ def similar_links(sketches: DataFrame, nodes: DataFrame, sets: Callable[[DataFra
     first = F.min(F.struct("node", "n", "pos")).over(by_key)
     keyed = saved(prefixes(sketches).withColumn("first", first).withColumn("last", F.max("node").over(by_key)).where("first.node != last").drop("last"))
     stars = keyed.where("first.node != node").where(can_be_similar(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), similarity)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    tried = saved(with_roots(stars).join(near, ["a", "b"], "left_anti"))
+    tried = saved(possible(with_roots(stars).join(near, ["a", "b"], "left_anti"), nodes, similarity))
     links = saved(links.union(checked_links(tried, sets, similarity)))
     roots = saved(connected_components(links))
     marked = keyed.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -490,7 +521,7 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     else:
         of = {"id_col": id_col, "text": text, "words": words}
         marked = saved(set_sketches(rows, frequent_shingles(rows, **of), similarity, **of))
-        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("map").alias("map")))
+        nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("map").alias("map"), F.first("n").alias("n")))
         edges = similar_links(marked, nodes, lambda used: sets_of(used, nodes, rows, **of), similarity, hot, min(BLOCK, hot))
     roots = saved(connected_components(edges))
     best = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
