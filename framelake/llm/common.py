@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,26 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(LOWER_BYTES).split()
 
 
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWERED = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words (as ``words_of`` gives them) of an array of texts in UTF-8 without nulls, and how many each text has."""
+    places = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[places[0] : places[-1]]
+    places = places - places[0]
+    inside = ~SPACES[raw]
+    opening = np.zeros(len(raw) + 1, dtype=bool)  # a text's first byte, or one after a space
+    opening[places] = True
+    opening[1:] |= ~inside
+    starts = np.flatnonzero(inside & opening[:-1])
+    ends = np.flatnonzero(inside & (opening[1:] | np.append(~inside[1:], True))) + 1
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWERED[raw[inside]])])
+    return words, np.diff(np.searchsorted(starts, places))
+
+
 def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder (or over what ``path`` holds) and read it back.
 

@@ -30,15 +30,16 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tidy, words_of
+from .common import saved, split_words, tidy
 
 DEPTH, TAIL = 6, 3
 BITS = 9
@@ -50,14 +51,24 @@ KINDS = 258
 SPACE = 0x20
 #: Distinct words that a task holds at once, and border codes that it merges at once.
 FLUSH, MERGE = 300_000, 2_000_000
-#: Texts of a step.
-STEP = 500
+#: Bytes of text of a step, about.
+STEP = 6 << 20
 #: Units are numbered from zero in each of their table's partitions, above these bits.
 ID_BITS = 33
 #: Symbols of units in a part, about, and the least number of parts.
 PART, PARTS = 400_000, 256
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about STEP bytes in column t."""
+    ends = np.cumsum(pc.binary_length(batch["t"]).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 class Words:
     """Numbers of the words met so far, with their last ``TAIL`` bytes and first two symbols as codes."""
 
@@ -66,13 +77,15 @@ class Words:
         self.at.default_factory = self.at.__len__
         self.tails = self.heads = np.zeros(0, dtype=np.int64)
 
-    def numbers(self, split: list[list[bytes]]) -> np.ndarray:
-        """The words' numbers, text after text."""
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers, text after text, and how many words each text has."""
         known = len(self.at)
-        n = sum(map(len, split))
-        out = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=n)
+        words, sizes = split_words(texts)
+        distinct = words.dictionary_encode()
+        spelled = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        out = np.fromiter(map(self.at.__getitem__, spelled), dtype=np.int64, count=len(spelled))[distinct.indices.to_numpy()]
         if len(self.at) > known:
-            raw = list(self.at)[known:]
+            raw = list(islice(self.at, known, None))
             size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
             first = np.frombuffer(b"".join([w[:2].ljust(2) for w in raw]), dtype=np.uint8).reshape(-1, 2).astype(np.int64) + 1
             last = np.frombuffer(b"".join([w[-TAIL:].rjust(TAIL) for w in raw]), dtype=np.uint8).reshape(-1, TAIL).astype(np.int64) + 1
@@ -81,7 +94,7 @@ class Words:
                 tail = tail << BITS | np.where(size >= TAIL - k, last[:, k], 0)
             self.tails = np.concatenate([self.tails, tail])
             self.heads = np.concatenate([self.heads, first[:, 0] << BITS | np.where(size > 1, first[:, 1], WORD_END)])
-        return out
+        return out, sizes
 
     def borders(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The code (tail, s1, s2; nine bits a symbol) of each word's beginning and each text's end, and the text it lies in; s2 is zero after TEXT_END."""
@@ -122,12 +135,9 @@ def counted(rows: DataFrame, text: str, train: Column) -> DataFrame:
                 yield packed(border_unit(code), m.astype(np.int64), m_all.astype(np.int64))
 
         for whole in batches:
-            for start in range(0, whole.num_rows, STEP):
-                batch = whole.slice(start, STEP)
-                split = [words_of(t) for t in batch["t"].to_pylist()]
+            for batch in steps(whole):
                 known = batch["train"].to_numpy(zero_copy_only=False).astype(float)
-                sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-                ids = words.numbers(split)
+                ids, sizes = words.numbers(batch["t"])
                 k = len(words.at)
                 n, n_all = (np.concatenate([v, np.zeros(k - len(v))]) for v in (n, n_all))
                 n += np.bincount(ids, weights=np.repeat(known, sizes), minlength=k)
@@ -361,20 +371,18 @@ def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id"
         words = Words()
         where = np.zeros(0, dtype=np.int64)  # the frequent word of each word met, -1 if it is rare
         for whole in batches:
-            for start in range(0, whole.num_rows, STEP):
-                batch = whole.slice(start, STEP)
-                split = [words_of(t) for t in batch["t"].to_pylist()]
-                sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+            for batch in steps(whole):
                 if len(words.at) > FLUSH:
                     words, where = Words(), where[:0]
-                ids = words.numbers(split)
+                ids, sizes = words.numbers(batch["t"])
                 if len(words.at) > len(where):
                     where = np.concatenate([where, np.array([place.get(w, -1) for w in list(words.at)[len(where) :]], dtype=np.int64)])
-                owner, at, docs = np.repeat(np.arange(len(split)), sizes), where[ids], len(split)
+                docs = len(sizes)
+                owner, at = np.repeat(np.arange(docs), sizes), where[ids]
                 hit = np.flatnonzero(at >= 0)
                 owner_hit, at_hit = owner[hit], at[hit]
                 sums = [np.bincount(owner_hit, weights=v[at_hit], minlength=docs) for v in (base, rest, n > 0)]
-                rare: list[Counter] = [Counter() for _ in split]
+                rare: list[Counter] = [Counter() for _ in range(docs)]
                 spelled = list(words.at)
                 for d, w in zip(owner[at < 0].tolist(), ids[at < 0].tolist()):
                     rare[d][spelled[w]] += 1

@@ -11,13 +11,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from framelake.llm import bpe, components, corpus, language_id, media, packing, queries, secrets, simhash, suffix_tree, top_k, toxicity, url_filters
-from framelake.llm.common import literal_rows, words_of
+from framelake.llm.common import literal_rows, split_words, words_of
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rule string, score double"
@@ -210,6 +211,10 @@ def brute_fingerprint(text, words=3):
 def test_words_equal_the_pattern():
     for text in [t for _, t in ODD] + ["".join(map(chr, range(0x300))), "a\x1cb\x1fc\x85d\xa0e\u2003f\u3000g \x0b\x0ch", "ÀÉÎ ΑΒΓ АБВ İIı AZ[`{"]:
         assert [w.decode() for w in words_of((text or "").encode())] == plain_words(text)
+        every = ["x y", text or "", "", "z"]
+        for texts in (pa.array([t.encode() for t in every]), pa.array([b"before ", *[t.encode() for t in every], b" after"])[1:5]):
+            words, sizes = split_words(texts)
+            assert [w.decode() for w in words.to_pylist()] == [w for t in every for w in plain_words(t)] and sizes.tolist() == [len(plain_words(t)) for t in every]
 
 
 def test_golay_keys_miss_no_link():
