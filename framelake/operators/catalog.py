@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Extensions that the image scan takes.
+#: Extensions that the image scan takes (fixed values).
 SCANNED = ["png", "jpg", "jpeg", "webp", "arw", "cr2", "cr3", "dng", "nef"]
 #: Least and greatest value of each scalar adjustment.
 BOUNDS = {"exposure": (-10.0, 10.0), "temperature": (1500.0, 12000.0)} | {k: (-1.0, 1.0) for k in ("contrast", "highlights", "shadows", "whites", "blacks", "tint", "vibrance", "saturation")}
@@ -46,6 +46,22 @@ def history(edits: DataFrame, key: str, order: list[str]) -> DataFrame:
     return edits.withColumns({"step": F.row_number().over(w).cast("int"), "before": F.lag("value").over(w)})
 
 
+def carried(rows: DataFrame, key: str, order: list[str], value: str, into: str) -> DataFrame:
+    """``rows`` with the last non-null ``value`` of the same key at or before each row.
+
+    Rows are sorted over the cluster by key and order, so a key with very many rows spans partitions; what each
+    partition hands on (its last value of the key that it ends with) is one row a partition.
+    """
+    placed = rows.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id())
+    within = Window.partitionBy("part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn(into, F.last(value, ignorenulls=True).over(within))
+    ends = placed.where(F.col(value).isNotNull()).groupBy("part", key).agg(F.max_by(value, F.struct(*order)).alias("end"))
+    # one row for each partition and key; a key that spans many partitions has as many rows, not as many as it has values
+    before = placed.groupBy("part", key).agg(F.count(F.lit(1)).alias("n")).join(ends, ["part", key], "left")
+    handed = before.withColumn("handed", F.last("end", ignorenulls=True).over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", key, "handed")
+    return out.join(handed, ["part", key]).withColumn(into, F.coalesce(into, "handed")).drop("part", "handed")
+
+
 def catalog_status(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Every name of either side: paired, without sidecar, or orphan sidecar."""
     a, b = images.select("name", F.lit(1).alias("i")), sidecars.select("name", F.lit(1).alias("s"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FULL = 65535
@@ -88,13 +88,14 @@ def weighted_mean(px: DataFrame, planes: DataFrame, level: Column) -> DataFrame:
     return met.groupBy("image_id").agg(F.when(F.sum("w") > 1e-6, F.sum(level * F.col("w")) / F.sum("w")).alias("mean"))
 
 
-def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(src, dst) for all paths of up to ``depth`` edges; a node that reaches itself lies on a cycle."""
-    edges.createOrReplaceTempView("framelake_mask_edges")
-    sql = f"""WITH RECURSIVE reach(src, dst, d) AS (SELECT src, dst, 1 FROM framelake_mask_edges UNION ALL SELECT r.src, e.dst, d + 1 FROM reach r JOIN framelake_mask_edges e ON r.dst = e.src WHERE d < {int(depth)})
-    SELECT DISTINCT src, dst FROM reach"""
-    return edges.sparkSession.sql(sql)
+def weighted_mean_of(px: DataFrame, planes: list[Column], level: Column) -> DataFrame:
+    """``weighted_mean`` where the planes are columns of the frames themselves: one aggregate, no join."""
+    weight = planes[0] / float(FULL)
+    for v in planes[1:]:
+        weight = weight * (v / float(FULL))
+    return px.groupBy("image_id").agg(F.when(F.sum(weight) > 1e-6, F.sum(level * weight) / F.sum(weight)).alias("mean"))
 
 
-def latest(rows: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+def combined_columns(px: DataFrame, planes: list[Column], how: str) -> DataFrame:
+    """``combined`` where the planes are columns of the frames themselves: a projection."""
+    return px.select(*KEYS, (F.greatest if how == "union" else F.least)(*planes).alias("v"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import clamp, luminance
+from ..functions.color import luminance
 
 
 def box_blur(plane: DataFrame, radius: int, passes: int = 1, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -29,15 +29,6 @@ def gradient(px: DataFrame) -> DataFrame:
     return d.select("image_id", "x", "y", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("magnitude"))
 
 
-def difference_of_boxes(plane: DataFrame, radius: int, amount: float) -> DataFrame:
-    """v + amount * (v - mean of its box), the box shrinking at edges; sums are exact integers, divided once."""
-    row = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-radius, radius)
-    col = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-radius, radius)
-    out = plane.repartition("image_id").withColumns({"s": F.sum("v").over(row), "c": F.count("v").over(row)})
-    out = out.withColumns({"s": F.sum("s").over(col), "c": F.sum("c").over(col)})
-    return out.withColumn("v", clamp(F.round(F.col("v") + amount * (F.col("v") - F.col("s") / F.col("c"))), 0.0, 255.0).cast("int")).drop("s", "c")
-
-
 def dark_channel(px: DataFrame, radius: int = 2) -> DataFrame:
     """Minimum of all channels over a square; the minimum is taken along rows, then columns."""
     row = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-radius, radius)
@@ -72,19 +63,3 @@ def nearest_resize(px: DataFrame, width: int, height: int, to_width: int, to_hei
     at = lambda c, n, m: F.floor(F.col(c) * n / m).cast("int")
     out = targets(px, to_width, to_height).withColumns({"sx": at("x", width, to_width), "sy": at("y", height, to_height)})
     return out.join(px.withColumnsRenamed({"x": "sx", "y": "sy"}), ["image_id", "sx", "sy"]).drop("sx", "sy")
-
-
-def resample(plane: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
-    """Bilinear at pixel centres, clamped to the edge. Every output pixel meets its four sources in one join."""
-
-    def place(c: str, n: int, m: int) -> Column:
-        return clamp((F.col(c) + 0.5) * n / m - 0.5, 0.0, n - 1.0)
-
-    t = targets(plane, to_width, to_height).withColumns({"px": place("x", width, to_width), "py": place("y", height, to_height)})
-    t = t.withColumns({"x0": F.floor("px").cast("int"), "y0": F.floor("py").cast("int")})
-    fx, fy = F.col("px") - F.col("x0"), F.col("py") - F.col("y0")
-    x1, y1 = F.least(F.col("x0") + 1, F.lit(width - 1)), F.least(F.col("y0") + 1, F.lit(height - 1))
-    corners = [F.struct(a.alias("sx"), b.alias("sy"), w.alias("w")) for a, b, w in ((F.col("x0"), F.col("y0"), (1 - fx) * (1 - fy)), (x1, F.col("y0"), fx * (1 - fy)), (F.col("x0"), y1, (1 - fx) * fy), (x1, y1, fx * fy))]
-    sources = t.select("image_id", "x", "y", F.inline(F.array(*corners)))
-    met = sources.join(plane.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "v"), ["image_id", "sx", "sy"])
-    return met.groupBy("image_id", "x", "y").agg(F.round(F.sum(F.col("v") * F.col("w")) - 1e-9).cast("int").alias("v"))

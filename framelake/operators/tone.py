@@ -10,9 +10,46 @@ from ..functions.color import clamp, luminance
 LEAST = 1e-6
 
 
+#: Luminance as an integer: the weights times 10000.
+WEIGHTS = (2126, 7152, 722)
+
+
+def weighed() -> Column:
+    return sum((w * F.col(c) for w, c in zip(WEIGHTS, "rgb")), F.lit(0))
+
+
+def at_quantile(q: float, upto: Column, n: Column, total: Column, level: Column, after: Column) -> Column:
+    """Linear between the values at the places around q (n - 1), from sorted values with their counts (``upto`` runs over them)."""
+    place = F.lit(q) * (total - 1)
+    low = F.floor(place)
+    part = place - low
+    # the row that holds the lower place; the next place is in it too, or in the next row
+    here = (upto - n <= low) & (low < upto)
+    value = F.when(low + 1 < upto, level).otherwise(F.coalesce(after, level))
+    return F.max(F.when(here, level + part * (value - level)))
+
+
 def analyze_tone(px: DataFrame) -> DataFrame:
-    q = F.percentile(luminance(), F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    return px.groupBy("image_id").agg(F.avg(luminance()).alias("mean"), q.alias("q"), F.count(F.lit(1)).alias("samples")).select("image_id", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("p01"), F.col("q")[2].alias("p99"), "samples")
+    """Mean and exact quantiles of luminance. Values are integers, counted before the shuffle, so a frame's buffer is its distinct values, not its pixels."""
+    return quantiled(px.groupBy("image_id", weighed().alias("v")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def quantiled(counts: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(image_id, v, n and more) by frame: mean, median, p01, p99 and samples."""
+    w = Window.partitionBy("image_id").orderBy("v")
+    run = counts.withColumns({"upto": F.sum("n").over(w), "after": F.lead("v").over(w), "total": F.sum("n").over(Window.partitionBy("image_id"))})
+    scale = 10000 * 255.0
+    q = lambda p: (at_quantile(p, F.col("upto"), F.col("n"), F.col("total"), F.col("v").cast("double"), F.col("after").cast("double")) / scale)
+    return run.groupBy("image_id").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n") / scale).alias("mean"), q(0.5).alias("median"), q(0.01).alias("p01"), q(0.99).alias("p99"), F.sum("n").alias("samples"), *more)
+
+
+def report(px: DataFrame) -> DataFrame:
+    """Tone with the channels' means and deviations, from one pass: sums of each channel are kept beside the counts by luminance."""
+    sums = [f(F.col(c) * F.col(c) if k else F.col(c)).alias(f"{c}{k}") for c in "rgb" for k, f in enumerate((F.sum, F.sum))]
+    counts = px.groupBy("image_id", weighed().alias("v")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    mean = lambda c, k: F.sum(f"{c}{k}") / F.sum("n")
+    more = [m for c in "rgb" for m in (mean(c, 0).alias(f"{c}_mean"), F.sqrt(F.greatest(mean(c, 1) - mean(c, 0) * mean(c, 0), F.lit(0.0))).alias(f"{c}_stddev"))]
+    return quantiled(counts, tuple(more)).drop("samples")
 
 
 def exposure_to(target: float, level: Column) -> Column:

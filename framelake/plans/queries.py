@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, develop
-from ..operators import catalog, masks, neighbourhood, tone
+from ..operators import catalog, mask_graph, masks, neighbourhood, tone
 from ..sources.frames import SIDE, carrier_frames, grid, table
 from ..streaming.latest import latest_generation
 
@@ -144,8 +144,7 @@ def match_exposure(spark: SparkSession, d: str) -> DataFrame:
 SELECT image_id, round(CASE WHEN m IS NULL THEN 0 WHEN m <= 1e-6 THEN 10 ELSE greatest(-10, least(10, log2(0.45::DOUBLE / m))) END, 6) AS exposure FROM m""")
 def match_exposure_masked(spark: SparkSession, d: str) -> DataFrame:
     px = carrier_frames(spark, d)
-    planes = plane(px, "r").union(plane(px, "g"))
-    mean = masks.weighted_mean(px, planes, color.luminance())
+    mean = masks.weighted_mean_of(px, [F.col("r") * 257, F.col("g") * 257], color.luminance())
     return rounded(mean.select("image_id", F.when(F.col("mean").isNull(), 0.0).otherwise(tone.exposure_to(0.45, F.col("mean"))).alias("exposure")))
 
 
@@ -202,10 +201,9 @@ FROM tone t JOIN (SELECT image_id, {', '.join(f"max(CASE WHEN channel = '{c}' TH
 def analyze_report(spark: SparkSession, d: str) -> DataFrame:
     """Tone, channels and palette of every frame; the flagship query."""
     px = carrier_frames(spark, d)
-    level = tone.analyze_tone(px)
-    chan = px.groupBy("image_id").agg(*[f(c).alias(f"{c}_{n}") for c in "rgb" for n, f in (("mean", F.avg), ("stddev", F.stddev_pop))])
     first = tone.dominant_colors(px, 1).select("image_id", F.col("key").alias("first_color"))
-    return rounded(level.drop("samples").join(chan, "image_id").join(first, "image_id").withColumn("exposure_estimate", tone.exposure_to(0.5, F.col("median"))))
+    # all else comes from one aggregate by frame and luminance
+    return rounded(tone.report(px).join(first, "image_id").withColumn("exposure_estimate", tone.exposure_to(0.5, F.col("median"))))
 
 
 def plane(px: DataFrame, channel: str) -> DataFrame:
@@ -219,12 +217,6 @@ def box_blur(spark: SparkSession, d: str) -> DataFrame:
     return neighbourhood.box_blur(plane(carrier_frames(spark, d), "r"), 2)
 
 
-@register(f"""{PX}, s AS (SELECT a.image_id, a.x, a.y, a.r AS v, sum(b.r) AS s, count(*) AS c FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL)
-SELECT image_id, x, y, CAST(greatest(0, least(255, round(v + 0.5::DOUBLE * (v - s::DOUBLE / c)))) AS INTEGER) AS v FROM s""")
-def texture_clarity(spark: SparkSession, d: str) -> DataFrame:
-    return neighbourhood.difference_of_boxes(carrier_frames(spark, d).select("image_id", "x", "y", F.col("r").alias("v")), 2, 0.5)
-
-
 @register(f"{PX} SELECT a.image_id, a.x, a.y, min(least(b.r, b.g, b.b)) AS dark FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL")
 def dark_channel(spark: SparkSession, d: str) -> DataFrame:
     return neighbourhood.dark_channel(carrier_frames(spark, d)).select("image_id", "x", "y", "dark")
@@ -256,12 +248,6 @@ def nearest_resize(spark: SparkSession, d: str) -> DataFrame:
     return neighbourhood.nearest_resize(carrier_frames(spark, d), SIDE, SIDE, 5, 3).select(*RGB)
 
 
-@register(f"""{PX}, t AS (SELECT image_id, unnest(range(4)) AS x FROM (SELECT DISTINCT image_id FROM px)), u AS (SELECT image_id, x, unnest(range(4)) AS y FROM t)
-SELECT u.image_id, CAST(u.x AS INTEGER) AS x, CAST(u.y AS INTEGER) AS y, CAST(round(sum(r * 257) / 4.0 - 1e-9) AS INTEGER) AS v FROM u JOIN px ON px.image_id = u.image_id AND px.x // 2 = u.x AND px.y // 2 = u.y GROUP BY ALL""")
-def resample_plane(spark: SparkSession, d: str) -> DataFrame:
-    return neighbourhood.resample(plane(carrier_frames(spark, d), "r"), SIDE, SIDE, 4, 4)
-
-
 @register(f"{PX} SELECT image_id, x, y, greatest(r, g) * 257 AS v FROM px")
 def mask_union(spark: SparkSession, d: str) -> DataFrame:
     px = carrier_frames(spark, d)
@@ -331,7 +317,7 @@ EDGES = [("u", "a"), ("u", "b"), ("i", "u"), ("i", "n"), ("n", "a"), ("c", "d"),
 @register("WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(map(str, EDGES)) + "), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst, src = dst AS on_cycle FROM r")
 def mask_closure(spark: SparkSession, d: str) -> DataFrame:
     edges = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, EDGES)) + " AS t(src, dst)")
-    return masks.closure(edges).withColumn("on_cycle", F.col("src") == F.col("dst"))
+    return mask_graph.reached(edges).withColumn("on_cycle", F.col("src") == F.col("dst"))
 
 
 KEY = "element_at(array('exposure', 'contrast', 'temperature', 'sharpness'), CAST(event_id % 4 AS INT) + 1)"
@@ -376,11 +362,11 @@ def orphan_cache(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@register("""WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT CAST(doc_id AS VARCHAR) AS name FROM labels)
+@register("""WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS name FROM documents), b AS (SELECT CAST(doc_id AS VARCHAR) AS name FROM labels)
 SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'no_sidecar' WHEN a.name IS NULL THEN 'orphan_sidecar' ELSE 'paired' END AS status FROM a FULL JOIN b ON a.name = b.name""")
 def catalog_status(spark: SparkSession, d: str) -> DataFrame:
     name = F.col("doc_id").cast("string").alias("name")
-    return catalog.catalog_status(table(spark, d, "documents").where("doc_id % 3 != 0").select(name), table(spark, d, "labels").select(name))
+    return catalog.catalog_status(table(spark, d, "documents").select(name), table(spark, d, "labels").select(name))
 
 
 @register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events))")
@@ -404,8 +390,7 @@ def cache_invalidate(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, coalesce(last_value(setting IGNORE NULLS) OVER (PARTITION BY source ORDER BY depth, doc_id ROWS UNBOUNDED PRECEDING), -1) AS inherited FROM s""")
 def settings_inherit(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 10).alias("depth"), F.when(F.col("doc_id") % 4 == 0, F.col("n_chars")).alias("setting"))
-    w = Window.partitionBy("source").orderBy("depth", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select("doc_id", F.coalesce(F.last("setting", ignorenulls=True).over(w), F.lit(-1)).alias("inherited"))
+    return catalog.carried(s, "source", ["depth", "doc_id"], "setting", "inherited").select("doc_id", F.coalesce("inherited", F.lit(-1)).alias("inherited"))
 
 
 def hermite_sql(points: list[tuple[float, float]], x: str) -> str:

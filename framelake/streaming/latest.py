@@ -11,9 +11,10 @@ def latest_generation(events: DataFrame, key: str = "user_id", generation: str =
     return events.groupBy(key).agg(F.max(F.struct(generation, "event_type", "value")).alias("m")).select(key, f"m.{generation}", "m.event_type", "m.value")
 
 
-def run_available(spark: SparkSession, folder: str, checkpoint: str, name: str) -> DataFrame:
-    """Read what ``folder`` holds as a stream, once, into the table ``name``."""
+def run_available(spark: SparkSession, folder: str, checkpoint: str, out: str) -> DataFrame:
+    """Read what ``folder`` holds as a stream, once; each batch's newest state replaces the table at ``out``."""
     schema = spark.read.parquet(folder).schema
     stream = latest_generation(spark.readStream.schema(schema).parquet(folder))
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import catalog, masks, tone
-from framelake.plans.queries import ORACLE, QUERIES
+from framelake.operators import catalog, geometry, mask_graph, masks, recipes, tone
+from framelake.plans.catalogue import ORACLE, QUERIES
 from framelake.streaming.latest import run_available
 
 DIR = "/root/testdata/sf0.001"
@@ -64,6 +64,42 @@ def test_safe_paths(spark):
 def test_stream_keeps_the_newest(spark, tmp_path):
     e = spark.read.parquet(f"{DIR}/events.parquet")
     e.write.parquet(str(tmp_path / "in"))
-    got = run_available(spark, str(tmp_path / "in"), str(tmp_path / "check"), "newest_events")
+    got = run_available(spark, str(tmp_path / "in"), str(tmp_path / "check"), str(tmp_path / "out"))
     assert got.count() == e.select("user_id").distinct().count()
     assert {r.user_id: r.event_id for r in got.collect()} == {r[0]: r[1] for r in e.groupBy("user_id").agg(F.max("event_id")).collect()}
+
+
+def test_closure_of_chains_and_diamonds(spark):
+    pairs = lambda edges: {(r.src, r.dst) for r in mask_graph.reached(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    chain = [(f"{i:02d}", f"{i + 1:02d}") for i in range(40)]
+    assert pairs(chain) == {(f"{i:02d}", f"{j:02d}") for i in range(41) for j in range(i + 1, 41)}
+    diamonds = [e for i in range(12) for e in ((f"a{i}", f"b{i}"), (f"a{i}", f"c{i}"), (f"b{i}", f"a{i + 1}"), (f"c{i}", f"a{i + 1}"))]
+    assert len(pairs(diamonds)) == sum(3 * (12 - i) for i in range(12)) + 2 * sum(1 + 3 * (11 - i) for i in range(12))
+
+
+def test_halves_round_away_from_zero(spark):
+    plane = spark.createDataFrame([("i", x, y, v) for y, row in enumerate([[0, 1], [0, 1]]) for x, v in enumerate(row)], "image_id string, x int, y int, v int")
+    assert [r.v for r in geometry.resample(plane, 2, 2, 1, 1).collect()] == [1]
+    assert geometry.downscaled_size(1000, 333, 500) == (500, 167) and geometry.rotated_size(10, 4, 90.0) == (4, 10)
+
+
+def test_mask_graph_refuses_what_is_wrong(spark):
+    plane = spark.createDataFrame([("i", 0, 0, 7)], "image_id string, x int, y int, v int")
+    nodes = {"s": ("source", []), "a": ("invert", ["b"]), "b": ("invert", ["a"]), "c": ("union", ["s"]), "d": ("invert", ["gone"])}
+    for node, words in (("a", "cycle"), ("c", "operands"), ("d", "missing")):
+        with pytest.raises(ValueError, match=words):
+            mask_graph.evaluated(nodes, {"s": plane}, node)
+    with pytest.raises(ValueError, match="needs"):
+        mask_graph.prompted(plane, 1, 1)
+
+
+def test_quantiles_of_few_values(spark):
+    px = spark.createDataFrame([("a", i, 0, v, v, v) for i, v in enumerate([0, 10, 10, 200])] + [("b", 0, 0, 5, 5, 5)], "image_id string, x int, y int, r int, g int, b int")
+    got = {r.image_id: r for r in tone.analyze_tone(px).collect()}
+    assert math.isclose(got["a"].median, 10 / 255) and math.isclose(got["a"].p99, (10 + 0.97 * 190) / 255) and math.isclose(got["a"].p01, 0.3 / 255) and math.isclose(got["b"].p99, 5 / 255)
+
+
+def test_later_edits_win_and_missing_copies_are_made(spark):
+    own = spark.createDataFrame([("a", {"exposure": 1.0})], "copy string, adjustments map<string,double>")
+    edits = spark.createDataFrame([("a", "exposure", 2.0, 1), ("a", "exposure", 3.0, 2), ("b", "tint", 0.5, 1)], "copy string, key string, value double, ord int")
+    assert {(r.copy, tuple(r.adjustments.items()), r.created) for r in recipes.upserted(own, edits).collect()} == {("a", (("exposure", 3.0),), False), ("b", (("tint", 0.5),), True)}
