@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import catalog, geometry, mask_graph, masks, recipes, tone
 from framelake.plans.catalogue import ORACLE, QUERIES
+from framelake.sources import images
 from framelake.streaming.latest import run_available
 
 DIR = "/root/testdata/sf0.001"
@@ -103,3 +104,20 @@ def test_later_edits_win_and_missing_copies_are_made(spark):
     own = spark.createDataFrame([("a", {"exposure": 1.0})], "copy string, adjustments map<string,double>")
     edits = spark.createDataFrame([("a", "exposure", 2.0, 1), ("a", "exposure", 3.0, 2), ("b", "tint", 0.5, 1)], "copy string, key string, value double, ord int")
     assert {(r.copy, tuple(r.adjustments.items()), r.created) for r in recipes.upserted(own, edits).collect()} == {("a", (("exposure", 3.0),), False), ("b", (("tint", 0.5),), True)}
+
+
+def test_image_files_round_trip(spark, tmp_path):
+    """Frames to PNG files and back, beside files that are no images."""
+    px = spark.createDataFrame([(i, x, y, 10 * i + x, 20 + y, 30, 255 if (x + y) % 2 else 9) for i in (1, 2) for x in range(3) for y in range(2)], "image_id int, x int, y int, r int, g int, b int, a int")
+    folder = tmp_path / "in" / "deep"
+    folder.mkdir(parents=True)
+    for r in images.encoded(px).collect():
+        assert (r.width, r.height) == (3, 2)
+        (folder / f"{r.image_id}.PNG").write_bytes(r.png)
+    (folder / "notes.txt").write_text("no image")
+    (folder / "broken.png").write_bytes(b"no image either")
+    (folder / "1.lumen.json").write_text('{"version": 2}')
+    got = images.image_frames(spark, str(tmp_path / "in")).withColumn("image_id", F.regexp_extract("image_id", r"(\d)\.PNG$", 1).cast("int"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, px.collect()))
+    assert sorted(r.path[-6:] for r in images.scanned_images(spark, str(tmp_path / "in")).collect()) == ["/1.PNG", "/2.PNG", "en.png"]
+    assert [r.text for r in images.scanned_sidecars(spark, str(tmp_path / "in")).collect()] == ['{"version": 2}']
