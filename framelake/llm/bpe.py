@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 CACHED = 500_000
 #: Words of up to so many bytes are merged together, longer ones one by one.
 SHORT = 32
@@ -282,7 +284,7 @@ def token_ids(rows: DataFrame, path: str, *, id_col: str = "doc_id", text: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(model.encode_batch(batch["t"].to_pylist()), pa.list_(pa.int32()))], ["id", "ids"])
 
-    return data.mapInArrow(run, f"id {data.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def token_digests(rows: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,4 +301,4 @@ def token_digests(rows: DataFrame, path: str, *, id_col: str = "doc_id", text: s
                 back.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return data.mapInArrow(run, f"id {data.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return data.mapInArrow(tidy(run), f"id {data.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -37,11 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/framelake-{uuid.uuid4().hex}"
 
 
+#: Batches of more bytes reach a task's function in slices of about so many.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, giving freed memory back to the system at a task's end: Python workers serve many tasks."""
+    """``run`` for mapInArrow on slices of bounded size, giving freed memory back to the system at a task's end: Python workers serve many tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(slices(batches))
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
         if trim:

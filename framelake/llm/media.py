@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, shared_dir
+from .common import saved, shared_dir, tidy
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, length and type of IHDR, its 13 bytes, its checksum.
@@ -136,7 +136,7 @@ def store_media(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         finally:
             shards.close()
 
-    return saved(data.mapInArrow(write, INDEX.format(id=data.schema["id"].dataType.simpleString()))), folder
+    return saved(data.mapInArrow(tidy(write), INDEX.format(id=data.schema["id"].dataType.simpleString()))), folder
 
 
 def dealt(index: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def ranged(index: DataFrame, folder: str, made: Callable[[bytes], tuple], names:
             if stream is not None:
                 stream.close()
 
-    return index.mapInArrow(read, schema)
+    return index.mapInArrow(tidy(read), schema)
 
 
 def image_headers(index: DataFrame, folder: str) -> DataFrame:

@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: The patterns, the group whose length counts and the least length, as fixed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -169,5 +171,5 @@ def secret_spans(rows: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), batch["own"]], ["n_assign", "n_access", "n_hex", "n_measured", "n_novel", "base_sha256", "spans", "clean_text", "own"])
 
     kind = data.schema["own"].dataType.simpleString()
-    done = data.mapInArrow(run, f"n_assign long, n_access long, n_hex long, n_measured long, n_novel long, base_sha256 string, spans string, clean_text string, own {kind}")
+    done = data.mapInArrow(tidy(run), f"n_assign long, n_access long, n_hex long, n_measured long, n_novel long, base_sha256 string, spans string, clean_text string, own {kind}")
     return done.select("own.*", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_measured", "n_novel", *(["clean_text"] if clean else []))

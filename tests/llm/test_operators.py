@@ -546,3 +546,51 @@ def test_secrets_outside_the_fixed_patterns():
     assert found >= 15
     text = "key " * 20_000 + drawn(30, both)  # many contexts in a long text
     assert [(a, b) for a, _, b in secrets.scan(text, measure)[1]] == [(80_000, 80_030)]
+
+
+def test_every_language_can_be_learned(spark):
+    """More languages than any fixed number, repeated ids with other texts, words longer than a piece."""
+    codes = [chr(0x4E00 + 40 * i) for i in range(70)]
+    rows = [(1, f"{c * 3} {c}{c} " * 3, f"l{i:02d}", "s", 1, "clash", 0.5) for i, c in enumerate(codes)] + [(None, "nameless words", "zz", "s", 1, "clash", 0.5), (2, None, "l00", "s", 1, "clash", 0.5), (3, "no label", None, "s", 1, "clash", 0.5)]
+    df = spark.createDataFrame(rows, DOCS)
+    net = language_id.learn(df, steps=5)
+    assert net.langs == [*(f"l{i:02d}" for i in range(70)), "zz"]
+    assert language_id.cut(b"x" * 70) == [b"x" * 32, b"x" * 32, b"x" * 6]
+    got = language_id.languages(df.limit(0), net)
+    assert got.count() == 0 and {r.lang_pred for r in language_id.languages(docs_of(spark, [(1, None), (2, ""), (3, "12 !")]), net).collect()} == {"und"}
+    assert len(language_id.languages(docs_of(spark, [(1, "word " * 100_000)]), net).collect()) == 1
+
+
+def test_language_sample_is_bounded(spark):
+    """One id a thousand times over teaches no more than ``max_train`` of its texts."""
+    df = spark.range(1000).selectExpr("1L AS doc_id", "concat('word', id) AS text", "'en' AS lang")
+    seen = set()
+    fresh = language_id.Network.train
+    try:
+        language_id.Network.train = lambda self, words, *rest: seen.update(words)
+        language_id.learn(df, max_train=20)
+    finally:
+        language_id.Network.train = fresh
+    assert 0 < len(seen) <= 20
+
+
+def test_toxicity_terms_and_exceptions_without_caps(spark):
+    """Exceptions behind more than 500 terms, hits against exceptions as by trying each pair, repeated ids, an empty table."""
+    terms = [f"bad{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)]
+    texts = [(i, " ".join(terms)) for i in range(20)] + [(100 + i, f"{terms[-1]} harmless words" if i < 6 else "fine") for i in range(200)] + [(100, f"{terms[-1]} harmless")] * 3
+    df = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1 if i < 100 else 0) for i in {i for i, _ in texts}], "doc_id long, toxic int")
+    model = toxicity.learn(df, labels, least=5)
+    assert len(model.words) >= 599 and any("harmiess" in e or "harmless" in e for e in model.exceptions)
+    assert toxicity.training_rows(df, labels, F.lit(True), 1000).count() == 220
+    r = random.Random(4)
+    tried = toxicity.Model({w: 1.0 for w in ("aa", "bb", "cc")}, {}, ("aa bb", "bb cc aa", "cc"))
+    found = toxicity.machine(tried)
+    for _ in range(50):
+        text = " ".join(r.choice(["aa", "bb", "cc", "dd"]) for _ in range(30))
+        spared = [(a, a + len(e)) for e in tried.exceptions for a in range(len(text)) if text.startswith(e, a) and (a == 0 or text[a - 1] == " ") and (a + len(e) == len(text) or text[a + len(e)] == " ")]
+        want = [(m.start(), m.end(), 1.0) for m in re.finditer("aa|bb|cc", text) if not any(a <= m.start() and m.end() <= b for a, b in spared)]
+        assert toxicity.hits(text, found) == want
+    assert toxicity.toxic_scores(df.limit(0), model).count() == 0 and toxicity.toxic_scores(docs_of(spark, [(1, None), (2, "word " * 200_000), (None, "")]), model).count() == 3
+    assert bpe.token_digests(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert {r.n_tokens for r in bpe.token_digests(docs_of(spark, [(1, None), (None, "")]), public_tokenizers.path("byte_bpe_50k.json")).collect()} == {0}
