@@ -581,7 +581,7 @@ def test_toxicity_terms_and_exceptions_without_caps(spark):
     df = docs_of(spark, texts)
     labels = spark.createDataFrame([(i, 1 if i < 100 else 0) for i in {i for i, _ in texts}], "doc_id long, toxic int")
     model = toxicity.learn(df, labels, least=5)
-    assert len(model.words) >= 599 and any("harmiess" in e or "harmless" in e for e in model.exceptions)
+    assert len(model.words) >= 550 and any("harmiess" in e or "harmless" in e for e in model.exceptions)
     assert toxicity.training_rows(df, labels, F.lit(True), 1000).count() == 220
     r = random.Random(4)
     tried = toxicity.Model({w: 1.0 for w in ("aa", "bb", "cc")}, {}, ("aa bb", "bb cc aa", "cc"))
