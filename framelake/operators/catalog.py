@@ -98,3 +98,35 @@ def kept_by_recency(accesses: DataFrame, keys: list[str], entry: str, order: str
     last = accesses.groupBy(*keys, entry).agg(F.max(order).alias("last"), F.max_by(size, order).alias("size"))
     used = F.sum("size").over(Window.partitionBy(*keys).orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, 0))
     return last.withColumn("kept", used <= capacity)
+
+
+def deleted(copies: DataFrame, wanted: Column) -> DataFrame:
+    """copies (is_default, in_trash) with what deleting those that are ``wanted`` gives: kept, deleted, already, or default, which is refused."""
+    out = F.when(~F.coalesce(wanted, F.lit(False)), "kept").when(F.col("is_default"), "default").when(F.col("in_trash"), "already").otherwise("deleted")
+    return copies.withColumns({"outcome": out, "in_trash": F.col("in_trash") | (out == "deleted")})
+
+
+def duplicated(copies: DataFrame, key: str, name: str) -> DataFrame:
+    """Each copy once more under its name with the least number that is free, and whether the source's name was unique."""
+    w = Window.partitionBy(key, name)
+    return copies.withColumns({"copy_name": F.concat(F.col(name), F.lit(" copy "), F.row_number().over(w.orderBy("id")).cast("string")), "unique": F.count(F.lit(1)).over(w) == 1})
+
+
+def attempts(tries: DataFrame, key: str, order: list[str], ok: Column, retries: int) -> DataFrame:
+    """How each job ends if it is tried up to ``retries`` times more: the first success, or failed after all; later tries never run."""
+    placed = tries.withColumns({"_n": F.row_number().over(Window.partitionBy(key).orderBy(*order)), "_ok": ok}).where(F.col("_n") <= retries + 1)
+    won = F.min(F.when(F.col("_ok"), F.col("_n")))
+    return placed.groupBy(key).agg(won.alias("won"), F.max("_n").alias("ran")).select(key, F.when(F.col("won").isNull(), "failed").otherwise("ok").alias("status"), F.coalesce("won", "ran").cast("int").alias("used"))
+
+
+def artifacts(actions: DataFrame, bundle: DataFrame) -> DataFrame:
+    """actions (id, checksum) against a bundle's records: missing, mismatch or ok."""
+    met = actions.join(bundle.select("id", F.col("checksum").alias("stored")), "id", "left")
+    return met.withColumn("status", F.when(F.col("stored").isNull(), "missing").when(F.col("stored") != F.col("checksum"), "mismatch").otherwise("ok")).drop("stored")
+
+
+def reused(analyses: DataFrame, saved: DataFrame) -> DataFrame:
+    """analyses (image_id, fingerprint, value) with the saved value where its fingerprint is the same, and whether it was reused."""
+    met = analyses.join(saved.select("image_id", F.col("fingerprint").alias("f"), F.col("value").alias("v")), "image_id", "left")
+    same = F.coalesce(F.col("f") == F.col("fingerprint"), F.lit(False))
+    return met.select("image_id", F.when(same, F.col("v")).otherwise(F.col("value")).alias("value"), same.alias("reused"))

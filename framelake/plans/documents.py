@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import luminance
-from ..operators import mask_graph, recipes
+from ..operators import catalog, mask_graph, recipes
 from ..sources.frames import SIDE, carrier_frames, grid, table
 from .queries import KEY, KEY_SQL, ORACLE, PX, QUERIES, grid_sql, plane, register, rounded
 
@@ -339,3 +339,73 @@ def tile_checksums(spark: SparkSession, d: str) -> DataFrame:
     px = carrier_frames(spark, d)
     tiles = px.groupBy("image_id", F.floor(F.col("x") / 4).alias("tx"), F.floor(F.col("y") / 4).alias("ty")).agg(F.array_sort(F.collect_list(F.struct("y", "x", F.concat_ws(",", "r", "g", "b").alias("p")))).alias("p"))  # sixteen entries
     return tiles.select("image_id", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), F.sha2(F.array_join(F.transform("p", lambda v: v["p"]), ";"), 256).alias("checksum"))
+
+
+COPIES = "SELECT user_id, event_id AS id, event_type AS name, event_id = min(event_id) OVER (PARTITION BY user_id) AS is_default, event_id % 5 = 0 AS in_trash FROM events"
+
+
+def user_copies(spark: SparkSession, d: str) -> DataFrame:
+    first = F.min("event_id").over(Window.partitionBy("user_id"))
+    return table(spark, d, "events").select("user_id", F.col("event_id").alias("id"), F.col("event_type").alias("name"), (F.col("event_id") == first).alias("is_default"), (F.col("event_id") % 5 == 0).alias("in_trash"))
+
+
+@register(f"WITH c AS ({COPIES}), o AS (SELECT id, in_trash, CASE WHEN id % 3 <> 0 THEN 'kept' WHEN is_default THEN 'default' WHEN in_trash THEN 'already' ELSE 'deleted' END AS outcome FROM c) SELECT id, outcome, in_trash OR outcome = 'deleted' AS in_trash FROM o")
+def copy_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Every third copy is to go to the trash; a default one stays."""
+    return catalog.deleted(user_copies(spark, d), F.col("id") % 3 == 0).select("id", "outcome", "in_trash")
+
+
+@register(f"WITH c AS ({COPIES}) SELECT id, name || ' copy ' || row_number() OVER (PARTITION BY user_id, name ORDER BY id) AS copy_name, count(*) OVER (PARTITION BY user_id, name) = 1 AS \"unique\" FROM c")
+def copy_duplicate(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.duplicated(user_copies(spark, d), "user_id", "name").select("id", "copy_name", "unique")
+
+
+@register("""WITH t AS (SELECT user_id, value > 40 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), p AS (SELECT * FROM t WHERE n <= 3)
+SELECT user_id, CASE WHEN min(n) FILTER (WHERE ok) IS NULL THEN 'failed' ELSE 'ok' END AS status, CAST(coalesce(min(n) FILTER (WHERE ok), max(n)) AS INTEGER) AS used FROM p GROUP BY user_id""")
+def batch_retry(spark: SparkSession, d: str) -> DataFrame:
+    """Two retries for each job."""
+    return catalog.attempts(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("value") > 40, 2)
+
+
+@register("SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.c <> d.n_chars % 2 THEN 'mismatch' ELSE 'ok' END AS status FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS c FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id")
+def artifact_checks(spark: SparkSession, d: str) -> DataFrame:
+    bundle = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("checksum"))
+    return catalog.artifacts(table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 2).alias("checksum")), bundle).select("id", "status")
+
+
+@register("WITH s AS (SELECT user_id, max(event_id) AS f, max_by(value, event_id) AS v FROM events GROUP BY 1), a AS (SELECT user_id, max(event_id) - user_id % 2 AS f, sum(event_id)::DOUBLE AS v FROM events GROUP BY 1) SELECT a.user_id AS image_id, round(CASE WHEN a.f = s.f THEN s.v ELSE a.v END, 6) AS value, a.f = s.f AS reused FROM a JOIN s USING (user_id)")
+def auto_tone_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """A saved analysis serves as long as its fingerprint is the present one."""
+    e = table(spark, d, "events").withColumnRenamed("user_id", "image_id")
+    saved = e.groupBy("image_id").agg(F.max("event_id").alias("fingerprint"), F.max_by("value", "event_id").alias("value"))
+    now = e.groupBy("image_id").agg((F.max("event_id") - F.col("image_id") % 2).alias("fingerprint"), F.sum("event_id").cast("double").alias("value"))
+    return rounded(catalog.reused(now, saved))
+
+
+@register("SELECT doc_id, CAST(pos AS INTEGER) AS pos, (n_chars + pos * 7) % 65536 AS value FROM (SELECT doc_id, n_chars, unnest(range(doc_id % 4 + 1)) AS pos FROM documents)")
+def region_source(spark: SparkSession, d: str) -> DataFrame:
+    """A region's values as a JSON array: parsed, then one row for each value with its place."""
+    text = F.to_json(F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 4), lambda i: (F.col("n_chars") + i * 7) % 65536))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.from_json(text, "array<long>")).alias("pos", "value"))
+
+
+@register(f"WITH {USER_SQL} SELECT user_id, key, round(value, 6) AS value FROM r WHERE key IN ('exposure', 'contrast')")
+def preset_source(spark: SparkSession, d: str) -> DataFrame:
+    """Recipes as JSON files would hold them: written, parsed and cut down to a preset's keys."""
+    text = F.to_json(F.create_map(F.lit("adjustments"), F.col("adjustments")))
+    parsed = F.from_json(text, "adjustments map<string,double>")["adjustments"]
+    return rounded(user_recipes(spark, d).select("user_id", F.explode(F.map_filter(parsed, lambda k, _: k.isin("exposure", "contrast"))).alias("key", "value")))
+
+
+@register("SELECT doc_id, to_json({'id': doc_id, 'status': CASE WHEN n_chars % 5 = 0 THEN 'failed' ELSE 'ok' END, 'size': n_chars})::VARCHAR AS result FROM documents")
+def result_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON object a document, as a batch reports them."""
+    status = F.when(F.col("n_chars") % 5 == 0, "failed").otherwise("ok")
+    return table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), status.alias("status"), F.col("n_chars").alias("size"))).alias("result"))
+
+
+@register("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'Pending' ELSE 'Valid' END AS status FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def masks_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Masks whose artifact is missing wait for inference."""
+    have = table(spark, d, "labels").select("doc_id", F.lit(True).alias("have")).distinct()
+    return table(spark, d, "documents").join(have, "doc_id", "left").select("doc_id", F.when(F.col("have").isNull(), "Pending").otherwise("Valid").alias("status"))
