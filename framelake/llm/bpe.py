@@ -14,7 +14,7 @@ read on each worker.
 
 Cases: null texts count as empty (no tokens); strings of special tokens in a text give
 that token's id, as the library's encoder does; repeated rows and long
-texts need nothing special; an empty table gives an empty result.
+texts need nothing special; null ids are kept; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations

@@ -32,8 +32,9 @@ or if they cannot be similar. Texts of equal sets are one node from the start. O
 written; the sets of texts that take part in a proposed pair are made again from the texts.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; a text
-with fewer words than a shingle is one shingle; repeated rows and
-texts share fingerprint and component; an empty table gives an empty result.
+with fewer words than a shingle is one shingle; a text of any length is read whole; repeated rows and
+texts share fingerprint and component; null ids are kept, and a component of null ids alone has a null component_id;
+an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
