@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Extensions that the image scan takes (fixed values).
 SCANNED = ["png", "jpg", "jpeg", "webp", "arw", "cr2", "cr3", "dng", "nef"]
 #: Least and greatest value of each scalar adjustment.
@@ -52,7 +54,8 @@ def carried(rows: DataFrame, key: str, order: list[str], value: str, into: str)
     Rows are sorted over the cluster by key and order, so a key with very many rows spans partitions; what each
     partition hands on (its last value of the key that it ends with) is one row a partition.
     """
-    placed = rows.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id())
+    # written, so that a row's partition is the same in each of its uses
+    placed = written(rows.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumn(into, F.last(value, ignorenulls=True).over(within))
     ends = placed.where(F.col(value).isNotNull()).groupBy("part", key).agg(F.max_by(value, F.struct(*order)).alias("end"))
