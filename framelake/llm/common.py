@@ -18,6 +18,15 @@ ASCII_LOWER = ASCII_UPPER.lower()
 LOWER_BYTES = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send texts to Python in batches of 8 MB, unless the session has a bound of its own (Spark's is 64 MB, several times over in each task)."""
+    if spark.conf.get(BATCH_BYTES, str(64 << 20)).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
