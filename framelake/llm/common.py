@@ -79,8 +79,8 @@ SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWERED = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words (as ``words_of`` gives them) of an array of texts in UTF-8 without nulls, and how many each text has."""
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words (as ``words_of`` gives them; unchanged unless ``lower``) of an array of texts in UTF-8 without nulls, and how many each text has."""
     places = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[places[0] : places[-1]]
     places = places - places[0]
@@ -91,7 +91,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     starts = np.flatnonzero(inside & opening[:-1])
     ends = np.flatnonzero(inside & (opening[1:] | np.append(~inside[1:], True))) + 1
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWERED[raw[inside]])])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWERED[raw[inside]] if lower else raw[inside])])
     return words, np.diff(np.searchsorted(starts, places))
 
 

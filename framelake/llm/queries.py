@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, media, packing, secrets, simhash, suffix_tree, top_k, toxicity, url_filters
-from .common import crc32_mod, literal_rows, table
+from . import bpe, centroids, language_id, media, merkle, packing, secrets, simhash, substrings, suffix_tree, top_k, toxicity, url_filters
+from .common import ASCII_LOWER, ASCII_UPPER, crc32_mod, literal_rows, table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -63,7 +63,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_exact_top_k, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_simhash_near_dedup, op8_lm_scoring, op9_secret_scans, op10_bpe)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.translate("text", ASCII_UPPER, ASCII_LOWER)
+    changed = merkle.leaf_digest(*[F.col(c) for c in fields[:-1]], F.when(crc32_mod("doc_id", 5) == 0, tampered).otherwise(F.col("text")))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), fields=fields, tree="source", order="doc_id", keep={"now": changed})
+    found = found.withColumns({"proof_sha256": merkle.siblings_digest(F.col("proof")), "folded_root": merkle.folded(F.col("now"), F.col("proof"))})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres = centroids.clustered(table(spark, sf_dir, "embeddings"), 8, dims=64)
+    return centroids.with_inertia(found.drop("place"), centres)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_exact_top_k, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_simhash_near_dedup, op8_lm_scoring, op9_secret_scans, op10_bpe, op11_merkle_manifest, op12_centroid_clustering, op13_substring_dedup)}
 
 ORACLE: dict[str, str] = {
     "op1_url_filters": r"""
