@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, language_id, media, merkle, packing, secrets, simhash, substrings, suffix_tree, top_k, toxicity, url_filters
+from . import bpe, centroids, language_id, media, merkle, oracle, packing, secrets, simhash, substrings, suffix_tree, top_k, toxicity, url_filters
 from .common import ASCII_LOWER, ASCII_UPPER, crc32_mod, literal_rows, table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -106,4 +106,7 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5""",
+    "op11_merkle_manifest": oracle.merkle_sql(),
+    "op12_centroid_clustering": oracle.clustering_sql(),
+    "op13_substring_dedup": oracle.substring_sql(),
 }
