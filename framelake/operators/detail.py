@@ -1,7 +1,8 @@
 """Detail: noise reduction, sharpening, texture and clarity, mattes' edges, dither and quantisation.
 
-Neighbourhoods are windows within a frame after one exchange by frame; edges replicate. Nothing
-leaves the JVM but the dither's random bits, which depend on the pixel's place alone.
+Denoising and sharpening run on tiles with halos (``sources.tiles``): numpy convolutions in Arrow batches, linear in the
+frame's size however it is shaped; edges replicate. Texture and clarity are windows within a frame. The dither's random bits
+depend on the pixel's place alone.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.color import clamp, to_byte
+from ..functions.color import clamp
+from ..sources.shared import written
+from ..sources.tiles import SIDE, haloed, kernel, pixels_of, stacks, tiles_of
 from .masks import inverted, with_density
 from .neighbourhood import box_blur
 
@@ -28,41 +31,49 @@ def column() -> WindowSpec:
     return Window.partitionBy("image_id", "x").orderBy("y")
 
 
-def luma() -> Column:
-    """Rec.709 luminance, 0..255."""
-    return F.lit(0.2126) * F.col("r") + F.lit(0.7152) * F.col("g") + F.lit(0.0722) * F.col("b")
+def rounded_bytes(v: np.ndarray) -> np.ndarray:
+    """Half away from zero, then 0..255."""
+    return np.clip(np.copysign(np.floor(np.abs(v) + 0.5), v), 0.0, 255.0)
 
 
-def along(value: str, window: WindowSpec, reach: int) -> list[Column]:
-    """The values ``reach`` places before to ``reach`` behind, the edge's repeated."""
-    first, last = F.first(value).over(window.rowsBetween(Window.unboundedPreceding, 0)), F.last(value).over(window.rowsBetween(0, Window.unboundedFollowing))
-    at = lambda k: F.col(value) if not k else F.coalesce(F.lag(value, -k).over(window), first) if k < 0 else F.coalesce(F.lead(value, k).over(window), last)
-    return [at(k) for k in range(-reach, reach + 1)]
+def light(samples: np.ndarray) -> np.ndarray:
+    """Rec.709 luminance, 0..255, of stacks (rows, channels, height, width)."""
+    return 0.2126 * samples[:, 0] + 0.7152 * samples[:, 1] + 0.0722 * samples[:, 2]
 
 
-def total(values: list[Column]) -> Column:
-    """Left to right, so that sums are the same on every run."""
-    out = values[0]
-    for v in values[1:]:
-        out = out + v
-    return out
+def denoised_tiles(tiles: DataFrame, luminance: float, color: float, side: int = SIDE) -> DataFrame:
+    """``denoised`` on tiles: one halo exchange of two samples."""
+
+    def run(samples: np.ndarray) -> np.ndarray:
+        v = samples.astype(np.float64)
+        l, r, b = light(v), v[:, 0], v[:, 2]  # noqa: E741
+        h, w = l.shape[1] - 4, l.shape[2] - 4
+        own = l[:, 2 : 2 + h, 2 : 2 + w]
+        top, below, red, blue, flat = (np.zeros_like(own) for _ in range(5))
+        for j in range(5):
+            for i in range(5):
+                at = np.s_[:, j : j + h, i : i + w]
+                d2, y = (i - 2) ** 2 + (j - 2) ** 2, l[at]
+                weight = math.exp(-d2 / 4.5) * np.exp(-((own - y) * (own - y)) / (2.0 * 0.12 * 255.0 * 0.12 * 255.0))
+                top += weight * y
+                below += weight
+                share = math.exp(-d2 / 8.0)
+                red += share * (r[at] - y)
+                blue += share * (b[at] - y)
+                flat += share
+        y = own * (1.0 - luminance) + top / below * luminance
+        mine = v[:, :, 2 : 2 + h, 2 : 2 + w]
+        tinted = lambda k, chroma: y + ((mine[:, k] - own) * (1.0 - color) + chroma / flat * color)
+        return np.stack([rounded_bytes(c) for c in (tinted(0, red), y + (mine[:, 1] - own), tinted(2, blue))], axis=1)
+
+    return kernel(haloed(tiles, 2, side=side), 2, run, side=side)
 
 
 def denoised(px: DataFrame, luminance: float, color: float) -> DataFrame:
     """A 5 x 5 bilateral filter on luminance (sigmas 1.5 places and 0.12 of the range), a Gaussian (2 places) on red's and blue's distance from it; green keeps its own."""
     if not luminance and not color:
         return px
-    out = px.repartition("image_id").withColumn("l", luma()).withColumn("near", F.struct("l", "r", "b"))
-    out = out.withColumn("row", F.array(*along("near", row(), 2)))
-    out = out.withColumn("square", F.array(*along("row", column(), 2)))
-    cells = [(F.col("square")[j][i], (i - 2) ** 2 + (j - 2) ** 2) for j in range(5) for i in range(5)]
-    weight = lambda d2, y: math.exp(-d2 / 4.5) * F.exp(-((F.col("l") - y) * (F.col("l") - y)) / F.lit(2.0 * 0.12 * 255.0 * 0.12 * 255.0))
-    flat = [math.exp(-d2 / 8.0) for _, d2 in cells]
-    smooth = total([weight(d2, c["l"]) * c["l"] for c, d2 in cells]) / total([weight(d2, c["l"]) for c, d2 in cells])
-    chroma = lambda k: total([w * (c[k] - c["l"]) for w, (c, _) in zip(flat, cells)]) / sum(flat)
-    y = F.col("l") * (1.0 - luminance) + smooth * luminance
-    tinted = lambda k: y + ((F.col(k) - F.col("l")) * (1.0 - color) + chroma(k) * color)
-    return out.select("image_id", "x", "y", to_byte(tinted("r")).alias("r"), to_byte(y + (F.col("g") - F.col("l"))).alias("g"), to_byte(tinted("b")).alias("b"))
+    return pixels_of(denoised_tiles(tiles_of(px), luminance, color))
 
 
 def gaussian(sigma: float) -> list[float]:
@@ -71,28 +82,67 @@ def gaussian(sigma: float) -> list[float]:
     return [v / sum(kernel) for v in kernel]
 
 
-def blurred(plane: DataFrame, value: str, into: str, sigma: float) -> DataFrame:
-    """Separable Gaussian with a support of three sigmas."""
-    kernel = gaussian(sigma)
-    pass_ = lambda v, w: total([k * c for k, c in zip(kernel, along(v, w, len(kernel) // 2))])
-    return plane.withColumn("_pass", pass_(value, row())).withColumn(into, pass_("_pass", column())).drop("_pass")
+def blurred(plane: np.ndarray, weights: list[float], reach: int) -> np.ndarray:
+    """Rows, then columns of (rows, height, width) with a halo of ``reach``; the halo goes."""
+    n = len(weights) // 2
+    h, w = plane.shape[1] - 2 * reach, plane.shape[2] - 2 * reach
+    across = sum(c * plane[:, reach - n : reach + n + h, reach - n + k : reach - n + k + w] for k, c in enumerate(weights))
+    return sum(c * across[:, k : k + h] for k, c in enumerate(weights))
+
+
+def edges(l: np.ndarray, reach: int) -> np.ndarray:  # noqa: E741
+    """Sum of the differences of a sample's neighbours across and down."""
+    h, w = l.shape[1] - 2 * reach, l.shape[2] - 2 * reach
+    at = lambda dy, dx: l[:, reach + dy : reach + dy + h, reach + dx : reach + dx + w]
+    return np.abs(at(0, 1) - at(0, -1)) + np.abs(at(1, 0) - at(-1, 0))
+
+
+def strongest_edges(halo: DataFrame, reach: int) -> DataFrame:
+    """(image_id, strongest): the frame's largest edge, from haloed tiles; one row a tile is aggregated."""
+    kind = halo.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = np.zeros(batch.num_rows)
+            for rows, samples in stacks(batch, ("r", "g", "b"), reach):
+                most[rows] = edges(light(samples.astype(np.float64)), reach).max(axis=(1, 2))
+            yield pa.RecordBatch.from_arrays([batch["image_id"], pa.array(most)], ["image_id", "strongest"])
+
+    return halo.mapInArrow(run, f"image_id {kind}, strongest double").groupBy("image_id").agg(F.max("strongest").alias("strongest"))
+
+
+def sharpened_tiles(tiles: DataFrame, amount: float, radius: float, detail: float, masking: float, scale: float = 1.0, side: int = SIDE) -> DataFrame:
+    """``sharpened`` on tiles: one halo exchange, and the frame's strongest edge where ``masking`` asks for it."""
+    fine, coarse = (gaussian(max(max(radius * share, 0.5) * scale, 0.5)) for share in (0.5, 1.5))
+    reach = max(len(fine), len(coarse)) // 2
+    halo = haloed(tiles, reach, side=side)
+
+    def run(samples: np.ndarray, strongest: np.ndarray | None = None) -> np.ndarray:
+        v = samples.astype(np.float64)
+        l = light(v)  # noqa: E741
+        h, w = l.shape[1] - 2 * reach, l.shape[2] - 2 * reach
+        inside = np.s_[..., reach : reach + h, reach : reach + w]
+        own = l[inside]
+        gone = detail * (own - blurred(l, fine, reach)) + (1.0 - detail) * (own - blurred(l, coarse, reach))
+        share = np.float64(1.0 - masking)
+        if strongest is not None:
+            most = strongest[:, None, None]
+            share = share + masking * np.where(most > 0, edges(l, reach) / np.where(most > 0, most, 1.0), 0.0)
+        lit = np.clip(own + amount * share * gone, 0.0, 255.0)
+        ratio = np.where(own > 1e-6, lit / np.where(own > 1e-6, own, 1.0), 0.0)
+        return rounded_bytes(v[inside] * ratio[:, None])
+
+    if not masking:
+        return kernel(halo, reach, run, side=side)
+    halo = written(halo)  # read twice
+    return kernel(halo.join(strongest_edges(halo, reach), "image_id"), reach, run, side=side, extra=("strongest",))
 
 
 def sharpened(px: DataFrame, amount: float, radius: float, detail: float, masking: float, scale: float = 1.0) -> DataFrame:
     """Adds what a fine and a coarse blur take away, less where ``masking`` finds no edge; colours keep their ratios."""
     if not amount:
         return px
-    sigma = lambda share: max(max(radius * share, 0.5) * scale, 0.5)
-    out = px.repartition("image_id").withColumn("l", luma())
-    out = blurred(blurred(out, "l", "fine", sigma(0.5)), "l", "coarse", sigma(1.5))
-    across, down = along("l", row(), 1), along("l", column(), 1)
-    out = out.withColumn("edge", F.abs(across[2] - across[0]) + F.abs(down[2] - down[0]))
-    strongest = F.max("edge").over(Window.partitionBy("image_id"))
-    out = out.withColumn("edge", F.when(strongest > 0, F.col("edge") / strongest).otherwise(0.0))
-    gone = detail * (F.col("l") - F.col("fine")) + (1.0 - detail) * (F.col("l") - F.col("coarse"))
-    light = clamp(F.col("l") + amount * ((1.0 - masking) + masking * F.col("edge")) * gone, 0.0, 255.0)
-    ratio = F.when(F.col("l") > 1e-6, light / F.col("l")).otherwise(0.0)
-    return out.select("image_id", "x", "y", *[to_byte(F.col(c) * ratio).alias(c) for c in "rgb"])
+    return pixels_of(sharpened_tiles(tiles_of(px), amount, radius, detail, masking, scale))
 
 
 def presence(px: DataFrame, texture: float, clarity: float) -> DataFrame:
