@@ -1,6 +1,6 @@
 """All registered queries and their SQL; importing the modules registers them."""
 
-from . import documents, raster
+from . import documents, raster, relations
 from .queries import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "raster"]
+__all__ = ["ORACLE", "QUERIES", "documents", "raster", "relations"]

@@ -120,13 +120,6 @@ def develop_upsert(spark: SparkSession, d: str) -> DataFrame:
 # masks
 
 NODES = [("s1", "source", []), ("s2", "source", []), ("s3", "source", []), ("u", "union", ["s1", "s2"]), ("i", "intersect", ["u", "s3"]), ("n", "invert", ["i"]), ("m", "subtract", ["u", "n"])]
-BROKEN = [("x1", "union", ["s1"]), ("x2", "invert", ["nowhere"]), ("x3", "invert", ["x4"]), ("x4", "union", ["x3", "s1"]), ("x5", "blend", ["s1"]), ("x6", "invert", ["x3"]), ("x7", "subtract", ["s1", "s2", "s3"])]
-CHAIN = [("c0", "source", [])] + [(f"c{i}", "invert", [f"c{i - 1}"]) for i in range(1, 30)]
-
-
-def nodes_of(spark: SparkSession, nodes: list) -> DataFrame:
-    rows = ", ".join(f"('{i}', '{op}', {'array(' + ', '.join(map(repr, refs)) + ')' if refs else 'CAST(array() AS ARRAY<STRING>)'})" for i, op, refs in nodes)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, op, refs)")
 
 
 @register(f"""{PX}, v AS (SELECT image_id, x, y, greatest(r, g) * 257 AS u, 65535 - least(greatest(r, g), b) * 257 AS n FROM px)
@@ -136,33 +129,6 @@ def mask_dag(spark: SparkSession, d: str) -> DataFrame:
     return mask_graph.evaluated({i: (op, refs) for i, op, refs in NODES}, {f"s{k + 1}": plane(px, c) for k, c in enumerate("rgb")}, "m")
 
 
-EDGES = ", ".join(f"('{i}', '{r}')" for i, _, refs in [*NODES, *BROKEN, *CHAIN] for r in refs)
-TYPED = ", ".join(f"('{i}', '{op}', {len(refs)})" for i, op, refs in [*NODES, *BROKEN, *CHAIN])
-
-
-@register(f"""WITH RECURSIVE n(id, op, k) AS (VALUES {TYPED}), e(src, dst) AS (VALUES {EDGES}), r(src, dst) AS (SELECT * FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
-SELECT id, CASE WHEN op NOT IN ('source', 'union', 'intersect', 'subtract', 'invert') THEN 'unknown_operation' WHEN op = 'source' AND k <> 0 OR op IN ('union', 'intersect') AND k < 2 OR op = 'subtract' AND k <> 2 OR op = 'invert' AND k <> 1 THEN 'arity'
-WHEN EXISTS (SELECT 1 FROM e WHERE src = id AND dst NOT IN (SELECT id FROM n)) THEN 'dangling' WHEN EXISTS (SELECT 1 FROM r WHERE src = id AND dst = id) THEN 'cycle' END AS error FROM n""")
-def mask_definition_errors(spark: SparkSession, d: str) -> DataFrame:
-    return mask_graph.definition_errors(nodes_of(spark, [*NODES, *BROKEN, *CHAIN])).select("id", "error")
-
-
-VALID = "id NOT IN ('s3', 'x5')"
-
-
-@register(f"""WITH RECURSIVE n(id, op, k) AS (VALUES {TYPED}), e(src, dst) AS (VALUES {EDGES}), r(src, dst) AS (SELECT * FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
-bad AS (SELECT dst AS id FROM e WHERE dst NOT IN (SELECT id FROM n) UNION SELECT id FROM n WHERE k = 0 AND NOT ({VALID}) UNION SELECT src FROM r WHERE src = dst)
-SELECT id, id NOT IN (SELECT id FROM bad) AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = n.id AND r.dst IN (SELECT id FROM bad)) AS blessed FROM n""")
-def mask_blessing(spark: SparkSession, d: str) -> DataFrame:
-    return mask_graph.blessed(nodes_of(spark, [*NODES, *BROKEN, *CHAIN]).withColumn("valid", F.expr(VALID)))
-
-
-@register(f"WITH RECURSIVE e(src, dst) AS (VALUES {EDGES}), r(src, dst) AS (SELECT * FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
-def mask_reachability(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nodes_of(spark, [*NODES, *BROKEN, *CHAIN])
-    return mask_graph.reached(nodes.select(F.col("id").alias("src"), F.explode("refs").alias("dst")))
-
-
 ALPHA = "CAST(round(greatest(0, least(1, {})) * 65535) AS INTEGER)"
 
 

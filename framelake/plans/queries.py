@@ -280,46 +280,12 @@ def grid_sql(w: int, h: int, value: str) -> str:
     return f"WITH g AS (SELECT CAST(i % {w} AS INTEGER) AS x, CAST(i // {w} AS INTEGER) AS y, (i % {w} + 0.5::DOUBLE) / {w} AS nx, (i // {w} + 0.5::DOUBLE) / {h} AS ny FROM range({w * h}) t(i)) SELECT x, y, {value} AS v FROM g"
 
 
-@register(grid_sql(4, 4, "CASE WHEN x BETWEEN 1 AND 2 AND y BETWEEN 1 AND 2 THEN 65535 ELSE 0 END"))
-def prompt_box(spark: SparkSession, d: str) -> DataFrame:
-    return masks.box(grid(spark, 4, 4), 4, 4, 0.25, 0.25, 0.5, 0.5)
-
-
-@register(grid_sql(16, 16, "CASE WHEN pow((nx - 0.5) / 0.4, 2) + pow((ny - 0.5) / 0.4, 2) <= 1 THEN 65535 ELSE 0 END"))
-def prompt_ellipse(spark: SparkSession, d: str) -> DataFrame:
-    return masks.ellipse(grid(spark, 16, 16), 16, 16, 0.5, 0.5, 0.4, 0.4)
-
-
-@register(grid_sql(10, 10, "CASE WHEN nx > 0.5::DOUBLE - ny / 2 AND nx < 0.5::DOUBLE + ny / 2 THEN 65535 ELSE 0 END"))
-def prompt_polygon(spark: SparkSession, d: str) -> DataFrame:
-    return masks.polygon(grid(spark, 10, 10), 10, 10, [(0.0, 1.0), (1.0, 1.0), (0.5, 0.0)])
-
-
-@register(grid_sql(8, 2, "CAST(floor(x / 7.0::DOUBLE * 65535 + 0.5) AS INTEGER)"))
-def prompt_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return masks.linear_gradient(grid(spark, 8, 2), 8, 2, 0.0, 0.0, 1.0)
-
-
-@register(grid_sql(32, 32, "CASE WHEN pow(nx - 0.2, 2) + pow(ny - 0.5, 2) <= 0.04 THEN 0 WHEN pow(nx - 0.5, 2) + pow(ny - 0.5, 2) <= 0.16 THEN 65535 ELSE 0 END"))
-def prompt_brush(spark: SparkSession, d: str) -> DataFrame:
-    return masks.brush(grid(spark, 32, 32), 32, 32, [(0.5, 0.5, 0.4, True), (0.2, 0.5, 0.2, False)])
-
-
 @register(f"{PX} SELECT image_id, x, y, " + ", ".join(f"CASE WHEN r * 257 >= 32768 THEN 255 - {c} ELSE {c} END AS {c}" for c in "rgb") + " FROM px")
 def source_action_composite(spark: SparkSession, d: str) -> DataFrame:
     px = carrier_frames(spark, d)
     return masks.composite(px, plane(px, "r"), px.select("image_id", "x", "y", *[(255 - F.col(c)).alias(c) for c in "rgb"]))
 
 
-EDGES = [("u", "a"), ("u", "b"), ("i", "u"), ("i", "n"), ("n", "a"), ("c", "d"), ("d", "e"), ("e", "c")]
-
-
-@register("WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(map(str, EDGES)) + "), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst, src = dst AS on_cycle FROM r")
-def mask_closure(spark: SparkSession, d: str) -> DataFrame:
-    edges = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, EDGES)) + " AS t(src, dst)")
-    return mask_graph.reached(edges).withColumn("on_cycle", F.col("src") == F.col("dst"))
-
-
 KEY = "element_at(array('exposure', 'contrast', 'temperature', 'sharpness'), CAST(event_id % 4 AS INT) + 1)"
 KEY_SQL = "(['exposure', 'contrast', 'temperature', 'sharpness'])[event_id % 4 + 1]"
 
