@@ -190,11 +190,10 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def learn(docs: DataFrame, *, usable: Column | None = None, max_train: int = 150, max_words: int = 40_000, hidden: int = 16, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network | None:
+def learn(docs: DataFrame, *, usable: Column | None = None, max_train: int = 150, hidden: int = 16, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network | None:
     """Fit a network to text and lang of usable rows; None if there are none.
 
-    At most ``max_train`` documents of each language (all languages that occur take part) and, from each, distinct words up to
-    ``max_words`` in all of a language. Documents are those whose hash of id and language is smallest, then of the text.
+    At most ``max_train`` documents of each language (all languages that occur take part), with all their words. Documents are those whose hash of id and language is smallest, then of the text.
     """
     rows = docs.where((F.lit(True) if usable is None else usable) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "lang").alias("h"))
     first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
@@ -210,8 +209,7 @@ def learn(docs: DataFrame, *, usable: Column | None = None, max_train: int = 150
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["lang", "word"])
 
     pairs = sample.select("text", "lang").mapInArrow(words, "lang string, word string").groupBy("lang", "word").count()
-    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("word"), "word"))).where(F.col("n") <= max_words)
-    rows = pairs.orderBy("lang", "n").toArrow()  # at most max_words for each language
+    rows = pairs.orderBy("lang", F.desc("count"), F.xxhash64("word"), "word").toArrow()  # the words of at most max_train documents of each language
     names = sorted(set(rows["lang"].to_pylist()))
     if not names:
         return None
@@ -225,7 +223,7 @@ def learn(docs: DataFrame, *, usable: Column | None = None, max_train: int = 150
     for i in range(len(names)):
         weight[of == i] /= weight[of == i].sum()
     r = np.random.default_rng(seed)
-    drawn = r.choice(len(spelled), size=min(200_000, 40 * len(spelled)), p=weight / weight.sum())
+    drawn = r.choice(len(spelled), size=steps * batch, p=weight / weight.sum())
     net.train([spelled[i] for i in drawn], of[drawn], steps, batch, rate, seed)
     return net
 

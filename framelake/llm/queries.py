@@ -33,15 +33,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = language_id.learn(docs, usable=crc32_mod("doc_id", 4) != 2)
-    rows = docs.select("doc_id", "text", (crc32_mod("doc_id", 4) == 2).alias("held_out"))
+    held_out = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
+    net = language_id.learn(docs, usable=~held_out)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     return language_id.languages(rows, net, keep=("doc_id", "held_out"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), usable=crc32_mod("doc_id", 3) != 1)
-    rows = docs.select("doc_id", "text", (crc32_mod("doc_id", 3) == 1).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     return toxicity.toxic_scores(rows, model, keep=("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -50,8 +51,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc32_mod("doc_id", 10) == 0).alias("held_out"))
-    corpus = suffix_tree.learn(docs, F.coalesce(~F.col("held_out"), F.lit(False)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc32_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
+    corpus = suffix_tree.learn(docs, ~F.col("held_out"))
     return suffix_tree.scores(docs, corpus, keep=("doc_id", "held_out")).withColumn("train_tokens", F.lit(corpus.total).cast("long"))
 
 

@@ -58,22 +58,20 @@ def usable(vector: Column) -> Column:
 def nra(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, bars: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
     """For each query row: its number, ids and scores of the block's best k (those that can reach its bar), and the share of the lists read."""
     n, dims = x.shape
-    if dims and float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dims >= EXACT:
-        for row, s in enumerate(q.astype(object) @ x.T.astype(object)):
-            yield row, *best(ids[ids != q_ids[row]], s[ids != q_ids[row]], k), 1.0
-        return
-    xf = x.astype(np.float64)
+    # sums that float64 cannot hold exactly are taken in whole numbers of any size
+    kind = object if dims and float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dims >= EXACT else np.float64
+    xf = x.astype(kind)
     lists = np.sort(xf, axis=0)
     rank = np.empty(x.shape, dtype=np.int32)
     np.put_along_axis(rank, np.argsort(xf, axis=0, kind="stable"), np.arange(n, dtype=np.int32)[:, None], axis=0)
     for start in range(0, len(q), TOGETHER):
         part = np.arange(start, min(start + TOGETHER, len(q)))
-        qf = q[part].astype(np.float64)
+        qf = q[part].astype(kind)
         qp, qn = np.maximum(qf, 0), np.minimum(qf, 0)
         least = np.full(len(part), -np.inf) if bars is None else bars[part]
         own = q_ids[part][:, None] == ids[None, :]
         waiting = np.arange(len(part))
-        for depth in DEPTHS if n > 4 * k and dims else ():
+        for depth in DEPTHS if n > k and dims else ():
             if not len(waiting):
                 break
             d = max(1, int(n * depth))
@@ -85,7 +83,7 @@ def nra(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int
             alive = (high >= bar[:, None]) & ~own[waiting]
             done = alive.sum(1) <= max(k, FEW * n)
             for row, mask in zip(waiting[done], alive[done]):
-                yield part[row], *best(ids[mask], x[mask] @ q[part[row]], k), depth
+                yield part[row], *best(ids[mask], xf[mask] @ qf[row], k), depth
             waiting = waiting[~done]
         if len(waiting):  # at the lists' end both bounds are the score
             for row, s in zip(waiting, qf[waiting] @ xf.T):

@@ -10,7 +10,7 @@ sum of weights, alone and per 1000 words, goes through a fitted logistic functio
 
 Lexicon, exceptions and function are learned from at most ``max_train``
 labelled rows (those whose hash of the id is smallest); term counts are a Spark
-aggregate, what reaches the driver is bounded by ``max_terms`` and ``max_train`` small rows.
+aggregate, what reaches the driver is bounded by the terms of ``max_train`` labelled rows.
 
 Cases: null and empty texts have no hits and the score of such texts; without both
 labels in the training rows ``DEFAULT_TERMS`` serve; repeated rows get equal scores, and of
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import saved, tidy
 
 #: Homoglyphs (Cyrillic, Greek, Armenian, Latin) and digit substitutions, each with the plain letter it is read as.
 FOLD = dict(zip("0134578" "аеорсухіјѕԁһ" "вкмнтԛԝӏүԍ" "αοεικνρτυ" "βηχγω" "օսհոցզ" "ıɑɡ" "l", "oieastb" "aeopcyxijsdh" "bkmhtqwiyg" "aoeiknptu" "bnxyw" "ouhngq" "iag" "i"))
@@ -153,46 +153,63 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, max_train:
     return known.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, max_train: int = 6000, max_terms: int = 4000, least: int = 5, exceptions: tuple[str, ...] = DEFAULT_EXCEPTIONS) -> Model:
-    """Fit a model. ``usable``: which rows of ``labels`` (doc_id, toxic) may be used."""
-    train = training_rows(docs, labels, F.lit(True) if usable is None else usable, max_train)
+FOLDS = 2
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for t, y in zip(batch["text"], batch["y"].to_pylist()):
-                words = WORDS.findall(folded(t.as_py()))
-                terms = set(words)
-                terms |= {f"{a} {b}" for a, b in zip(words, words[1:])} if y == 0 else set()
-                n[int(y == 1)].update(terms)
-                n[int(y == 1)][""] += 1
-        rows = [(t, y, c) for y in n for t, c in n[y].items()]
-        cols = list(zip(*rows)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["term", "y", "n"])
-
-    counts = train.mapInArrow(count, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0")).persist()
-    total = counts.where("term = ''").first()
+
+def lexicon(counts: DataFrame, folds: tuple[int, ...], least: int, exceptions: tuple[str, ...]) -> Model | None:
+    """The terms that ``counts`` (term, y, fold, n) of these folds give; None if one of the classes is missing. The labelled rows bound their number."""
+    of = lambda y: F.sum(F.when((F.col("y") == 1) == bool(y), F.col("n")).otherwise(0))
+    some = counts.where(F.col("fold").isin(*folds)).groupBy("term").agg(of(1).alias("n1"), of(0).alias("n0"))
+    total = some.where("term = ''").first()
     if total is None or not total.n1 or not total.n0:
-        counts.unpersist()
-        return Model({folded(w): v for w, v in DEFAULT_TERMS.items()}, {}, exceptions)
+        return None
     weight = F.log((F.col("n1") + 0.5) / (total.n1 + 1)) - F.log((F.col("n0") + 0.5) / (total.n0 + 1))
-    single = counts.where("term != '' and instr(term, ' ') = 0")
-    toxic = single.withColumn("w", weight).where((F.col("n1") >= least) & (F.col("w") > 3.0)).orderBy(F.desc("n1"), "term").limit(max_terms)
-    words = toxic.collect()
+    single = some.where("term != '' and instr(term, ' ') = 0")
+    toxic = single.withColumn("w", weight).where((F.col("n1") >= least) & (F.col("w") > 3.0)).select("term", "w")
     stems = (
         single.where(F.length("term") > STEM).groupBy(F.substring("term", 1, STEM).alias("stem"))
         .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count_if(F.col("n1") > 1).alias("k"))
-        .where((F.col("k") >= STEM_WORDS) & (F.col("n1") >= 4 * least)).withColumn("w", weight).where("w > 4.0").orderBy(F.desc("n1"), "stem").limit(max_terms).collect()
+        .where((F.col("k") >= STEM_WORDS) & (F.col("n1") >= 4 * least)).withColumn("w", weight).where("w > 4.0").orderBy("stem").collect()
     )
-    terms = {r.term: float(r.w) for r in words}
-    # a bounded broadcast: at most max_terms terms, each with the harmless words behind it
-    behind = counts.where((F.instr("term", " ") > 0) & (F.col("n0") >= least)).withColumn("first", F.split("term", " ")[0])
-    pairs = behind.join(F.broadcast(toxic.select(F.col("term").alias("first"))), "first", "left_semi").orderBy(F.desc("n0"), "term").limit(max_terms).collect()
-    counts.unpersist()
-    model = Model(terms, {r.stem: float(r.w) for r in stems}, (*exceptions, *(r.term for r in pairs)))
-    rows = train.mapInArrow(featured(model, ["y"]), "a double, b double, y int").toArrow()
-    x = np.stack([rows["a"].to_numpy(), rows["b"].to_numpy()], axis=1)
-    return Model(model.words, model.stems, model.exceptions, fitted(x, rows["y"].to_numpy().astype(float)))
+    # harmless words behind a toxic one
+    behind = some.where((F.instr("term", " ") > 0) & (F.col("n0") >= least)).withColumn("first", F.split("term", " ")[0])
+    pairs = behind.join(toxic.select(F.col("term").alias("first")), "first", "left_semi").orderBy("term").collect()
+    return Model({r.term: float(r.w) for r in toxic.orderBy("term").collect()}, {r.stem: float(r.w) for r in stems}, (*exceptions, *(r.term for r in pairs)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, max_train: int = 6000, least: int = 5, exceptions: tuple[str, ...] = DEFAULT_EXCEPTIONS) -> Model:
+    """Fit a model. ``usable``: which rows of ``labels`` (doc_id, toxic) may be used.
+
+    The logistic line is fitted to features that a lexicon of the other fold gives, so that it sees texts as new ones are seen; the lexicon then comes from both.
+    """
+    train = saved(training_rows(docs, labels, F.lit(True) if usable is None else usable, max_train).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[tuple[int, int], Counter] = {}
+        for batch in batches:
+            for t, y, fold in zip(batch["text"], batch["y"].to_pylist(), batch["fold"].to_pylist()):
+                words = WORDS.findall(folded(t.as_py()))
+                terms = set(words)
+                terms |= {f"{a} {b}" for a, b in zip(words, words[1:])} if y == 0 else set()
+                own = n.setdefault((int(y == 1), fold), Counter())
+                own.update(terms)
+                own[""] += 1
+        rows = [(t, y, fold, c) for (y, fold), found in n.items() for t, c in found.items()]
+        cols = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["term", "y", "fold", "n"])
+
+    counts = train.mapInArrow(count, "term string, y int, fold int, n long").groupBy("term", "y", "fold").agg(F.sum("n").alias("n"))
+    counts = saved(counts)
+    every = lexicon(counts, tuple(range(FOLDS)), least, exceptions)
+    if every is None:
+        return Model({folded(w): v for w, v in DEFAULT_TERMS.items()}, {}, exceptions)
+    x, y = [], []
+    for fold in range(FOLDS):
+        others = lexicon(counts, tuple(f for f in range(FOLDS) if f != fold), least, exceptions) or every
+        rows = train.where(F.col("fold") == fold).mapInArrow(featured(others, ["y"]), "a double, b double, y int").toArrow()  # three numbers for each labelled row
+        x.append(np.stack([rows["a"].to_numpy(), rows["b"].to_numpy()], axis=1))
+        y.append(rows["y"].to_numpy().astype(float))
+    return Model(every.words, every.stems, every.exceptions, fitted(np.concatenate(x), np.concatenate(y)))
 
 
 def featured(model: Model, keep: list[str]):
