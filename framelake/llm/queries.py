@@ -53,7 +53,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc32_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
     corpus = suffix_tree.learn(docs, ~F.col("held_out"))
-    return suffix_tree.scores(docs, corpus, keep=("doc_id", "held_out")).withColumn("train_tokens", F.lit(corpus.total).cast("long"))
+    return suffix_tree.blended(suffix_tree.scores(docs, corpus, keep=("doc_id", "held_out"))).withColumn("train_tokens", F.lit(corpus.total).cast("long"))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

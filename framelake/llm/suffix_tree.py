@@ -16,6 +16,9 @@ contexts of up to one symbol, not counting the word's start, are a small table (
 contexts with the same last two or three symbols lie in one part, as do the units' symbols there. A part holds distinct
 units, so a frequent word or text makes none larger, and no part of the tree passes the driver.
 
+``blended`` weighs a text's probability under the tree with the one under the unigram base, text by text, so that small corpora, whose
+trees are shallow, score no worse than their words.
+
 Texts are then scored by their units. Units that make up at least ``frequent`` of all units of their kind (so
 at most 1/frequent of each) reach the tasks as a table; all others are joined.
 
@@ -337,7 +340,7 @@ class Corpus:
     frequent: pa.Table
 
 
-def learn(rows: DataFrame, train: Column, *, text: str = "text", least: int = 100, min_gain: float = 8.0, frequent: float = 1e-6) -> Corpus:
+def learn(rows: DataFrame, train: Column, *, text: str = "text", least: int = 20, min_gain: float = 6.0, frequent: float = 1e-6) -> Corpus:
     """Learn from the rows that ``train`` marks; the other rows' units are listed with count zero."""
     is_word = ~F.startswith(F.col("unit"), F.lit(" "))
     of = saved(counted(rows, text, train).withColumn("id", F.monotonically_increasing_id()))
@@ -409,3 +412,13 @@ def scores(rows: DataFrame, corpus: Corpus, *, keep: tuple[str, ...] = ("doc_id"
     )
     both = done.drop("rare", "times").join(sums, "row", "left")
     return both.select("own.*", "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def blended(found: DataFrame, prior: float = 0.5) -> DataFrame:
+    """``scores`` with ``score`` the log10 probability of a text that comes from the tree (``tree_score``), or with ``prior`` from the words' base.
+
+    The tree and the base are weighed text by text: no text's score is lower than the better one's by more than log10 of the smaller share.
+    """
+    tree, base = F.col("score") + F.lit(math.log10(1 - prior)), F.col("base_score") + F.lit(math.log10(prior))
+    best = F.greatest(tree, base)
+    return found.withColumns({"tree_score": F.col("score"), "score": best + F.log10(1 + F.pow(F.lit(10.0), F.least(tree, base) - best))})
