@@ -23,10 +23,10 @@ def sample_sql(source: str, name: str, size: tuple[int, int], sx: str, sy: str,
     inside = "sx >= 0 AND sy >= 0 AND sx < {w} AND sy < {h}".format(w=w, h=h) if black else "true"
     edge_x, edge_y = (w, h) if black else (w - 1, h - 1)
     values = ", ".join(f"CAST(greatest(0, least({top}, round(CASE WHEN inside THEN ((a.{c} * (1 - fx) + b.{c} * fx) * (1 - fy) + (c.{c} * (1 - fx) + d.{c} * fx) * fy) * gn ELSE 0 END))) AS INTEGER) AS {c}" for c in channels)
-    return f"""{name}_o AS (SELECT *, {sx} AS sx, {sy} AS sy, {gain} AS gn FROM (SELECT CAST(i % {size[0]} AS INTEGER) AS x, CAST(i // {size[0]} AS INTEGER) AS y FROM range({size[0] * size[1]}) t(i))),
+    return f"""{name}_o AS MATERIALIZED (SELECT *, {sx} AS sx, {sy} AS sy, {gain} AS gn FROM (SELECT CAST(i % {size[0]} AS INTEGER) AS x, CAST(i // {size[0]} AS INTEGER) AS y FROM range({size[0] * size[1]}) t(i))),
 {name}_p AS (SELECT x, y, gn, {inside} AS inside, {at_least('sx', '0', str(edge_x))} AS px, {at_least('sy', '0', str(edge_y))} AS py FROM {name}_o),
-{name}_c AS (SELECT *, CAST(least(floor(px), {w - 1}) AS INTEGER) AS x0, CAST(least(floor(py), {h - 1}) AS INTEGER) AS y0 FROM {name}_p),
-{name} AS (SELECT a.image_id, o.x, o.y, {values} FROM (SELECT *, px - x0 AS fx, py - y0 AS fy, least(x0 + 1, {w - 1}) AS x1, least(y0 + 1, {h - 1}) AS y1 FROM {name}_c) o
+{name}_c AS MATERIALIZED (SELECT *, CAST(least(floor(px), {w - 1}) AS INTEGER) AS x0, CAST(least(floor(py), {h - 1}) AS INTEGER) AS y0 FROM {name}_p),
+{name} AS MATERIALIZED (SELECT a.image_id, o.x, o.y, {values} FROM (SELECT *, px - x0 AS fx, py - y0 AS fy, least(x0 + 1, {w - 1}) AS x1, least(y0 + 1, {h - 1}) AS y1 FROM {name}_c) o
  JOIN {source} a ON a.x = o.x0 AND a.y = o.y0 JOIN {source} b ON b.image_id = a.image_id AND b.x = o.x1 AND b.y = o.y0 JOIN {source} c ON c.image_id = a.image_id AND c.x = o.x0 AND c.y = o.y1 JOIN {source} d ON d.image_id = a.image_id AND d.x = o.x1 AND d.y = o.y1)"""
 
 
@@ -68,12 +68,12 @@ def rotate_any(spark: SparkSession, sf: str) -> DataFrame:
 def newton_sql(k1: float, k2: float, k3: float, c0: float, c1: float, c2: float) -> str:
     """CTE ``lens_map``: where each place of the frame comes from, and its gain."""
     diagonal = d(math.hypot(SIDE, SIDE) / 2)
-    steps = ["n0 AS (SELECT *, sqrt(nx * nx + ny * ny) AS t, sqrt(nx * nx + ny * ny) AS r FROM (SELECT CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, (i % 8 - 3.5::DOUBLE) / " + diagonal + " AS nx, (i // 8 - 3.5::DOUBLE) / " + diagonal + " AS ny FROM range(64) g(i)))"]
+    steps = ["n0 AS MATERIALIZED (SELECT *, sqrt(nx * nx + ny * ny) AS t, sqrt(nx * nx + ny * ny) AS r FROM (SELECT CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, (i % 8 - 3.5::DOUBLE) / " + diagonal + " AS nx, (i // 8 - 3.5::DOUBLE) / " + diagonal + " AS ny FROM range(64) g(i)))"]
     for k in range(8):
         f = f"(r * (1 + {d(k1)} * r * r + {d(k2)} * r * r * r * r + {d(k3)} * r * r * r * r * r * r) - t) / (1 + 3 * {d(k1)} * r * r + 5 * {d(k2)} * r * r * r * r + 7 * {d(k3)} * r * r * r * r * r * r)"
-        steps.append(f"n{k + 1} AS (SELECT x, y, nx, ny, t, greatest(r - {f}, 0) AS r FROM n{k})")
+        steps.append(f"n{k + 1} AS MATERIALIZED (SELECT x, y, nx, ny, t, greatest(r - {f}, 0) AS r FROM n{k})")
     q = "CASE WHEN t > 1e-6 THEN r / t ELSE 1 END"
-    return ", ".join(steps) + f", lens_map AS (SELECT x, y, 3.5::DOUBLE + nx * ({q}) * {diagonal} AS mx, 3.5::DOUBLE + ny * ({q}) * {diagonal} AS my, greatest({d(c0)} + {d(c1)} * t * t + {d(c2)} * t * t * t * t, 0.01) AS gain FROM n8)"
+    return ", ".join(steps) + f", lens_map AS MATERIALIZED (SELECT x, y, 3.5::DOUBLE + nx * ({q}) * {diagonal} AS mx, 3.5::DOUBLE + ny * ({q}) * {diagonal} AS my, greatest({d(c0)} + {d(c1)} * t * t + {d(c2)} * t * t * t * t, 0.01) AS gain FROM n8)"
 
 
 MAPPED = "(SELECT {} FROM lens_map m WHERE m.x = t.x AND m.y = t.y)"
@@ -96,7 +96,7 @@ def lens_correction(spark: SparkSession, sf: str) -> DataFrame:
 def ca_sql(source: str, name: str, red: float, blue: float, w: int, h: int) -> str:
     at = lambda c, n, k: f"{d((n - 1) / 2)} + ({c} - {d((n - 1) / 2)}) * (1 + {d(k)})"
     parts = [sample_sql(source, f"{name}_{c}", (w, h), at("x", w, k), at("y", h, k), c, w=w, h=h) for c, k in (("r", red), ("b", blue))]
-    return ", ".join(parts) + f", {name} AS (SELECT s.image_id, s.x, s.y, p.r, s.g, q.b FROM {source} s JOIN {name}_r p USING (image_id, x, y) JOIN {name}_b q USING (image_id, x, y))"
+    return ", ".join(parts) + f", {name} AS MATERIALIZED (SELECT s.image_id, s.x, s.y, p.r, s.g, q.b FROM {source} s JOIN {name}_r p USING (image_id, x, y) JOIN {name}_b q USING (image_id, x, y))"
 
 
 CA = geometry.Lens(ca_red=0.04, ca_blue=-0.03)
