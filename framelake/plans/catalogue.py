@@ -1,6 +1,6 @@
 """All registered queries and their SQL; importing the modules registers them."""
 
-from . import documents, raster, records, relations
+from . import documents, files, raster, records, relations
 from .queries import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "raster", "records", "relations"]
+__all__ = ["ORACLE", "QUERIES", "documents", "files", "raster", "records", "relations"]

@@ -1,9 +1,10 @@
-"""Image files: folder scans, decoding to the pixel relation, PNG files from it."""
+"""Image files: folder scans, decoding to the pixel relation, PNG and JPEG files from it."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import SCANNED, extension
+from .jpeg import jpeg
 
 SIDECAR = ".lumen.json"
+#: Pixels of a batch.
+ROWS = 1 << 16
 
 
 def scanned_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,14 +36,20 @@ def image_frames(spark: SparkSession, folder: str) -> DataFrame:
     Its bytes come as blue, green, red (and alpha), or one grey value.
     """
     image = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder).select("image.*").where("height > 0 and width > 0")
-    rows = image.select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    at = lambda k: F.conv(F.hex(F.substr("data", F.col("i") * F.col("nChannels") + k + 1, F.lit(1))), 16, 10).cast("int")
-    grey = F.col("nChannels") == 1
-    value = lambda k: F.when(grey, at(0)).otherwise(at(k))
-    return rows.select(
-        F.col("origin").alias("image_id"), (F.col("i") % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
-        value(2).alias("r"), value(1).alias("g"), value(0).alias("b"), F.when(F.col("nChannels") == 4, at(3)).otherwise(255).alias("a"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, w, h, n = (batch[c][i].as_py() for c in ("origin", "width", "height", "nChannels"))
+                samples = np.frombuffer(batch["data"][i].as_buffer(), dtype=np.uint8).reshape(h * w, n)
+                planes = [samples[:, 0]] * 3 if n == 1 else [samples[:, 2], samples[:, 1], samples[:, 0]]
+                planes.append(samples[:, 3] if n == 4 else np.full(h * w, 255))
+                for at in range(0, h * w, ROWS):
+                    place = np.arange(at, min(at + ROWS, h * w))
+                    columns = [pa.array((place % w).astype(np.int32)), pa.array((place // w).astype(np.int32)), *(pa.array(p[place].astype(np.int32)) for p in planes)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(place)), *columns], ["image_id", "x", "y", "r", "g", "b", "a"])
+
+    return image.select("origin", "width", "height", "nChannels", "data").mapInArrow(run, "image_id string, x int, y int, r int, g int, b int, a int")
 
 
 def png(width: int, height: int, samples: np.ndarray) -> bytes:
@@ -51,9 +61,8 @@ def png(width: int, height: int, samples: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
 
 
-def encoded(px: DataFrame, alpha: bool = True) -> DataFrame:
-    """image_id, width, height and png of every frame. A frame meets in one task, as its file is one value."""
-    names = ["r", "g", "b", "a"][: 4 if alpha else 3]
+def frame_arrays(px: DataFrame, names: list[str], made: Callable[[int, int, np.ndarray], bytes], column: str) -> DataFrame:
+    """image_id, width, height and ``column``: a file of every frame. A frame meets in one task, as its file is one value."""
 
     def encode(t: pa.Table) -> pa.Table:
         x, y = t["x"].to_numpy(), t["y"].to_numpy()
@@ -61,10 +70,20 @@ def encoded(px: DataFrame, alpha: bool = True) -> DataFrame:
         samples = np.zeros((h, w, len(names)), dtype=np.uint8)
         for k, c in enumerate(names):
             samples[y, x, k] = t[c].to_numpy()
-        return pa.table({"image_id": t["image_id"].slice(0, 1), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "png": pa.array([png(w, h, samples)], pa.binary())})
+        return pa.table({"image_id": t["image_id"].slice(0, 1), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), column: pa.array([made(w, h, samples)], pa.binary())})
 
     kind = px.schema["image_id"].dataType.simpleString()
-    return px.select("image_id", "x", "y", *names).groupBy("image_id").applyInArrow(encode, f"image_id {kind}, width int, height int, png binary")
+    return px.select("image_id", "x", "y", *names).groupBy("image_id").applyInArrow(encode, f"image_id {kind}, width int, height int, {column} binary")
+
+
+def encoded(px: DataFrame, alpha: bool = True) -> DataFrame:
+    """image_id, width, height and png of every frame."""
+    return frame_arrays(px, ["r", "g", "b", "a"][: 4 if alpha else 3], png, "png")
+
+
+def encoded_jpeg(px: DataFrame, quality: int = 90) -> DataFrame:
+    """image_id, width, height and jpeg of every frame; alpha goes."""
+    return frame_arrays(px, ["r", "g", "b"], lambda w, h, samples: jpeg(samples, quality), "jpeg")
 
 
 def promoted(value: Column, bits: int) -> Column:
