@@ -32,8 +32,10 @@ def column() -> WindowSpec:
 
 
 def rounded_bytes(v: np.ndarray) -> np.ndarray:
-    """Half away from zero, then 0..255."""
-    return np.clip(np.copysign(np.floor(np.abs(v) + 0.5), v), 0.0, 255.0)
+    """Rounded to 0..255; how negative halves round does not matter there."""
+    out = v + 0.5
+    np.floor(out, out=out)
+    return np.clip(out, 0.0, 255.0, out=out)
 
 
 def light(samples: np.ndarray) -> np.ndarray:
@@ -82,12 +84,24 @@ def gaussian(sigma: float) -> list[float]:
     return [v / sum(kernel) for v in kernel]
 
 
+def weighted(parts: Iterator[np.ndarray], weights: list[float]) -> np.ndarray:
+    """Sum of equal arrays by weight, left to right."""
+    out = tmp = None
+    for c, part in zip(weights, parts):
+        if out is None:
+            out, tmp = c * part, np.empty(part.shape)
+        else:
+            out += np.multiply(part, c, out=tmp)
+    return out
+
+
 def blurred(plane: np.ndarray, weights: list[float], reach: int) -> np.ndarray:
     """Rows, then columns of (rows, height, width) with a halo of ``reach``; the halo goes."""
     n = len(weights) // 2
     h, w = plane.shape[1] - 2 * reach, plane.shape[2] - 2 * reach
-    across = sum(c * plane[:, reach - n : reach + n + h, reach - n + k : reach - n + k + w] for k, c in enumerate(weights))
-    return sum(c * across[:, k : k + h] for k, c in enumerate(weights))
+    inner = plane[:, reach - n : reach + n + h]
+    across = weighted((inner[:, :, reach - n + k : reach - n + k + w] for k in range(len(weights))), weights)
+    return weighted((across[:, k : k + h] for k in range(len(weights))), weights)
 
 
 def edges(l: np.ndarray, reach: int) -> np.ndarray:  # noqa: E741
@@ -128,8 +142,9 @@ def sharpened_tiles(tiles: DataFrame, amount: float, radius: float, detail: floa
         if strongest is not None:
             most = strongest[:, None, None]
             share = share + masking * np.where(most > 0, edges(l, reach) / np.where(most > 0, most, 1.0), 0.0)
-        lit = np.clip(own + amount * share * gone, 0.0, 255.0)
-        ratio = np.where(own > 1e-6, lit / np.where(own > 1e-6, own, 1.0), 0.0)
+        lit = own + amount * share * gone
+        np.clip(lit, 0.0, 255.0, out=lit)
+        ratio = np.divide(lit, own, out=np.zeros_like(lit), where=own > 1e-6)
         return rounded_bytes(v[inside] * ratio[:, None])
 
     if not masking:

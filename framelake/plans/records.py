@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import digests
 from ..operators import lens_lookup, sidecars
 from ..sources.frames import carrier_frames, table
+from ..streaming import sessions
 from .queries import PX, register
 
 # documents: one for each row of ``documents``, with faults that its numbers decide
@@ -112,3 +113,22 @@ SELECT image_id, 'tone-rgba8-rec709:' || printf('%016x', {FNV.format(start=head(
 def tone_fingerprint_fnv(spark: SparkSession, d: str) -> DataFrame:
     """The chained fingerprint of configuration, size and samples, its state carried from batch to batch."""
     return digests.sample_fingerprints(carrier_frames(spark, d), CONFIG)
+
+
+# sessions: a conversation's turns are actions
+
+ACTION = "CASE WHEN turn % 5 = CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END THEN 'load' WHEN turn % 7 = 6 THEN 'close' WHEN turn % 2 = 0 THEN 'save' ELSE 'edit' END"
+IMAGE = "CASE WHEN turn % 11 = 3 THEN -1 ELSE conv_id * 10 + {} END"
+
+
+def image_of(divide: str) -> str:
+    return IMAGE.format(f"(turn + {{}}) {divide} 5".replace("{}", "CASE WHEN conv_id % 3 = 0 THEN 4 ELSE 0 END"))
+
+
+@register(f"""WITH a AS (SELECT conv_id AS session, turn AS at_turn, {ACTION} AS action, {image_of('//')} AS image FROM conversations),
+b AS (SELECT *, count(*) FILTER (WHERE action = 'load') OVER w AS n, last_value(CASE WHEN action = 'load' THEN image END IGNORE NULLS) OVER w AS now FROM a WINDOW w AS (PARTITION BY session ORDER BY at_turn, action, image ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, CASE WHEN action = 'load' THEN 'ok' WHEN action NOT IN ('edit', 'save') THEN 'unknown_action' WHEN n = 0 THEN 'no_image_loaded' WHEN image <> now THEN 'unknown_image' ELSE 'ok' END AS outcome FROM b)
+SELECT session, at_turn, action, image, outcome, count(*) FILTER (WHERE action = 'edit' AND outcome = 'ok') OVER (PARTITION BY session, n ORDER BY at_turn, action, image ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS edits FROM c""")
+def session_fold(spark: SparkSession, d: str) -> DataFrame:
+    actions = table(spark, d, "conversations").selectExpr("conv_id AS session", "turn AS at", f"{ACTION} AS action", f"{image_of('DIV')} AS image")
+    return sessions.folded(actions).withColumnRenamed("at", "at_turn")

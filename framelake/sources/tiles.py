@@ -173,14 +173,14 @@ def haloed(tiles: DataFrame, reach: int, channels: tuple[str, ...] = ("r", "g",
 
 
 def stacks(batch: pa.RecordBatch, channels: tuple[str, ...], reach: int, sample: str = "u1") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and samples (rows, channels, height, width) of the tiles of each size in a batch of haloed tiles, at most a few million samples at once."""
+    """Row numbers and samples (rows, channels, height, width) of the tiles of each size in a batch of haloed tiles, about as many samples at once as one tile has."""
     width, height = batch["width"].to_numpy(), batch["height"].to_numpy()
     size = width.astype(np.int64) << 32 | height
     held = {c: batch[c] for c in channels}
     for s in np.unique(size):
         rows = np.flatnonzero(size == s)
         w, h = int(width[rows[0]]) + 2 * reach, int(height[rows[0]]) + 2 * reach
-        step = max(1, (1 << 20) // (w * h))
+        step = max(1, SIDE * SIDE // (w * h))
         for at in range(0, len(rows), step):
             some = rows[at : at + step]
             planes = [np.frombuffer(b"".join(held[c].take(pa.array(some)).to_pylist()), dtype=sample).reshape(len(some), h, w) for c in channels]
