@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import clamp, to_byte
@@ -40,13 +40,19 @@ def sampled(px: DataFrame, width: int, height: int, to_width: int, to_height: in
     t = targets(px, to_width, to_height).withColumns({"px": sx, "py": sy}).withColumn("inside", inside)
     t = t.withColumns({"px": clamp(F.col("px"), 0.0, float(width - 1) if not black else float(width)), "py": clamp(F.col("py"), 0.0, float(height - 1) if not black else float(height))})
     t = t.withColumns({"x0": F.least(F.floor("px"), F.lit(width - 1)).cast("int"), "y0": F.least(F.floor("py"), F.lit(height - 1)).cast("int")})
-    x1, y1 = F.least(F.col("x0") + 1, F.lit(width - 1)), F.least(F.col("y0") + 1, F.lit(height - 1))
-    corners = [F.struct(F.lit(k).alias("k"), a.alias("sx"), b.alias("sy")) for k, (a, b) in enumerate(((F.col("x0"), F.col("y0")), (x1, F.col("y0")), (F.col("x0"), y1), (x1, y1)))]
-    sources = t.select("image_id", "x", "y", "inside", (F.col("px") - F.col("x0")).alias("fx"), (F.col("py") - F.col("y0")).alias("fy"), F.inline(F.array(*corners)))
-    met = sources.join(px.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *channels), ["image_id", "sx", "sy"])
-    at = met.groupBy("image_id", "x", "y").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for c in channels for k in range(4)], *[F.first(v).alias(v) for v in ("inside", "fx", "fy")])
-    out = [F.when(F.col("inside"), bilinear(*(F.col(f"{c}{k}") for k in range(4)), F.col("fx"), F.col("fy"))).otherwise(0.0).alias(c) for c in channels]
-    return at.select("image_id", "x", "y", *out)
+    met = t.join(quads(px, channels).withColumnsRenamed({"x": "x0", "y": "y0"}), ["image_id", "x0", "y0"])
+    fx, fy = F.col("px") - F.col("x0"), F.col("py") - F.col("y0")
+    out = [F.when(F.col("inside"), bilinear(F.col(f"q.a.{c}"), F.col(f"q.b.{c}"), F.col(f"q.c.{c}"), F.col(f"q.d.{c}"), fx, fy)).otherwise(0.0).alias(c) for c in channels]
+    return met.select("image_id", "x", "y", *out)
+
+
+def quads(px: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """Each pixel with its right, lower and lower right neighbour (a, b, c, d), the border's repeated: both windows lie within one exchange by frame."""
+    across, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    rows = px.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.struct(*channels).alias("a")).repartition("image_id")
+    rows = rows.withColumn("b", F.coalesce(F.lead("a").over(across), F.col("a"))).withColumn("q", F.struct("a", "b"))
+    rows = rows.withColumn("under", F.coalesce(F.lead("q").over(down), F.col("q")))
+    return rows.select("image_id", "x", "y", F.struct("a", "b", F.col("under.a").alias("c"), F.col("under.b").alias("d")).alias("q"))
 
 
 def as_bytes(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
