@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests
-from ..operators import lens_lookup, sidecars
-from ..sources.frames import carrier_frames, table
+from ..operators import lens_lookup, render, sidecars
+from ..sources.frames import SIDE, carrier_frames, table
 from ..streaming import sessions
 from .queries import PX, register
 
@@ -132,3 +132,15 @@ SELECT session, at_turn, action, image, outcome, count(*) FILTER (WHERE action =
 def session_fold(spark: SparkSession, d: str) -> DataFrame:
     actions = table(spark, d, "conversations").selectExpr("conv_id AS session", "turn AS at", f"{ACTION} AS action", f"{image_of('DIV')} AS image")
     return sessions.folded(actions).withColumnRenamed("at", "at_turn")
+
+
+# a whole recipe
+
+RECIPE = """{"adjustments": {"wb_temperature": 5200, "exposure": 0.3, "contrast": -0.2, "vibrance": 0.2, "presence": {"texture": 0.5, "dehaze": 0.3}, "curves": {"master": [[0, 0], [0.4, 0.5], [1, 1]]}, "color_grading": {"shadows": {"hue_degrees": 220, "saturation": 0.3}},
+ "noise_reduction": {"luminance": 0.6, "color": 0.5}, "sharpening": {"amount": 0.8, "radius": 1.2, "detail": 0.4, "masking": 0.5}}, "effects": {"vignette": {"amount": 0.4, "midpoint": 0.3}, "grain": {"amount": 0.4, "size": 0.2, "roughness": 0.5, "seed": 7}}, "geometry": {"degrees": 90.0}}"""
+
+
+@register()
+def recipe_render(spark: SparkSession, d: str) -> DataFrame:
+    """Frames through all stages of a recipe; tests hold it against the kernels one after the other, each of which has SQL."""
+    return render.rendered(carrier_frames(spark, d), render.Recipe.from_json(RECIPE), SIDE, SIDE)

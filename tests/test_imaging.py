@@ -30,7 +30,7 @@ def rows(names, data):
     return [names[i] for i in order], sorted(str([clean(r[i]) for i in order]) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, DIR)
     sql = con.execute(ORACLE[name])
