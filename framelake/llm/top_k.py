@@ -91,6 +91,10 @@ def nra(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id; scores beyond a long are given as its end, after they are ordered."""
+    if scores.dtype == object:
+        order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+        return ids[order], np.array([min(max(int(scores[i]), -(1 << 63)), (1 << 63) - 1) for i in order], dtype=np.int64)
     scores = scores.astype(np.int64)
     if len(ids) > 4 * k:
         keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import centroids, merkle, oracle, queries, substrings
+from framelake.llm import centroids, merkle, oracle, queries, simhash, substrings, suffix_tree, top_k
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, tree int"
@@ -212,3 +212,55 @@ def test_queries_against_sql(spark, name):
     got = sorted([tuple(r) for r in queries.QUERIES[name](spark, DIR).select(*names).collect()], key=str)
     assert got == want
     assert oracle.merkle_sql(1, 1)
+
+
+def test_bounds_search_every_block():
+    """Blocks of a few rows, and numbers whose products float64 cannot hold, go through the bounds and give the plain result."""
+    r = np.random.default_rng(5)
+    for n, size in ((6, 300), (21, 300), (60, 1 << 27), (200, 1 << 40)):
+        x, q = r.integers(-size, size, (n, 3)), r.integers(-size, size, (4, 3))
+        ids, q_ids = np.arange(n), np.array([0, 1, 2, -1])
+        seen = {}
+        for row, found, scores, _ in top_k.nra(ids, x, q_ids, q, 5):
+            seen[row] = list(zip(found.tolist(), scores.tolist()))
+        for row in range(4):
+            want = sorted(((-sum(int(a) * int(b) for a, b in zip(v, q[row])), i) for i, v in enumerate(x) if i != q_ids[row]))[:5]
+            assert [i for i, _ in seen[row]] == [i for _, i in want], n
+            if size < 1 << 30:
+                assert [s for _, s in seen[row]] == [-s for s, _ in want]
+
+
+def test_forests_of_pairs_are_no_more_than_rows(spark):
+    """Thirty sets that may all be similar: a forest has 29 pairs, all pairs are 435."""
+    cells = spark.createDataFrame([(1, i, i, 1000, 0, bytearray(simhash.LEAST_MAP // 8)) for i in range(30)], "key long, node long, root long, n int, pos int, map binary")
+    tree = [(r.a, r.b) for r in simhash.apart_pairs(cells, 0.8, forest=True).collect()]
+    assert len(tree) == 29 and simhash.apart_pairs(cells, 0.8).count() == 435
+    forest = simhash.Forest()
+    assert all(forest.join(a, b) for a, b in tree)
+
+
+def test_components_grow_by_new_links(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, root long")
+    found = spark.createDataFrame([(2, 6), (8, 9), (1, 5)], "a long, b long")
+    got = {r.node: r.root for r in simhash.merged(roots, found).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+
+
+def test_texts_are_weighed_between_tree_and_base(spark):
+    rows = spark.createDataFrame([(1, -10.0, -12.0), (2, -500.0, -300.0), (3, -5.0, -5.0)], "doc_id long, base_score double, score double")
+    got = {r.doc_id: (r.score, r.tree_score) for r in suffix_tree.blended(rows).collect()}
+    for i, base, tree in ((1, -10.0, -12.0), (2, -500.0, -300.0), (3, -5.0, -5.0)):
+        top = max(base, tree)
+        assert math.isclose(got[i][0], top + math.log10(0.5 * (10 ** (base - top) + 10 ** (tree - top)))) and got[i][1] == tree
+        assert got[i][0] >= top - 0.302
+
+
+def test_held_out_has_a_value_for_null_ids(spark, tmp_path):
+    words = "the cat sat on the mat and ran away".split()
+    docs = [(i if i else None, " ".join(words[i % 5 :] * 3), ["en", "de"][i % 2], "s", 9) for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 3 // 2) for i in range(1, 24)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op5_language_id", "op6_toxicity", "op8_lm_scoring"):
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(rows) == 24 and all(r.held_out is not None for r in rows), name
+        assert [r.held_out for r in rows if r.doc_id is None] == [False]
