@@ -29,6 +29,29 @@ def content_hash(data: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(data, 256))
 
 
+def same_path(a: Column, b: Column) -> Column:
+    """Whether an output would overwrite its input: paths are told apart without regard to case."""
+    return F.lower(a) == F.lower(b)
+
+
+def decode_error(width: Column, height: Column, most: int = 4_000_000_000, bytes_per_pixel: int = 4) -> Column:
+    """ok, too_large or overflow, before anything is decoded; an overflow is a result, not an exception."""
+    size = F.try_multiply(F.try_multiply(width, height), F.lit(bytes_per_pixel).cast("long"))
+    return F.when(size.isNull(), "overflow").when(size > most, "too_large").otherwise("ok")
+
+
+def mask_states(masks: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
+    """``masks`` with status: Valid where an artifact of the same key is there, else Pending (waiting for inference)."""
+    have = artifacts.select(key, F.lit(True).alias("_have")).distinct()
+    return masks.join(have, key, "left").withColumn("status", F.when(F.col("_have").isNull(), "Pending").otherwise("Valid")).drop("_have")
+
+
+def copy_summary(copies: DataFrame, image: str) -> DataFrame:
+    """Of copies (image, model, missing, is_default): their number, distinct missing models, defaults, and whether there is just one default."""
+    out = copies.groupBy(image).agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(F.when(F.col("missing"), F.col("model"))).alias("missing_models"), F.count_if("is_default").alias("defaults"))
+    return out.withColumn("one_default", F.col("defaults") == 1)
+
+
 def preview_key(source: Column, copy: Column) -> Column:
     return F.sha2(F.concat(source, F.char(F.lit(0)), copy), 256)
 

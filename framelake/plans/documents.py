@@ -225,15 +225,14 @@ def tone_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 def overwrite_guard(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose output would overwrite their input."""
     out = F.replace("url", F.lit("http:"), F.lit("https:"))
-    return table(spark, d, "pages").select("page_id", (F.lower("url") == F.lower(out)).alias("same_path"))
+    return table(spark, d, "pages").select("page_id", catalog.same_path(F.col("url"), out).alias("same_path"))
 
 
 @register("SELECT doc_id, CASE WHEN w::HUGEINT * h * 4 > 9223372036854775807 THEN 'overflow' WHEN w::HUGEINT * h * 4 > 4000000000 THEN 'too_large' ELSE 'ok' END AS decode FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 4000000000 ELSE n_chars * 10 END AS w, CASE WHEN doc_id % 13 = 0 THEN 4000000000 ELSE n_chars + doc_id * 50 END AS h FROM documents)")
 def memory_guard(spark: SparkSession, d: str) -> DataFrame:
     """Sizes checked before anything is decoded; an overflow is a result, not an exception."""
     rows = table(spark, d, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 13 = 0 THEN 4000000000 ELSE n_chars * 10 END AS w", "CASE WHEN doc_id % 13 = 0 THEN 4000000000 ELSE n_chars + doc_id * 50 END AS h")
-    size = F.try_multiply(F.try_multiply("w", "h"), F.lit(4).cast("long"))
-    return rows.select("doc_id", F.when(size.isNull(), "overflow").when(size > 4_000_000_000, "too_large").otherwise("ok").alias("decode"))
+    return rows.select("doc_id", catalog.decode_error(F.col("w"), F.col("h")).alias("decode"))
 
 
 @register("SELECT source, count(*) FILTER (WHERE n_chars % 5 <> 0) AS ok, count(*) FILTER (WHERE n_chars % 5 = 0) AS failed FROM documents GROUP BY source")
@@ -245,9 +244,8 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
 @register("WITH c AS (SELECT user_id, event_id, event_type AS model, event_id % 4 = 0 AS missing FROM events) SELECT user_id, count(*) AS copies, count(DISTINCT model) FILTER (WHERE missing) AS missing_models, count(*) FILTER (WHERE event_id % 9 = 0) AS defaults, count(*) FILTER (WHERE event_id % 9 = 0) = 1 AS one_default FROM c GROUP BY user_id")
 def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
     """Copies, missing models and default copies of each image."""
-    missing, default = F.col("event_id") % 4 == 0, F.col("event_id") % 9 == 0
-    out = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(F.when(missing, F.col("event_type"))).alias("missing_models"), F.count_if(default).alias("defaults"))
-    return out.withColumn("one_default", F.col("defaults") == 1)
+    copies = table(spark, d, "events").select("user_id", F.col("event_type").alias("model"), (F.col("event_id") % 4 == 0).alias("missing"), (F.col("event_id") % 9 == 0).alias("is_default"))
+    return catalog.copy_summary(copies, "user_id")
 
 
 @register("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality * 1000 + l.toxic <> d.n_chars % 2 * 1000 + d.n_chars % 3 THEN 'changed' ELSE 'same' END AS status FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)")
@@ -373,5 +371,4 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'Pending' ELSE 'Valid' END AS status FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def masks_pending(spark: SparkSession, d: str) -> DataFrame:
     """Masks whose artifact is missing wait for inference."""
-    have = table(spark, d, "labels").select("doc_id", F.lit(True).alias("have")).distinct()
-    return table(spark, d, "documents").join(have, "doc_id", "left").select("doc_id", F.when(F.col("have").isNull(), "Pending").otherwise("Valid").alias("status"))
+    return catalog.mask_states(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")

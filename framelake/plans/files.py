@@ -69,8 +69,10 @@ def sample_promotion(spark: SparkSession, d: str) -> DataFrame:
 BATCH = "CASE WHEN vec_id % 10 = 0 THEN 'missing' WHEN vec_id % 11 = 0 THEN 'unsafe_name' ELSE 'done' END"
 
 
-@register(f"SELECT vec_id AS image_id, 1 AS run, {BATCH} AS status FROM embeddings UNION ALL SELECT vec_id, 2, CASE WHEN vec_id % 10 = 0 THEN CASE WHEN vec_id % 11 = 0 THEN 'unsafe_name' ELSE 'done' END ELSE 'unsafe_name' END FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 11 = 0")
-def batch_runs(spark: SparkSession, d: str) -> DataFrame:
+RUNS_SQL = f"r AS (SELECT vec_id AS image_id, 1 AS run, {BATCH} AS status FROM embeddings UNION ALL SELECT vec_id, 2, CASE WHEN vec_id % 10 = 0 THEN CASE WHEN vec_id % 11 = 0 THEN 'unsafe_name' ELSE 'done' END ELSE 'unsafe_name' END FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 11 = 0)"
+
+
+def two_runs(spark: SparkSession, d: str) -> DataFrame:
     """Render, encode and write as one job, run twice: a tenth of the inputs cannot be read at first, some names are refused; the second run does only what is left."""
     folder, px = shared_folder(spark), carrier_frames(spark, d)
     name = F.concat(F.when(F.col("vec_id") % 11 == 0, "../").otherwise(""), F.col("vec_id"), F.lit(".png"))
@@ -85,4 +87,15 @@ def batch_runs(spark: SparkSession, d: str) -> DataFrame:
 
     first = files.batch(spark, wanted, render(F.col("vec_id") % 10 != 0), folder)
     second = files.batch(spark, wanted, render(F.lit(True)), folder)
-    return first.union(second).select(F.regexp_extract("name", r"(\d+)[.]png$", 1).cast("long").alias("image_id"), F.col("run").cast("int").alias("run"), "status")
+    return first.union(second)
+
+
+@register(f"WITH {RUNS_SQL} SELECT * FROM r")
+def batch_runs(spark: SparkSession, d: str) -> DataFrame:
+    return two_runs(spark, d).select(F.regexp_extract("name", r"(\d+)[.]png$", 1).cast("long").alias("image_id"), F.col("run").cast("int").alias("run"), "status")
+
+
+@register(f"WITH {RUNS_SQL} SELECT run, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status <> 'done') AS failed FROM r GROUP BY run")
+def batch_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each run of the batch has done, from its commits."""
+    return files.summary(two_runs(spark, d)).select(F.col("run").cast("int").alias("run"), "done", "failed")

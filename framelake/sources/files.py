@@ -76,3 +76,9 @@ def batch(spark: SparkSession, wanted: DataFrame, made: Callable[[DataFrame], Da
     rows = left.select("name").distinct().join(done, "name", "left").withColumns({"status": F.coalesce("status", F.lit("missing")), "run": F.lit(run).cast("long")})
     rows.write.mode("append").parquet(f"{folder}/_commits")
     return spark.read.schema(rows.schema).parquet(f"{folder}/_commits").where(F.col("run") == run)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """(run, done, failed, bytes) of commit rows."""
+    done = F.col("status") == "done"
+    return rows.groupBy("run").agg(F.count_if(done).alias("done"), F.count_if(~done).alias("failed"), F.coalesce(F.sum(F.when(done, F.col("bytes"))), F.lit(0)).alias("bytes"))
