@@ -139,11 +139,10 @@ def full_geometry(spark: SparkSession, sf: str) -> DataFrame:
 TURNS = {1: ("x", "y"), 2: ("7 - x", "y"), 3: ("7 - x", "7 - y"), 4: ("x", "7 - y"), 5: ("y", "x"), 6: ("7 - y", "x"), 7: ("7 - y", "7 - x"), 8: ("y", "7 - x")}
 
 
-@register(f"{PX} " + " UNION ALL ".join(f"SELECT {o} AS orientation, image_id, {x} AS x, {y} AS y, r, g, b FROM px WHERE image_id = (SELECT min(image_id) FROM px)" for o, (x, y) in TURNS.items()))
+@register(f"{PX} " + " UNION ALL ".join(f"SELECT {o} AS orientation, image_id, {x} AS x, {y} AS y, r, g, b FROM px" for o, (x, y) in TURNS.items()))
 def exif_orientation(spark: SparkSession, sf: str) -> DataFrame:
-    """The first frame in all eight orientations."""
+    """Every frame in all eight orientations."""
     px = carrier_frames(spark, sf)
-    px = px.join(px.agg(F.min("image_id").alias("image_id")), "image_id")
     out = [geometry.oriented(px, SIDE, SIDE, o).select(F.lit(o).alias("orientation"), *RGB) for o in range(1, 9)]
     every = out[0]
     for o in out[1:]:
