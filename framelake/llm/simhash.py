@@ -23,7 +23,7 @@ come last, the others by hash (the sample decides the cost alone; any order is e
 similarity s each has a shared shingle among its first n - ceil(s n) + 1 (the prefix), so texts are
 joined on the shingles of their prefixes. Two steps keep large groups of near copies from
 giving all pairs: first each text is checked against the first text of each of its shingles'
-groups; then, in groups whose texts these checked links leave apart, all pairs that are
+groups; then, a forest of the nearest pairs of what is still apart is checked; then, in groups whose texts these checked links leave apart, all pairs that are
 still apart and whose sizes and places in the order allow the similarity are
 checked, large groups in blocks. Of shingles that the very same texts have in their prefixes only the first counts. Before a pair is
 checked on the sets it must pass a bound: the bits in which parity maps of the sets differ (one bit for
@@ -65,6 +65,8 @@ BLOCK = 1000
 LEAST_MAP, MOST_MAP = 1024, 65_536
 #: Pairs of one node that meet its set in one group.
 PAIRS = 1000
+#: Turns (a pass over the cells each) in which only a forest of each group's nearest pairs is checked, while so large a share of them are links.
+TURNS, LEAST_FOUND = 1, 0.1
 #: Up to so many ids of texts whose sets are needed are broadcast (two numbers each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -386,8 +388,11 @@ def can_be_similar(n: Column, pos: Column, m: Column, at: Column, similarity: fl
     return F.least(n - pos, m - at) * (1 + similarity) >= similarity * (n + m) - F.lit(1e-6)
 
 
-def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) in rows (key, node, root, n, pos, map) of equal key that have different roots and may be similar."""
+def apart_pairs(cells: DataFrame, similarity: float, forest: bool = False) -> DataFrame:
+    """Pairs (a, b) in rows (key, node, root, n, pos, map) of equal key that have different roots and may be similar.
+
+    ``forest``: of each key only as many as connect its roots, those of the nearest maps first.
+    """
 
     def pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
         left, found, size = n - pos, [], 0
@@ -401,11 +406,22 @@ def apart_pairs(cells: DataFrame, similarity: float) -> DataFrame:
             j = j[np.bitwise_count(small[j] ^ small[i]).sum(1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6]
             j = np.array([k for k in j.tolist() if may_be_similar(whole[i], whole[k], int(n[i] + n[k]), similarity)], dtype=np.int64)
             if len(j):
-                found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+                near = np.bitwise_count(small[j] ^ small[i]).sum(1, dtype=np.int64) if forest else j
+                found.append((np.full(len(j), i), j, near))
                 size += len(j)
-            if size > 50_000 or (found and i == len(node) - 2):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+            if not forest and (size > 50_000 or (found and i == len(node) - 2)):
+                x, y, _ = (np.concatenate(c) for c in zip(*found))
+                yield pairs_of(node[x], node[y])
                 found, size = [], 0
+        if found:
+            x, y, near = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(near, kind="stable")
+            tree = Forest()
+            keep = [k for k in order.tolist() if tree.join(int(root[x[k]]), int(root[y[k]]))]
+            yield pairs_of(node[x[keep]], node[y[keep]])
+
+    def pairs_of(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -478,6 +494,26 @@ def checked_links(proposed: DataFrame, sets: Callable[[DataFrame], DataFrame], s
     return both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
+def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after the links ``found``: only their ends' roots go through the component search."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    moved = saved(connected_components(ends))
+    fresh = moved.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return roots.union(fresh).join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
+def apart_cells(keyed: DataFrame, roots: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """The rows of ``apart_pairs``: those of keys whose nodes have several roots, large keys in pairs of blocks."""
+    marked = keyed.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.hash("node")).alias("y"), F.min(F.struct("node", "pos")).alias("first")).where("r != s")
+    # keys of the very same nodes: the one that comes first in the order
+    groups = groups.groupBy("n", "x", "y").agg(F.min_by("key", F.struct("first.pos", "key")).alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    dealt = marked.join(groups, "key").join(nodes.select("node", "map"), "node").withColumn("x", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # a cell's number may collide with another's; that only adds pairs, which are checked
+    return dealt.select(F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("key"), "node", "root", "n", "pos", "map")
+
+
 def similar_links(sketches: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, hot: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all nodes whose sets are similar, and no others.
 
@@ -497,15 +533,21 @@ def similar_links(sketches: DataFrame, nodes: DataFrame, sets: Callable[[DataFra
     keyed = saved(prefixes(sketches).withColumn("first", first).withColumn("last", F.max("node").over(by_key)).where("first.node != last").drop("last"))
     stars = keyed.where("first.node != node").where(can_be_similar(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), similarity)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     tried = saved(possible(with_roots(stars).join(near, ["a", "b"], "left_anti"), nodes, similarity))
-    links = saved(links.union(checked_links(tried, sets, similarity)))
-    roots = saved(connected_components(links))
-    marked = keyed.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.hash("node")).alias("y"), F.min(F.struct("node", "pos")).alias("first")).where("r != s")
-    # keys of the very same nodes: the one that comes first in the order
-    groups = groups.groupBy("n", "x", "y").agg(F.min_by("key", F.struct("first.pos", "key")).alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
-    dealt = marked.join(groups, "key").join(nodes.select("node", "map"), "node").withColumn("x", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    # a cell's number may collide with another's; that only adds pairs, which are checked
-    cells = dealt.select(F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("key"), "node", "root", "n", "pos", "map")
+    found = saved(checked_links(tried, sets, similarity))
+    links, roots = saved(links.union(found)), saved(merged(roots, found))
+    cells = apart_cells(keyed, roots, nodes, block)
+    for _ in range(TURNS):
+        more = saved(apart_pairs(cells, similarity, forest=True).join(near.union(tried), ["a", "b"], "left_anti"))
+        n = more.count()
+        if not n:
+            break
+        found = saved(checked_links(more, sets, similarity))
+        tried, m = saved(tried.union(more)), found.count()
+        if m:
+            links, roots = saved(links.union(found)), saved(merged(roots, found))
+            cells = apart_cells(keyed, roots, nodes, block)
+        if m <= LEAST_FOUND * n:
+            break
     left = saved(apart_pairs(cells, similarity).join(near.union(tried), ["a", "b"], "left_anti"))
     return links.union(checked_links(left, sets, similarity))
 
