@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +44,30 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
+#: mallopt's names for the number of arenas and for the size from which blocks are given back at once.
+ARENAS, AT_ONCE = -8, -3
+
+
+@lru_cache(maxsize=1)
+def thrifty() -> ctypes.CDLL:
+    """Once in a worker: Arrow takes memory from the system's allocator, which keeps one arena and gives blocks of a MB and more back as they are freed."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc only
+        libc.mallopt(ARENAS, 1)
+        libc.mallopt(AT_ONCE, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+    return libc
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow on slices of bounded size, giving freed memory back to the system at a task's end: Python workers serve many tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = thrifty()
         yield from run(slices(batches))
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        gc.collect()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
     return task
 

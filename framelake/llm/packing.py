@@ -34,7 +34,7 @@ from .common import saved, tidy
 
 CAPACITY = 4096
 #: Chunks and parts that a task remembers, and those, the first met, that a worker keeps for its next task.
-CACHED, KEPT = 500_000, 50_000
+CACHED, KEPT = 250_000, 50_000
 #: Room that a fitted pattern may leave, and the least share of the sequences that a fit must place to be followed by another.
 SLACK, WORTH = 64, 0.01
 #: Letters whose lower case is one letter of this range, too; a chunk with any other (such as U+0130, U+018F) is left to the library whole.
