@@ -50,11 +50,11 @@ ARENAS, AT_ONCE = -8, -3
 
 @lru_cache(maxsize=1)
 def thrifty() -> ctypes.CDLL:
-    """Once in a worker: Arrow takes memory from the system's allocator, which keeps one arena and gives blocks of a MB and more back as they are freed."""
+    """Once in a worker: Arrow takes memory from the system's allocator, which keeps one arena and gives blocks of 16 MB and more back as they are freed."""
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # glibc only
         libc.mallopt(ARENAS, 1)
-        libc.mallopt(AT_ONCE, 1 << 20)
+        libc.mallopt(AT_ONCE, 1 << 24)
         pa.set_memory_pool(pa.system_memory_pool())
     return libc
 
