@@ -66,20 +66,25 @@ def curves(px: DataFrame, master: Points, **channels: Points) -> DataFrame:
 
 
 def hue_bands(px: DataFrame, **bands: tuple[float, float, float]) -> DataFrame:
-    """(hue, saturation, lightness) shifts of bands; between two centres a shift runs linearly, a hue of 1 being 30 degrees."""
-    names = list(BANDS)
-    knots = [(BANDS[n], bands.get(n, (0.0, 0.0, 0.0))) for n in names]
-    knots.append((360.0, knots[0][1]))
+    """(hue, saturation, lightness) shifts of bands; a shift falls linearly to nothing at the centres beside its own, a hue of 1 being 30 degrees.
+
+    Triangles are added up in the bands' order, so that sums round alike wherever they are computed.
+    """
+    centres = list(BANDS.items())
+    turned = lambda e: e - 360.0 * F.floor(e / 360.0)
 
     def shift(k: int) -> Column:
         out = None
-        for (low, a), (high, b) in zip(knots, knots[1:]):
-            y = a[k] + (F.col("h") - low) / (high - low) * (b[k] - a[k])
-            out = F.when(F.col("h") < high, y) if out is None else out.when(F.col("h") < high, y)
-        return out.otherwise(F.lit(float(knots[0][1][k])))
+        for i, (name, c) in enumerate(centres):
+            if amount := bands.get(name, (0.0, 0.0, 0.0))[k]:
+                after, before = (centres[(i + 1) % len(centres)][1] - c) % 360, (c - centres[i - 1][1]) % 360
+                ahead, behind = turned(F.col("h") - c), turned(c - F.col("h"))
+                term = amount * F.when(ahead <= after, 1.0 - ahead / after).when(behind <= before, 1.0 - behind / before).otherwise(0.0)
+                out = term if out is None else out + term
+        return F.lit(0.0) if out is None else out
 
     out = with_hsl(px)
-    moved = {"h": F.pmod(F.col("h") + shift(0) * 30.0, F.lit(360.0)), "s": clamp(F.col("s") + shift(1), 0.0, 1.0), "l": clamp(F.col("l") + shift(2), 0.0, 1.0)}
+    moved = {"h": turned(F.col("h") + 30.0 * shift(0)), "s": clamp(F.col("s") + shift(1), 0.0, 1.0), "l": clamp(F.col("l") + shift(2), 0.0, 1.0)}
     return from_hsl(out.withColumns(moved))
 
 
