@@ -57,8 +57,8 @@ GENERATOR = 0b101011100011
 BITS = (21, 21, 22)
 #: Buckets of more rows are searched for a spanning forest, not pair by pair.
 WIDE = 64
-#: Similarity mode: one of so many texts at most is sampled for the order of shingles (about FEW texts at least), and how many frequent shingles are told apart.
-SAMPLE, FEW, FREQUENT = 16, 3000, 200_000
+#: Similarity mode: how many frequent shingles are told apart in the order of shingles, which changes the work but no link.
+FREQUENT = 200_000
 #: Texts of a block, in groups that are checked pair by pair.
 BLOCK = 1000
 #: Bits of a set's parity map: as many as it has shingles, rounded up to a power of two, within these.
@@ -331,10 +331,9 @@ def near_links(nodes: DataFrame, distance: int = 3, hot: int = 20_000) -> DataFr
     return edges
 
 
-def frequent_shingles(rows: DataFrame, *, id_col: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of ``rows``, sorted, and in how many texts they are; at most ``FREQUENT`` rows reach the driver."""
-    every = max(1, min(SAMPLE, rows.count() // FEW))
-    part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+def frequent_shingles(rows: DataFrame, *, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of ``rows``, sorted, and in how many of all texts they are; at most ``FREQUENT`` rows reach the driver."""
+    part = rows.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -563,7 +562,7 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         edges = near_links(nodes, distance, hot)
     else:
         of = {"id_col": id_col, "text": text, "words": words}
-        marked = saved(set_sketches(rows, frequent_shingles(rows, **of), similarity, **of))
+        marked = saved(set_sketches(rows, frequent_shingles(rows, text=text, words=words), similarity, **of))
         nodes = saved(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("map").alias("map"), F.first("n").alias("n")))
         edges = similar_links(marked, nodes, lambda used: sets_of(used, nodes, rows, **of), similarity, hot, min(BLOCK, hot))
     roots = saved(connected_components(edges))
