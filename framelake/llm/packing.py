@@ -69,12 +69,13 @@ class ChunkEncoder:
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # bytes as the vocabulary writes them; those from 0x80 on occur in two-byte characters only
         self.written = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in map(ord, LATIN)}
+        self.cached = CACHED
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def learn_parts(self, wanted: set[str]) -> None:
         new = list(wanted.difference(self.parts, "\n"))
-        if len(self.parts) + len(new) > CACHED:
+        if len(self.parts) + len(new) > self.cached:
             self.parts, new = {}, list(wanted.difference("\n"))
         self.parts["\n"] = np.array([BREAK], dtype="<u4").tobytes()
         new.sort(key=str.isascii)  # lists of ASCII parts need no translation
@@ -90,7 +91,7 @@ class ChunkEncoder:
 
     def learn(self, texts_chunks: list[list[bytes]]) -> None:
         new = set().union(*texts_chunks).difference(self.known)
-        if len(self.known) + len(new) > CACHED:
+        if len(self.known) + len(new) > self.cached:
             self.known = {}
             new = set().union(*texts_chunks)
         raw = list(new)
@@ -135,13 +136,14 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def token_pieces(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", end: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """The columns ``keep`` in ``own``, piece, start, length and ids_crc32."""
+def token_pieces(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", end: int = 1, capacity: int = CAPACITY, cached: int = CACHED) -> DataFrame:
+    """The columns ``keep`` in ``own``, piece, start, length and ids_crc32; a task remembers up to ``cached`` chunks and as many parts."""
     data = rows.select(F.struct(*keep).alias("own"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
+        tokens.cached = cached
         for batch in batches:
             row, out = [], []
             for i, raw in enumerate(tokens.encode(batch["t"].to_pylist())):
@@ -156,7 +158,7 @@ def token_pieces(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id
             yield pa.RecordBatch.from_arrays([batch["own"].take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["own", "piece", "start", "length", "ids_crc32"])
         tokens.shrink()
 
-    return data.mapInArrow(tidy(run), f"own {data.schema['own'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return data.mapInArrow(tidy(run, 1 << 24 if cached >= CACHED else 1 << 20), f"own {data.schema['own'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(lengths: np.ndarray, capacity: int, few: int = 4, alike: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16)) -> list[tuple[int, ...]]:
@@ -307,7 +309,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 2000) ->
     return numbered.withColumn("nth", F.col("nth").cast("long")).mapInArrow(run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
-def pack_documents(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", capacity: int = CAPACITY, cached: int = CACHED) -> DataFrame:
     """The columns ``keep`` of each piece, piece, start, length, ids_crc32, sequence_id and offset."""
-    done = pack(saved(token_pieces(rows, path, keep=keep, text=text, capacity=capacity)), capacity)
+    done = pack(saved(token_pieces(rows, path, keep=keep, text=text, capacity=capacity, cached=cached)), capacity)
     return done.select("own.*", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

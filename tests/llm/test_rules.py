@@ -1,6 +1,8 @@
 """Operators of the contract against its own words."""
 
-from framelake.llm import queries, simhash
+import public_tokenizers
+
+from framelake.llm import packing, queries, simhash
 
 
 def test_url_rules_are_the_contracts(spark, tmp_path):
@@ -22,3 +24,16 @@ def test_shingles_are_counted_in_all_texts(spark):
     rows = spark.range(60_000).selectExpr("id", "CASE WHEN id % 6000 = 0 THEN 'one passage that ten texts share' ELSE concat('w', id, ' x', id, ' y', id, ' z', id, ' v', id) END AS text")
     shingle, n = simhash.frequent_shingles(rows, text="text", words=5)
     assert len(shingle) == 2 and n.tolist() == [10, 10]
+
+
+def test_small_caches_change_no_piece(spark):
+    """The pipeline's packing remembers less: bounds are met, pieces stay."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 7 + k} naïve" for k in range(40))) for i in range(300)], "doc_id long, text string")
+    got = [sorted(map(tuple, packing.token_pieces(docs, path, cached=c).collect())) for c in (500, 500_000)]
+    assert got[0] == got[1]
+    encoder = packing.ChunkEncoder(path)
+    encoder.cached = 50
+    for _ in encoder.encode([" ".join(f"w{i}{k}" for k in range(30)).encode() for i in range(9)] * 3):
+        pass
+    assert len(encoder.known) <= 270
