@@ -11,6 +11,9 @@ from ..sources.frames import carrier_frames, table
 from ..sources.shared import shared_folder
 from .queries import PX, register
 
+#: Consecutive ids whose files share a folder, so that no folder grows with the table.
+FILES = 4000
+
 
 def file_name(path: Column, ending: str) -> Column:
     return F.regexp_extract(path, rf"(\d+){ending}$", 1).cast("long")
@@ -18,7 +21,7 @@ def file_name(path: Column, ending: str) -> Column:
 
 def png_folder(spark: SparkSession, d: str) -> str:
     folder = shared_folder(spark)
-    outputs = images.encoded(carrier_frames(spark, d)).select(F.concat(F.lit("f"), F.col("image_id") % 7, F.lit("/"), F.col("image_id"), F.lit(".png")).alias("name"), F.col("png").alias("content"))
+    outputs = images.encoded(carrier_frames(spark, d)).select(F.concat(F.lit("f"), F.col("image_id") % 7, F.lit("/"), F.floor(F.col("image_id") / FILES), F.lit("/"), F.col("image_id"), F.lit(".png")).alias("name"), F.col("png").alias("content"))
     files.files_written(outputs, folder).write.format("noop").mode("overwrite").save()
     return folder
 
@@ -41,7 +44,7 @@ def image_scan(spark: SparkSession, d: str) -> DataFrame:
 def sidecar_scan(spark: SparkSession, d: str) -> DataFrame:
     """Sidecar files written beside others and scanned whole."""
     folder = shared_folder(spark)
-    docs = table(spark, d, "documents").select(F.concat(F.col("doc_id") % 5, F.lit("/"), F.col("doc_id")).alias("stem"), F.concat(F.lit("rating "), F.col("doc_id") % 6).alias("text"))
+    docs = table(spark, d, "documents").select(F.concat(F.col("doc_id") % 5, F.lit("/"), F.floor(F.col("doc_id") / FILES), F.lit("/"), F.col("doc_id")).alias("stem"), F.concat(F.lit("rating "), F.col("doc_id") % 6).alias("text"))
     outputs = docs.select(F.concat("stem", F.lit(images.SIDECAR)).alias("name"), F.encode("text", "utf-8").alias("content")).union(docs.select(F.concat("stem", F.lit(".txt")), F.encode(F.lit("other"), "utf-8")))
     files.files_written(outputs, folder).write.format("noop").mode("overwrite").save()
     return images.scanned_sidecars(spark, folder).select(file_name(F.col("path"), images.SIDECAR.replace(".", "[.]")).alias("doc_id"), "text")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import SCANNED, extension
+from .files import contents, listed
 from .jpeg import jpeg
 
 SIDECAR = ".lumen.json"
@@ -21,13 +22,12 @@ ROWS = 1 << 16
 
 def scanned_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and modificationTime of all image files below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where(extension(F.col("path")).isin(*SCANNED)).select("path", "length", "modificationTime")
+    return listed(spark, folder).where(extension(F.col("path")).isin(*SCANNED))
 
 
 def scanned_sidecars(spark: SparkSession, folder: str, suffix: str = SIDECAR) -> DataFrame:
     """path and text of all sidecar files below a folder."""
-    return spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return contents(listed(spark, folder).where(F.col("path").endswith(suffix)), folder).select("path", F.col("content").cast("string").alias("text"))
 
 
 def image_frames(spark: SparkSession, folder: str) -> DataFrame:
