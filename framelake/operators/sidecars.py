@@ -2,9 +2,9 @@
 
     documents(id, text)              id of any type, text a JSON document
 
-A walk of ``variant_explode`` reaches copies, masks, layers, history, exports, presets and adjustments; each level is one
-Generate below one parse, rules are predicates over its rows, and uniqueness and references are aggregates and joins by document. A document with
-thousands of copies is thousands of rows.
+A document is parsed once; copies, masks, layers, history, exports, presets and adjustments are arrays of elements beside it, rules are predicates over
+elements, and repeated names are neighbours in a sorted array, so nothing is shuffled but what is found. Only documents with layers whose mask is
+in no library are walked a second time, where an aggregate says which layers these are. The work on a document of n elements is n log n.
 
 Cases: null text, or text that is no JSON object, is one violation (``$``, not_json) and nothing else is checked; a missing or mistyped field counts as
 blank; repeated rows of one id are one document each only if their texts differ; an empty table has no violations; extra columns go.
@@ -12,6 +12,8 @@ blank; repeated rows of one id are one document each only if their texts differ;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from .mask_graph import ARITY
 FORMAT, NEWEST, MOST_COPIES = "framelake-sidecar", 2, 10_000
 #: Least and greatest value of the scalar adjustments; others are not checked (fixed values).
 ADJUSTMENTS = {"exposure": (-10.0, 10.0), "wb_temperature": (1500.0, 12000.0)} | {k: (-1.0, 1.0) for k in ("contrast", "highlights", "shadows", "whites", "blacks", "wb_tint", "vibrance", "saturation")}
+ELEMENTS = "array<struct<at: string, key: string, value: variant>>"
 KNOWN = ("format", "schema_version", "source", "analysis_fingerprint", "pipeline_version", "virtual_copies", "deleted_virtual_copies", "presets")
 
 
@@ -38,83 +41,111 @@ def parsed(documents: DataFrame) -> DataFrame:
     return documents.select("id", F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v"))
 
 
-def items(rows: DataFrame, of: str, path: str, into: str, at: str) -> DataFrame:
-    """One row for each element of an array (or field of an object) in ``of``: ``into`` and its JSON path ``at`` beside the row's columns."""
-    taken = rows.withColumn("_list", got(of, "$." + path, "variant"))
-    prefix = F.col(at) if at in rows.columns else F.lit("$")
-    full = taken.withColumn("_at", F.concat(prefix, F.lit("." + path)))
-    out = full.sparkSession.sql("SELECT t.*, e.pos AS _pos, e.key AS _key, e.value AS _value FROM {t} AS t, LATERAL variant_explode(t._list) AS e", t=full)
-    step = F.when(F.col("_key").isNotNull(), F.concat(F.lit("."), F.col("_key"))).otherwise(F.concat(F.lit("["), F.col("_pos"), F.lit("]")))
-    own = [c for c in rows.columns if c not in (at, into)]
-    return out.select(*own, F.col("_value").alias(into), F.concat("_at", step).alias(at), F.col("_key").alias(f"{into}_key"))
+def bound(value: Column, used: Callable[[Column], Column]) -> Column:
+    """``used`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), used), F.lit(0))
+
+
+def entries(of: Column, path: str, at: Column) -> Column:
+    """Elements of an array (or fields of an object) in ``of``, as an array of ``ELEMENTS``; ``at`` is the JSON path of ``of``."""
+    element = lambda place, key, value: F.struct(F.concat(at, F.lit("." + path), *place).alias("at"), key.cast("string").alias("key"), value.alias("value"))
+    listed = F.transform(got(of, "$." + path, "array<variant>"), lambda e, i: element([F.lit("["), i, F.lit("]")], F.lit(None), e))
+    fields = F.transform(F.map_entries(got(of, "$." + path, "map<string, variant>")), lambda e: element([F.lit("."), e["key"]], e["key"], e["value"]))
+    return F.coalesce(listed, fields, F.array().cast(ELEMENTS))
+
+
+def each(elements: Column, found: Callable[[Column], Column]) -> Column:
+    """What is found at each element, in one array."""
+    return F.flatten(F.transform(elements, found))
 
 
-def broken(rows: DataFrame, at: Column, *rules: tuple[str, Column, str]) -> DataFrame:
-    """(id, path, code) of the rules (path below ``at``, what is wrong, code) that rows break."""
-    checks = F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.struct(F.concat(at, F.lit(path)).alias("path"), F.lit(code).alias("code"))) for path, wrong, code in rules]))
-    return rows.select("id", F.inline(checks))
+def broken(at: Column, *rules: tuple[str, Column, str]) -> Column:
+    """(path, code) of the rules (path below ``at``, what is wrong, code) that are broken."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.struct(F.concat(at, F.lit(path)).alias("path"), F.lit(code).alias("code"))) for path, wrong, code in rules]))
 
 
-def repeated(rows: DataFrame, keys: list[str], of: str, at: str) -> DataFrame:
+def repeated(elements: Column) -> Column:
     """Elements whose id an earlier element of the same list has."""
-    named = rows.select("id", *keys, got(of, "$.id").alias("_id"), F.col(at).alias("path")).where("_id IS NOT NULL")
-    first = F.min(F.struct(F.length("path"), "path"))["path"].alias("first")
-    groups = named.groupBy("id", *keys, "_id").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = named.join(groups, ["id", *keys, "_id"])
-    return met.where("path != first").select("id", F.concat("path", F.lit(".id")).alias("path"), F.lit("duplicate").alias("code"))
+    named = F.transform(elements, lambda e: F.struct(got(e["value"], "$.id").alias("id"), F.length(e["at"]).alias("n"), e["at"].alias("at")))
+    again = lambda s: F.filter(s, lambda e, i: (i > 0) & (F.get(s, i - 1)["id"] == e["id"]))
+    met = bound(F.array_sort(F.filter(named, lambda e: e["id"].isNotNull())), again)
+    return F.transform(met, lambda e: F.struct(F.concat(e["at"], F.lit(".id")).alias("path"), F.lit("duplicate").alias("code")))
 
 
-def names(*fields: str, of: str) -> list[tuple[str, Column, str]]:
+def names(*fields: str, of: Column) -> list[tuple[str, Column, str]]:
     return [("." + f, blank(got(of, "$." + f)), "blank") for f in fields]
 
 
-def violations(documents: DataFrame) -> DataFrame:
-    """(id, path, code) of everything that is wrong, in no order."""
-    every = parsed(documents)
-    docs = every.where("v IS NOT NULL")
-    root = F.lit("$")
-    version = got("v", "$.schema_version", "long")
-    path_rule = lambda of, p: (F.coalesce(safe_path(got(of, p)), F.lit(False)) == F.lit(False)) & ~blank(got(of, p))
-    out = [every.where("v IS NULL").select("id", root.alias("path"), F.lit("not_json").alias("code"))]
-    out.append(broken(docs, root, (".format", ~F.coalesce(got("v", "$.format") == FORMAT, F.lit(False)), "format"), (".schema_version", ~F.coalesce(version.between(1, NEWEST), F.lit(False)), "version"), (".pipeline_version", blank(got("v", "$.pipeline_version")), "blank"), (".source.relative_name", blank(got("v", "$.source.relative_name")), "blank"), (".source.relative_name", path_rule("v", "$.source.relative_name"), "unsafe_path"), (".source.orientation", ~F.coalesce(got("v", "$.source.orientation", "long").between(1, 8), F.lit(False)), "orientation")))
-    live = items(docs, "v", "virtual_copies", "copy", "at").drop("copy_key")
-    gone = items(docs, "v", "deleted_virtual_copies", "copy", "at").drop("copy_key")
-    copies = live.union(gone)
-    out.append(broken(copies, F.col("at"), *names("id", "name", "recipe.recipe_version", of="copy")))
-    out.append(repeated(copies, [], "copy", "at"))
-    counts = docs.select("id").distinct().join(live.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(got("copy", "$.is_default", "boolean"), F.lit(False))).alias("defaults")), "id", "left").join(gone.groupBy("id").agg(F.count(F.lit(1)).alias("g")), "id", "left")
-    out.append(broken(counts, root, (".virtual_copies", F.col("n").isNull(), "no_copy"), (".virtual_copies", F.coalesce("n", F.lit(0)) + F.coalesce("g", F.lit(0)) > MOST_COPIES, "too_many"), (".virtual_copies", F.coalesce("defaults", F.lit(0)) != 1, "defaults")))
-    own = copies.withColumn("copy_at", F.col("at")).drop("v")
-    adjustments = items(own.withColumn("recipe", got("copy", "$.recipe", "variant")).withColumn("at", F.concat("at", F.lit(".recipe"))), "recipe", "adjustments", "value", "at")
+def unsafe(of: Column, field: str) -> Column:
+    return ~F.coalesce(safe_path(got(of, "$." + field)), F.lit(False))
+
+
+def of_copy(copy: Column) -> Column:
+    at, value = copy["at"], copy["value"]
+    number = lambda a: got(a["value"], "$", "double")
     low, high = (F.create_map(*[x for k, b in ADJUSTMENTS.items() for x in (F.lit(k), F.lit(b[i]))]) for i in (0, 1))
-    number, key = got("value", "$", "double"), F.col("value_key")
-    out.append(broken(adjustments, F.col("at"), ("", F.try_element_at(low, key).isNotNull() & ~F.coalesce((number >= F.try_element_at(low, key)) & (number <= F.try_element_at(high, key)), F.lit(False)), "out_of_range")))
-    kept = live.drop("v").withColumn("copy_at", F.col("at")).withColumn("copy_id", got("copy", "$.id"))
-    masks = items(kept, "copy", "mask_library", "mask", "at")
-    operation, operands = got("mask", "$.operation"), F.coalesce(F.size(got("mask", "$.references", "array<variant>")), F.lit(0))
+    inside = lambda a: (number(a) >= F.try_element_at(low, a["key"])) & (number(a) <= F.try_element_at(high, a["key"]))
+    adjustments = each(entries(value, "recipe.adjustments", at), lambda a: broken(a["at"], ("", F.try_element_at(low, a["key"]).isNotNull() & ~F.coalesce(inside(a), F.lit(False)), "out_of_range")))
+    return F.concat(broken(at, *names("id", "name", "recipe.recipe_version", of=value)), adjustments)
+
+
+def of_mask(mask: Column) -> Column:
+    at, value = mask["at"], mask["value"]
+    operation, operands = got(value, "$.operation"), F.coalesce(F.size(got(value, "$.references", "array<variant>")), F.lit(0))
     wrong = F.lit(False)
     for op, (least, most) in ARITY.items():
         wrong = F.when(operation == op, (operands < least) | (operands > most if most is not None else F.lit(False))).otherwise(wrong)
-    out.append(broken(masks, F.col("at"), *names("id", "name", of="mask"), (".operation", ~F.coalesce(operation.isin(*ARITY), F.lit(False)), "unknown_operation"), (".references", wrong, "arity")))
-    out.append(repeated(masks, ["copy_at"], "mask", "at"))
-    references = items(masks.drop("mask_key"), "mask", "references", "reference", "at")
-    out.append(broken(references, F.col("at"), *names("copy_id", "mask_id", of="reference")))
-    for part, fields, paths in (("mask_layers", ("id",), ()), ("history", ("id",), ()), ("export_records", ("id", "format"), ("relative_path",))):
-        rows = items(kept, "copy", part, "item", "at")
-        out.append(broken(rows, F.col("at"), *names(*fields, of="item"), *[("." + p, ~F.coalesce(safe_path(got("item", "$." + p)), F.lit(False)), "unsafe_path") for p in paths]))
-        out.append(repeated(rows, ["copy_at"], "item", "at"))
-    presets = items(docs, "v", "presets", "item", "at")
-    out.append(broken(presets, F.col("at"), *names("id", of="item")))
-    out.append(repeated(presets, [], "item", "at"))
+    own = broken(at, *names("id", "name", of=value), (".operation", ~F.coalesce(operation.isin(*ARITY), F.lit(False)), "unknown_operation"), (".references", wrong, "arity"))
+    return F.concat(own, each(entries(value, "references", at), lambda r: broken(r["at"], *names("copy_id", "mask_id", of=r["value"]))))
+
+
+def mask_key(copy: Column, mask: Column) -> Column:
+    """Both names as one string; null if one is missing."""
+    return F.concat(F.length(copy), F.lit(":"), copy, mask)
+
+
+def walked(documents: DataFrame) -> DataFrame:
+    """Documents with their copies (``live`` and ``gone``), ``presets``, each living copy's lists (``parts``), their ``layers`` (path and mask) and the masks in no library (``missing``)."""
+    root, value = F.lit("$"), F.col("v")
+    docs = documents.withColumn("p", F.try_parse_json("text")).select("id", "text", F.when(F.schema_of_variant("p").startswith("OBJECT"), F.col("p")).alias("v"))
+    docs = docs.withColumns({"live": entries(value, "virtual_copies", root), "gone": entries(value, "deleted_virtual_copies", root), "presets": entries(value, "presets", root)})
+    lists = lambda c: [entries(c["value"], part, c["at"]).alias(part) for part in ("mask_library", "mask_layers", "history", "export_records")]
+    docs = docs.withColumn("parts", F.transform("live", lambda c: F.struct(got(c["value"], "$.id").alias("copy_id"), *lists(c))))
+    layer = lambda e: F.struct(mask_key(got(e["value"], "$.mask.copy_id"), got(e["value"], "$.mask.mask_id")).alias("key"), F.concat(e["at"], F.lit(".mask")).alias("path"))
+    docs = docs.withColumn("layers", each(F.col("parts"), lambda p: F.transform(p["mask_layers"], layer)))
+    library = each(F.col("parts"), lambda p: F.transform(p["mask_library"], lambda m: mask_key(p["copy_id"], got(m["value"], "$.id"))))
+    return docs.withColumn("missing", F.array_except(F.transform("layers", lambda e: e["key"]), F.array_compact(library)))
+
+
+def violations(documents: DataFrame) -> DataFrame:
+    """(id, path, code) of everything that is wrong, in no order."""
+    docs, root, v = walked(documents), F.lit("$"), F.col("v")
+    path = got(v, "$.source.relative_name")
+    defaults = F.size(F.filter("live", lambda c: F.coalesce(got(c["value"], "$.is_default", "boolean"), F.lit(False))))
+    own = broken(
+        root, (".format", ~F.coalesce(got(v, "$.format") == FORMAT, F.lit(False)), "format"), (".schema_version", ~F.coalesce(got(v, "$.schema_version", "long").between(1, NEWEST), F.lit(False)), "version"),
+        (".pipeline_version", blank(got(v, "$.pipeline_version")), "blank"), (".source.relative_name", blank(path), "blank"), (".source.relative_name", unsafe(v, "source.relative_name") & ~blank(path), "unsafe_path"),
+        (".source.orientation", ~F.coalesce(got(v, "$.source.orientation", "long").between(1, 8), F.lit(False)), "orientation"),
+        (".virtual_copies", F.size("live") == 0, "no_copy"), (".virtual_copies", F.size("live") + F.size("gone") > MOST_COPIES, "too_many"), (".virtual_copies", defaults != 1, "defaults"),
+    )
+    item = lambda *fields: lambda e: broken(e["at"], *names(*fields, of=e["value"]))
+    export = lambda e: broken(e["at"], *names("id", "format", of=e["value"]), (".relative_path", unsafe(e["value"], "relative_path"), "unsafe_path"))
+    rules = {"mask_library": of_mask, "mask_layers": item("id"), "history": item("id"), "export_records": export}
+    nameless = F.filter("layers", lambda e: e["key"].isNull())
+    copies = F.concat("live", "gone")
+    found = F.concat(
+        own, each(copies, of_copy), repeated(copies), each(F.col("presets"), item("id")), repeated(F.col("presets")),
+        each(F.col("parts"), lambda p: F.concat(*[f for part, rule in rules.items() for f in (each(p[part], rule), repeated(p[part]))])),
+        each(nameless, lambda e: broken(e["path"], ("", F.lit(True), "unknown_mask"))),
+    )
+    found = F.when(v.isNull(), F.array(F.struct(root.alias("path"), F.lit("not_json").alias("code")))).otherwise(found)
+    # outer, as a filter on the array's size would be inferred otherwise, and walk every document once more
+    out = docs.select("id", found.alias("found")).select("id", F.inline_outer("found")).where("path IS NOT NULL")
     # a layer's mask must be in the library of a living copy
-    layers = items(kept, "copy", "mask_layers", "layer", "at").select("id", "at", got("layer", "$.mask.copy_id").alias("copy_id"), got("layer", "$.mask.mask_id").alias("mask_id"))
-    library = masks.select("id", "copy_id", got("mask", "$.id").alias("mask_id")).distinct()
-    lost = layers.join(library, ["id", "copy_id", "mask_id"], "left_anti")
-    out.append(lost.select("id", F.concat("at", F.lit(".mask")).alias("path"), F.lit("unknown_mask").alias("code")))
-    found = out[0]
-    for part in out[1:]:
-        found = found.union(part)
-    return found.distinct()
+    lost = F.when(F.size("missing") > 0, F.concat(F.transform("missing", lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("path"))), F.col("layers")))
+    asked = docs.select("id", F.when(F.size("missing") > 0, F.sha2("text", 256)).alias("document"), lost.alias("lost")).select("id", "document", F.inline_outer("lost")).where("key IS NOT NULL")
+    lost = asked.groupBy("id", "document", "key").agg(F.collect_list("path").alias("paths"), F.count_if(F.col("path").isNull()).alias("n")).where("n > 0")
+    return out.union(lost.select("id", F.explode("paths"), F.lit("unknown_mask"))).distinct()
 
 
 def unknown_fields(documents: DataFrame) -> DataFrame:
