@@ -54,7 +54,7 @@ def sidecar_scan(spark: SparkSession, d: str) -> DataFrame:
 def jpeg_files(spark: SparkSession, d: str) -> DataFrame:
     """Frames to JPEG files and back: the mean difference of a frame's samples stays under six of 255 at the highest quality."""
     px, folder = carrier_frames(spark, d), shared_folder(spark)
-    outputs = images.encoded_jpeg(px, 100).select(F.concat("image_id", F.lit(".jpg")).alias("name"), F.col("jpeg").alias("content"))
+    outputs = images.encoded_jpeg(px, 100).select(F.concat(F.floor(F.col("image_id") / FILES), F.lit("/"), F.col("image_id"), F.lit(".jpg")).alias("name"), F.col("jpeg").alias("content"))
     files.files_written(outputs, folder).write.format("noop").mode("overwrite").save()
     back = images.image_frames(spark, folder).select(file_name(F.col("image_id"), "[.]jpg").alias("image_id"), "x", "y", *[F.col(c).alias(f"{c}1") for c in "rgb"])
     met = px.join(back, ["image_id", "x", "y"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import SCANNED, extension
-from .files import contents, listed
+from .files import contents, listed, tasks
 from .jpeg import jpeg
 
 SIDECAR = ".lumen.json"
@@ -38,6 +38,7 @@ def image_frames(spark: SparkSession, folder: str) -> DataFrame:
     image = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder).select("image.*").where("height > 0 and width > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # small files share batches
         for batch in batches:
             for i in range(batch.num_rows):
                 name, w, h, n = (batch[c][i].as_py() for c in ("origin", "width", "height", "nChannels"))
@@ -47,9 +48,16 @@ def image_frames(spark: SparkSession, folder: str) -> DataFrame:
                 for at in range(0, h * w, ROWS):
                     place = np.arange(at, min(at + ROWS, h * w))
                     columns = [pa.array((place % w).astype(np.int32)), pa.array((place // w).astype(np.int32)), *(pa.array(p[place].astype(np.int32)) for p in planes)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(place)), *columns], ["image_id", "x", "y", "r", "g", "b", "a"])
+                    held.append(pa.RecordBatch.from_arrays([pa.array([name] * len(place)), *columns], ["image_id", "x", "y", "r", "g", "b", "a"]))
+                    size += len(place)
+                    if size >= ROWS:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return image.select("origin", "width", "height", "nChannels", "data").mapInArrow(run, "image_id string, x int, y int, r int, g int, b int, a int")
+    # Spark reads a few dozen small files a task
+    return image.select("origin", "width", "height", "nChannels", "data").coalesce(tasks(spark)).mapInArrow(run, "image_id string, x int, y int, r int, g int, b int, a int")
 
 
 def png(width: int, height: int, samples: np.ndarray) -> bytes:
@@ -73,7 +81,7 @@ def frame_arrays(px: DataFrame, names: list[str], made: Callable[[int, int, np.n
         return pa.table({"image_id": t["image_id"].slice(0, 1), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), column: pa.array([made(w, h, samples)], pa.binary())})
 
     kind = px.schema["image_id"].dataType.simpleString()
-    return px.select("image_id", "x", "y", *names).groupBy("image_id").applyInArrow(encode, f"image_id {kind}, width int, height int, {column} binary")
+    return px.select("image_id", "x", "y", *names).repartition(tasks(px.sparkSession), "image_id").groupBy("image_id").applyInArrow(encode, f"image_id {kind}, width int, height int, {column} binary")
 
 
 def encoded(px: DataFrame, alpha: bool = True) -> DataFrame:
